@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, quality
+from . import licenses, ngrams, quality, suffixes
 from .shared import table
 
 
@@ -12,13 +12,21 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.ratios(docs, table(spark, sf_dir, "labels"))).drop("text_hash")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.join(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_license_scans, op6_quality_rules)}
+    return {f.__name__: f for f in (op1_license_scans, op2_suffix_array_dedup, op6_quality_rules, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
