@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, ngrams, quality, suffixes
+from . import licenses, mixing, ngrams, packing, quality, sharding, suffixes
 from .shared import table
 
 
+def token_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -16,17 +23,38 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), token_file())
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.ratios(docs, table(spark, sf_dir, "labels"))).drop("text_hash")
 
 
+def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.join(table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_license_scans, op2_suffix_array_dedup, op6_quality_rules, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (
+        op1_license_scans,
+        op2_suffix_array_dedup,
+        op3_sum_of_squares_packing,
+        op6_quality_rules,
+        op7_sampled_splitters,
+        op9_mixing,
+        op10_ngram_jaccard_join,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,30 @@
+import random
+import zlib
+from collections import Counter
+
+from tarnwork.llm import sharding
+
+
+def test_shards(spark):
+    rng = random.Random(1)
+    rows = [(i, "hot" * 40 if i % 3 == 0 else "x" * rng.randint(0, 400), 1) for i in range(600)] + [(None, None, 1), (5, "same", 1), (5, "same", 1)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string, shard int")).collect()
+    assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in got) == sorted((d or -1, len(t or "") + 1, zlib.crc32((t or "").encode())) for d, t, _ in rows)
+    total = Counter()
+    for r in got:
+        total[r["shard"]] += r["size"]
+    assert set(total) == set(range(16)) and max(total.values()) - min(total.values()) <= 2 * 401
+    for s in range(16):
+        n = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert n == list(range(len(n)))
+    at = {}
+    for r in got:
+        if r["text_crc32"] != zlib.crc32(b"hot" * 40):
+            at.setdefault((r["text_crc32"]), set()).add(r["shard"])
+    assert sum(len(x) > 1 for x in at.values()) <= 15
+
+
+def test_one_row_and_none(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    assert [(r["size"], r["slot"]) for r in sharding.shard(df).collect()] == [(2, 0)]
+    assert sharding.shard(df.limit(0)).collect() == []
