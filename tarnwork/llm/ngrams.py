@@ -35,7 +35,9 @@ from .suffixes import _from_planes, _mix, _pack, _planes, _unpack
 
 SPARE = 2
 FRAGMENTS = 8
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+#: Signatures that a task gathers before it sends them on.
+GATHERED = 1 << 19
 _U = np.uint64
 _B = 0x9E3779B97F4A7C55
 _BYTES = np.random.default_rng(3).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -45,8 +47,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@functools.lru_cache(4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _made_powers(1 << 20) if n <= 1 << 20 else _made_powers.__wrapped__(n)  # those of longer texts aren't kept
+
+
+@functools.lru_cache(1)
+def _made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _U(_B)), np.full(n, _U(pow(_B, -1, 1 << 64)))
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -65,7 +71,7 @@ def word_hashes(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     after[-1] = False
     after[starts[starts > 0] - 1] = False
     a, b = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(1 << max(20, int(len(buf)).bit_length()))
+    up, down = _powers(len(buf))
     sums = np.empty(len(buf) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_BYTES[_LOWER[buf]] * up[: len(buf)], out=sums[1:])
@@ -206,12 +212,22 @@ def candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """run, a, b: for each signature of several sets, its smallest set and each other (by their hashes)."""
     n_ranges = partitions(docs.sparkSession)
 
-    def send(batches):
+    def gathered(batches):
+        held, n = [], 0
         for _, buf, ends in _buffers(batches):
             grams, to = sets(buf, ends, k)
-            names = set_hash(grams, to)
             sig, own = signatures(grams, to, num, den)
-            sig, node, run, a, b = _joined(sig, names[own])
+            held.append((sig, set_hash(grams, to)[own]))
+            n += len(sig)
+            if n >= GATHERED:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if held:
+            yield tuple(map(np.concatenate, zip(*held)))
+
+    def send(batches):
+        for sig, node in gathered(batches):
+            sig, node, run, a, b = _joined(sig, node)
             cut = [0, *np.searchsorted(sig, (np.arange(1, n_ranges, dtype=object) * (1 << 48) // n_ranges).astype(np.uint64)), len(sig)]
             table, at = np.unique(node, return_inverse=True)
             ranges, blobs = [], []
