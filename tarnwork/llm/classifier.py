@@ -106,10 +106,8 @@ def fold(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    a = column.combine_chunks()
-    a = a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
-    return a.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
 
 
 def fit(rows: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict | None:

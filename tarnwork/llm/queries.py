@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, ngrams, packing, quality, sharding, suffixes
+from . import archives, classifier, licenses, media, mixing, ngrams, packing, quality, sharding, suffixes
 from .shared import table
 
 
@@ -27,6 +27,16 @@ def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), token_file())
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = media.text_media(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def op5_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = archives.round_trip(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.ratios(docs, table(spark, sf_dir, "labels"))).drop("text_hash")
@@ -37,12 +47,16 @@ def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.join(table(spark, sf_dir, "documents"), 3, 90, 100)
+    return ngrams.join(table(spark, sf_dir, "documents"), 3, 90, 100).drop("text_hash")
 
 
 def queries():
@@ -50,8 +64,11 @@ def queries():
         op1_license_scans,
         op2_suffix_array_dedup,
         op3_sum_of_squares_packing,
+        op4_media_columns,
+        op5_zip_archives,
         op6_quality_rules,
         op7_sampled_splitters,
+        op8_quality_classifier,
         op9_mixing,
         op10_ngram_jaccard_join,
     )}
