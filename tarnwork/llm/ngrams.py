@@ -12,8 +12,8 @@ empty ones too. No pair is lost, and no gram is too frequent: equal fragments, n
 on its own, and the partial counts are summed per pair and held against the threshold.
 
 Sets, not documents, are joined: equal sets are one node, however many documents have them. A group of sets with one
-signature is joined to its smallest member first (a batch sends one member and joins its others to that), which leaves
-out pairs within what is one component already; pairs between different components of a group are verified after.
+signature is held against one of its members first, the one that shares most signatures. Links between components that
+this leaves apart are then found from how the members differ from that one (see ``between``), without trying all pairs.
 
 Rows: a null text has no words. A text of fewer words than the gram is one gram of all its words; without words the set
 is empty, linked with nothing, and its component is its own doc_id. Repeated rows are linked like any equal sets. A null
@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import partitions, staged
 from .suffixes import _from_planes, _mix, _pack, _planes, _unpack
@@ -278,6 +279,72 @@ def overlaps(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFram
     return counted.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("same").alias("same")).filter(F.lit(den) * same >= F.lit(num) * (F.col("n_a") + F.col("n_b") - same)).select("a", "b")
 
 
+def stars(found: DataFrame) -> DataFrame:
+    """a, b: for each signature's sets, the one that shares most signatures (a) with each other (b)."""
+    members = staged(found.select("run", F.col("a").alias("node")).unionAll(found.select("run", F.col("b").alias("node"))).distinct(), "ngram-members")
+    degree = members.groupBy("node").agg(F.count("*").alias("_n"))
+    hub = members.join(degree, "node").groupBy("run").agg(F.max(F.struct("_n", "node")).alias("_m")).select("run", F.col("_m.node").alias("a"))
+    return members.join(hub, "run").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def between(pairs: DataFrame, parts: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: links between different components of one star, which its hub's links don't show.
+
+    A set x of hub L is known by its difference E from L (grams in one of them only): two sets of the star differ by
+    |Ex| + |Ey| - 2 |Ex & Ey| grams. If x isn't linked with L (it is outside) and x and y are linked, Ex and Ey must share
+    grams, at least o = (|Ex| + |Ey| - allowed) / 2, where allowed = (|x| + |y|)(1-t)/(1+t). With grams in the order of
+    how many sets of the star have them in their difference, rarest first, the first gram that a linked pair shares
+    stands among the first |E| - o + 1 of both. Differences of edits made on their own are rare grams, so hardly any pair
+    meets; a pair is tried only if the grams left after the one it meets at can still make up o.
+    """
+    q, s = den - num, den + num
+    one = label.select(F.col("node").alias("_l"), F.col("label"))
+    own = lambda df, c: df.join(one, F.col(c) == F.col("_l"), "left").withColumn("label", F.coalesce("label", c)).drop("_l")
+    named = own(pairs, "b")
+    # Pairs with the hub are tried already, so a star matters only if its other sets are of several components.
+    torn = named.groupBy("a").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x <> _y").select("a")
+    inside = named.join(torn, "a")
+    left = parts.select(F.col("node").alias("a"), "part", F.col("n").alias("l"), F.col("grams").alias("_g"))
+    right = parts.select(F.col("node").alias("b"), "part", "n", F.col("grams").alias("_h"))
+    differ = F.concat(F.array_except("_g", "_h"), F.array_except("_h", "_g"))
+    apart = inside.join(left, "a").join(right, ["b", "part"]).groupBy("a", "b").agg(F.max("l").alias("l"), F.max("n").alias("n"), F.max("label").alias("label"), F.flatten(F.collect_list(differ)).alias("grams"))
+    apart = staged(apart.withColumn("size", F.size("grams").cast("long")), "ngram-differences")
+    each = apart.select("a", "b", F.explode("grams").alias("e"))
+    often = each.groupBy("a", "e").agg(F.count("*").alias("_c"))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("_c", "e"))
+    size, n, hub = F.col("size"), F.col("n"), F.col("l")
+    outside = s * size > q * (n + hub)
+    least = lambda x, y: F.ceil(x / y).cast("long")
+    more = lambda x, y: (F.floor(x / y) + 1).cast("long")
+    with_outside = more(s * size + q * (hub - n), F.lit(2 * s))  # whatever the partner, if that is outside
+    with_any = F.when(outside, F.greatest(F.lit(1), least(s * size - q * (n + hub), F.lit(2 * s)))).otherwise(with_outside)
+    with_larger = least(2 * s * num * size - q * (num + den) * n, F.lit(2 * s * num))
+    first = size + 1 - F.greatest(with_any, with_larger, F.lit(1))  # as the smaller of the two
+    second_out = size + 1 - F.greatest(with_outside, F.lit(1))  # as the larger, by what the smaller is
+    second_in = F.when(outside, size + 1 - with_any).otherwise(F.lit(0))
+    facts = apart.select("a", "b", "l", "n", "size", "label", outside.alias("out"), first.alias("first"), second_out.alias("second_out"), second_in.alias("second_in"))
+    # Grams that only one set has don't meet another, but count in its order.
+    ranked = each.join(often, ["a", "e"]).withColumn("i", rank).filter("_c > 1").join(facts, ["a", "b"])
+    ranked = staged(ranked.filter(F.col("i") <= F.greatest("first", "second_out", "second_in")), "ngram-prefixes")
+    x = ranked.filter("i <= first").select("a", "e", *(F.col(c).alias(f"x_{c}") for c in ("b", "i", "n", "size", "label", "out")))
+    y = ranked.filter("i <= greatest(second_out, second_in)").select("a", "e", *(F.col(c).alias(f"y_{c}") for c in ("b", "i", "n", "size", "label", "out", "second_out", "second_in")))
+    need = F.ceil((s * (F.col("x_size") + F.col("y_size")) - q * (F.col("x_n") + F.col("y_n"))) / F.lit(2 * s))
+    fits = (
+        (F.col("x_label") != F.col("y_label"))
+        & (F.col("x_out") | F.col("y_out"))
+        & ((F.col("x_size") < F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("x_b") < F.col("y_b"))))
+        & (F.col("y_i") <= F.when(F.col("x_out"), F.col("y_second_out")).otherwise(F.col("y_second_in")))
+        & (den * F.least("x_n", "y_n") >= num * F.greatest("x_n", "y_n"))
+        & (need <= 1 + F.least(F.col("x_size") - F.col("x_i"), F.col("y_size") - F.col("y_i")))
+    )
+    tries = x.join(y, ["a", "e"]).filter(fits).select("a", "x_b", "y_b").distinct()
+    grams = apart.select("a", "b", "n", "size", "grams")
+    got = tries.join(grams.select("a", F.col("b").alias("x_b"), F.col("n").alias("x_n"), F.col("size").alias("x_size"), F.col("grams").alias("_g")), ["a", "x_b"])
+    got = got.join(grams.select("a", F.col("b").alias("y_b"), F.col("n").alias("y_n"), F.col("size").alias("y_size"), F.col("grams").alias("_h")), ["a", "y_b"])
+    same = F.size(F.array_intersect("_g", "_h"))
+    return got.filter(s * (F.col("x_size") + F.col("y_size") - 2 * same) <= q * (F.col("x_n") + F.col("y_n"))).select(F.col("x_b").alias("a"), F.col("y_b").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label of every node in links (a, b): label is the smallest node reachable.
 
@@ -301,18 +368,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs; links are of k-word sets with Jaccard >= num / den."""
+    """doc_id, text_hash, n_shingles, component_id of every row of docs; k-word sets with Jaccard >= num / den are linked.
+
+    text_hash (xxhash64 of the text) tells apart rows that share a doc_id.
+    """
 
     def describe(batches):
         for t, buf, ends in _buffers(batches):
             grams, to = sets(buf, ends, k)
-            ids = t["doc_id"].cast(pa.int64()).combine_chunks()
-            yield pa.RecordBatch.from_arrays([ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids, pa.array(np.diff(to, prepend=0)), _signed(set_hash(grams, to))], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([t["doc_id"].cast(pa.int64()).combine_chunks(), t["text_hash"].combine_chunks(), pa.array(np.diff(to, prepend=0)), _signed(set_hash(grams, to))], ["doc_id", "text_hash", "n_shingles", "node"])
 
     docs = docs.select("doc_id", "text")
-    rows = staged(docs.mapInArrow(describe, "doc_id bigint, n_shingles bigint, node bigint"), "ngram-sets")
-    found = candidates(docs, k, num, den)
-    pairs = staged(found.select("a", "b").distinct(), "ngram-pairs")
+    rows = staged(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(describe, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint"), "ngram-sets")
+    pairs = staged(stars(candidates(docs, k, num, den)), "ngram-stars").select("a", "b")
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     one = rows.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi").select("doc_id")
     spare = rows.groupBy("node").agg(F.max("doc_id").alias("d")).filter("d is null").join(nodes, "node", "left_semi")
@@ -322,17 +390,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     parts = staged(fragments(texts, k).dropDuplicates(["node", "part"]), "ngram-fragments")
     links = staged(overlaps(pairs, parts, num, den), "ngram-links")
     label = staged(components(links), "ngram-components")
-    # Pairs between different components of one signature's sets, which the first round had no reason to try.
-    members = found.select("run", F.col("a").alias("node")).unionAll(found.select("run", F.col("b").alias("node"))).distinct()
-    members = members.join(label, "node", "left").select("run", "node", F.coalesce("label", "node").alias("label"))
-    mixed = members.groupBy("run").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("n > 2 and x <> y").select("run")
-    torn = members.join(mixed, "run", "left_semi")
-    other = torn.select("run", F.col("node").alias("node2"), F.col("label").alias("label2"))
-    more = torn.join(other, "run").filter("node < node2 and label <> label2").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = staged(overlaps(more.join(tried, ["a", "b"], "left_anti"), parts, num, den), "ngram-links")
+    more = staged(between(pairs, parts, label, num, den), "ngram-links")
     if more.take(1):
         label = staged(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more)), "ngram-components")
-    of = rows.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
+    of = rows.join(label, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("label", "node").alias("label"))
     least = of.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return of.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return of.join(least, "label", "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
