@@ -12,6 +12,8 @@ levels go to the fullest. Other columns are not looked at. An empty table packs
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from array import array
 
@@ -25,7 +27,7 @@ from .shared import staged
 
 LENGTH = 4096
 END = 2
-#: Pieces in one packer's group, about; words kept with their ids in each Python worker.
+#: Pieces in one packer's group, about; pieces kept with their ids in each Python worker.
 GROUP, CACHED = 50_000, 600_000
 _tokenizers: dict[str, tuple] = {}
 
@@ -39,22 +41,40 @@ def _loaded(path: str):
     return _tokenizers[path]
 
 
+def _latin(category: str) -> str:
+    """Members of a character class for letters (L) or numbers (N) below U+0180."""
+    return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == category)
+
+
+#: Where the tokenizer cuts lowered text before it merges; below U+0180, where Unicode composition changes nothing.
+_PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_latin('L')}]+|[{_latin('N')}]|[^\t-\r \x85\xa0{_latin('L')}{_latin('N')}]+")
+_FAR = re.compile("[^\x00-\u017f]|\u0130|<[|]")
+
+
+def _cut(text: str) -> list[str]:
+    """Strings whose ids, one after the other, are the text's."""
+    if not _FAR.search(text):
+        return _PIECE.findall(text.lower())
+    return [x for w in text.replace("\n", " ").split(" ") if w for x in ([w] if _FAR.search(w) else _PIECE.findall(w.lower()))]
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its space-separated words' ids one
-    after the other; words' ids are kept from batch to batch up to CACHED words.
+    The tokenizer drops white space, lowers, and merges within pieces of letters, single digits or other characters. So a
+    text's ids are those of its pieces, and pieces' ids are kept from batch to batch, up to CACHED. A word with
+    characters from U+0180 on, which may compose, or with what may be a special token is given to the tokenizer as it is.
     """
     tokenizer, known = _loaded(path)
-    split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    new = list({w for words in split for w in words if w not in known})
+    split = [_cut(t or "") for t in texts]
+    new = list({p for x in split for p in x if p not in known})
     for i in range(0, len(new), 4096):
         some = new[i : i + 4096]
         known.update(zip(some, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-    out = [b"".join([known[w] for w in words]) for words in split]
+    out = [b"".join([known[p] for p in x]) for x in split]
     if len(known) > CACHED:
-        for w in new[max(0, len(new) - (len(known) - CACHED)) :]:
-            del known[w]
+        for p in new[max(0, len(new) - (len(known) - CACHED)) :]:
+            del known[p]
     return out
 
 
@@ -121,7 +141,7 @@ def pack(cut: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """The pieces with sequence_id and offset. Sequences are padded to length."""
     groups = max(1, -(-cut.count() // group))
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_order", "doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
         window, place = sum_of_squares(rows["length"].to_numpy(), length)
         return rows.drop(columns=["_group", "_order"]).assign(sequence_id=window * groups + key[0], offset=place)

@@ -16,6 +16,16 @@ def test_ids_are_those_of_whole_texts():
     assert packing.encode(TEXTS, token_file()) == want
 
 
+def test_ids_of_all_kinds_of_characters():
+    t = Tokenizer.from_file(token_file())
+    rng = __import__("random").Random(1)
+    common = [chr(c) for c in range(0x250) if chr(c) not in "<>"]
+    rare = common + list("\u0301\u0345\u2028\u3000\uac00\u1100\u1161ΣςİK\U0001f600१")
+    texts = ["".join(rng.choice(common if i % 2 else rare) for _ in range(60)) for i in range(400)]
+    texts += [" ".join("".join(rng.choice("ab's'llé1²½!#$ªº") for _ in range(5)) for _ in range(9)) for _ in range(200)]
+    assert packing.encode(texts, token_file()) == [array("I", t.encode(x, add_special_tokens=False).ids).tobytes() for x in texts]
+
+
 def test_every_id_once_and_no_gaps(spark):
     df = spark.createDataFrame([(i if i != 6 else 5, x, 1) for i, x in enumerate(TEXTS)], "doc_id bigint, text string, length int")
     rows = packing.pack_documents(df, token_file(), with_ids=True).collect()
