@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, classifier, licenses, media, mixing, ngrams, packing, quality, sharding, suffixes
+from . import archives, classifier, licenses, media, mixing, ngrams, oracles, packing, quality, sharding, suffixes
 from .shared import table
 
 
@@ -75,4 +75,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
