@@ -24,7 +24,7 @@ from .shared import SPACE_RUN, staged
 
 WEIGHTS = (3, 1, 2)
 #: Words in a block, about; slots at least; rows in a shuffled stretch of a source, about.
-BLOCK, SLOTS, STRETCH = 1024, 1 << 12, 20_000
+BLOCK, SLOTS, STRETCH = 1024, 1 << 12, 1_000
 
 
 def targets(sizes: list[int], weights: list[float], factor: float, most: float) -> list[float]:
