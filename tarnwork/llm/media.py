@@ -215,4 +215,5 @@ def facts(stored: DataFrame) -> DataFrame:
 def text_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, position, caption and FACTS of every document's image."""
     stored = store_text(docs)
-    return resolve(sequences(stored, "doc_id", keep=("n_bytes",)), facts(stored))
+    # Facts as a table: the join then has an exchange of its own on either side, of which Spark splits a hot digest's.
+    return resolve(sequences(stored, "doc_id", keep=("n_bytes",)), staged(facts(stored), "media-facts"))
