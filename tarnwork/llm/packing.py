@@ -28,7 +28,7 @@ from .shared import staged
 LENGTH = 4096
 END = 2
 #: Pieces in one packer's group, about; pieces kept with their ids in each Python worker.
-GROUP, CACHED = 50_000, 600_000
+GROUP, CACHED = 50_000, 1_200_000
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -67,15 +67,49 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     """
     tokenizer, known = _loaded(path)
     split = [_cut(t or "") for t in texts]
-    new = list({p for x in split for p in x if p not in known})
-    for i in range(0, len(new), 4096):
-        some = new[i : i + 4096]
-        known.update(zip(some, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-    out = [b"".join([known[p] for p in x]) for x in split]
+    found = [list(map(known.get, x)) for x in split]
+    lacking = [i for i, ids in enumerate(found) if None in ids]
+    new = list({p for i in lacking for p, ids in zip(split[i], found[i]) if ids is None})
+    known.update(_encoded(tokenizer, new))
+    for i in lacking:
+        found[i] = list(map(known.get, split[i]))
     if len(known) > CACHED:
         for p in new[max(0, len(new) - (len(known) - CACHED)) :]:
             del known[p]
-    return out
+    return [b"".join(ids) for ids in found]
+
+
+def _encoded(tokenizer, strings: list[str], together: int = 1024):
+    """(string, ids) of each. Pieces go to the tokenizer many at a time, between blanks, and are told apart by the
+    tokens that end a piece; what isn't one piece goes alone."""
+    one = [x for x in strings if not _FAR.search(x)]
+    alone = [x for x in strings if _FAR.search(x)]
+    ends = _ends(tokenizer)
+    for i in range(0, len(one), together):
+        some = one[i : i + together]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(cuts) != len(some):
+            alone += some
+            continue
+        raw = ids.tobytes()
+        yield from zip(some, (raw[a:b] for a, b in zip([0, *cuts], cuts)))
+    for i in range(0, len(alone), together):
+        some = alone[i : i + together]
+        yield from zip(some, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+
+
+_end_tables: dict[int, np.ndarray] = {}
+
+
+def _ends(tokenizer) -> np.ndarray:
+    """Which ids stand for the end of a piece."""
+    if id(tokenizer) not in _end_tables:
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        table = np.zeros(max(vocabulary.values()) + 1, bool)
+        table[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
+        _end_tables[id(tokenizer)] = table
+    return _end_tables[id(tokenizer)]
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
