@@ -4,16 +4,17 @@ The global order is that of 64-bit n-gram hashes. Two cuts of it are used.
 
 *Candidates.* For sets of up to U grams, linked pairs differ in at most d = 2U(1-t)/(1+t) grams, so if the order is cut
 into more than d fragments, some fragment holds the same grams of both. Every set sends a signature of each fragment,
-by size class (own and next, so that every pair of linkable sizes shares a cut). ``SPARE`` more fragments than needed
-make an equal fragment that isn't empty certain, unless a set leaves more than SPARE of them empty; such sets send the
-empty ones too. No pair is lost, and no gram is too frequent: equal fragments, not common grams, make candidates.
+by size class (own and next, so that every pair of linkable sizes shares a cut). With half as many spare fragments a linked
+pair has a third of them equal, and at least one that isn't empty, unless a set leaves more than the spare ones empty; such sets
+send the empty ones too. No pair is lost, and no gram is too frequent: equal fragments, not common grams, make
+candidates, and a set that shares too few of them with others is out.
 
 *Overlaps.* The order is cut into ``FRAGMENTS`` ranges; for each candidate pair the overlap is counted in each range
 on its own, and the partial counts are summed per pair and held against the threshold.
 
-Sets, not documents, are joined: equal sets are one node, however many documents have them. A group of sets with one
-signature is held against one of its members first, the one that shares most signatures. Links between components that
-this leaves apart are then found from how the members differ from that one (see ``between``), without trying all pairs.
+Sets, not documents, are joined: equal sets are one node, however many documents have them. Sets that chains of common
+signatures join are a family; each is held against the family's hub first, the set with most common signatures. Links
+that this leaves out are then found from how the members differ from the hub (see ``between``), without trying all pairs.
 
 Rows: a null text has no words. A text of fewer words than the gram is one gram of all its words; without words the set
 is empty, linked with nothing, and its component is its own doc_id. Repeated rows are linked like any equal sets. A null
@@ -34,7 +35,8 @@ from pyspark.sql.window import Window
 from .shared import partitions, staged
 from .suffixes import _from_planes, _mix, _pack, _planes, _unpack
 
-SPARE = 2
+#: Rounds in which sets without enough common signatures go.
+PRUNED = 3
 FRAGMENTS = 8
 BATCH_BYTES = 1 << 20
 #: Signatures that a task gathers before it sends them on.
@@ -115,30 +117,34 @@ def set_hash(grams: np.ndarray, to: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(8)
-def _classes(num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least size and number of differing grams of each size class."""
+def _classes(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least size, number of differing grams, and spare fragments of each size class."""
     least, differ, low = [], [], 1
     while low < 1 << 40:
         high = low * den // num
         least.append(low)
         differ.append(2 * high * (den - num) // (den + num))
         low = high + 1
-    return np.array(least), np.array(differ)
+    return np.array(least), np.array(differ), np.maximum(np.array(differ) // 2, 2)
 
 
-def signatures(grams: np.ndarray, to: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit signatures of the fragments of each set, and the set each is of."""
-    least, differ = _classes(num, den)
+def signatures(grams: np.ndarray, to: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """48-bit signatures of the fragments of each set, and the set each is of; and how many a linked pair shares.
+
+    A signature's last bit is its class's, so it tells a set's own class from the next. The third result has, for each
+    set and last bit, the number of signatures that the set shares with any set it is linked with in that class.
+    """
+    least, differ, spares = _classes(num, den)
     n = np.diff(to, prepend=0)
     own = np.searchsorted(least, n, "right") - 1
     of = np.repeat(np.arange(len(to)), n)
     weight = np.concatenate([[_U(0)], np.cumsum(_mix(grams, 0x589965CC75374CC3), dtype=np.uint64)])
-    sigs, owners = [], []
+    sigs, owners, need = [], [], np.ones((len(to), 2), np.int32)
     for step in (0, 1):
         c = np.maximum(own + step, 0)
-        m = np.where((n > 0) & (differ[c] > 0), differ[c] + 1 + SPARE, 0)
-        use = m[of] > 0
-        at = np.flatnonzero(use)
+        spare = spares[c]
+        m = np.where((n > 0) & (differ[c] > 0), differ[c] + 1 + spare, 0)
+        at = np.flatnonzero(m[of] > 0)
         if not len(at):
             continue
         part = ((grams[at] >> _U(32)) * m[of[at]].astype(np.uint64)) >> _U(32)
@@ -147,13 +153,18 @@ def signatures(grams: np.ndarray, to: np.ndarray, num: int, den: int) -> tuple[n
         begin, end = at[first], np.concatenate([at[first[1:] - 1], [at[-1]]]) + 1
         owner = of[begin]
         tag = lambda part, owner: part * _U(0x1D8E4E27C47D124F) + c[owner].astype(np.uint64) * _U(0xEB44ACCAB455D165)
-        sigs.append(_mix(weight[end] - weight[begin] + tag(part[first], owner)) >> _U(16))
+        named = lambda x, owner: ((_mix(x + tag(*owner)) >> _U(17)) << _U(1)) | (c[owner[1]] & 1).astype(np.uint64)
+        sigs.append(named(weight[end] - weight[begin], (part[first], owner)))
         owners.append(owner)
-        for i in np.flatnonzero(m - np.bincount(owner, minlength=len(to)) > SPARE):
-            empty = np.setdiff1d(np.arange(m[i], dtype=np.uint64), part[first][owner == i])
-            sigs.append(_mix(tag(empty, np.full(len(empty), i))) >> _U(16))
-            owners.append(np.full(len(empty), i))
-    return (np.concatenate(sigs), np.concatenate(owners)) if sigs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        empty = m - np.bincount(owner, minlength=len(to))
+        need[np.arange(len(to)), c & 1] = np.where(empty <= spare, spare + 1 - empty, 1)
+        for i in np.flatnonzero(empty > spare):
+            gone = np.setdiff1d(np.arange(m[i], dtype=np.uint64), part[first][owner == i])
+            sigs.append(named(np.zeros(len(gone), np.uint64), (gone, np.full(len(gone), i))))
+            owners.append(np.full(len(gone), i))
+    if not sigs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), need
+    return np.concatenate(sigs), np.concatenate(owners), need
 
 
 def _buffers(batches, size: int = BATCH_BYTES):
@@ -187,15 +198,15 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-_SENT = "_range int, blob binary, run bigint, a bigint, b bigint"
+_SENT = "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, need_0 int, need_1 int, _range int, blob binary, run bigint, a bigint, b bigint"
+_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
-def _sent(ranges=(), blobs=(), run=np.zeros(0, np.uint64), a=np.zeros(0, np.uint64), b=np.zeros(0, np.uint64)) -> pa.RecordBatch:
-    r, n = len(ranges), len(run)
-    both = lambda x: pa.concat_arrays([pa.nulls(r, pa.int64()), _signed(x)])
-    return pa.RecordBatch.from_arrays(
-        [pa.concat_arrays([pa.array(ranges, pa.int32()), pa.nulls(n, pa.int32())]), pa.concat_arrays([pa.array(blobs, pa.binary()), pa.nulls(n, pa.binary())]), both(run), both(a), both(b)], ["_range", "blob", "run", "a", "b"]
-    )
+def _sent(**columns) -> pa.RecordBatch:
+    """Rows of _SENT of one kind: the columns given, all others null."""
+    n = len(next(iter(columns.values())))
+    names = [x.split() for x in _SENT.split(", ")]
+    return pa.RecordBatch.from_arrays([columns[x].cast(_KINDS[t]) if x in columns else pa.nulls(n, _KINDS[t]) for x, t in names], [x for x, _ in names])
 
 
 def _joined(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -209,35 +220,51 @@ def _joined(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
     return sig[first], node[first], sig[~first], least[~first], node[~first]
 
 
-def candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """run, a, b: for each signature of several sets, its smallest set and each other (by their hashes)."""
+def send_all(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """One pass over the texts. Rows of three kinds: what each document's set is; signatures, packed by range of their
+    values; and (run, a, b), a batch's own sets of one signature (run), the smallest (a) with each other (b)."""
     n_ranges = partitions(docs.sparkSession)
+    limits = (np.arange(1, n_ranges, dtype=object) * (1 << 48) // n_ranges).astype(np.uint64)
+
+    def packed(held):
+        sig, node, run, a, b = _joined(*map(np.concatenate, zip(*held)))
+        cut = [0, *np.searchsorted(sig, limits), len(sig)]
+        table, at = np.unique(node, return_inverse=True)
+        ranges, blobs = [], []
+        for i, (x, y) in enumerate(zip(cut, cut[1:])):
+            if y > x:
+                used, local = np.unique(at[x:y], return_inverse=True)
+                ranges.append(i)
+                blobs.append(_pack(_planes(sig[x:y]), local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), table[used]))
+        yield _sent(_range=pa.array(ranges, pa.int32()), blob=pa.array(blobs, pa.binary()))
+        yield _sent(run=_signed(run), a=_signed(a), b=_signed(b))
 
-    def gathered(batches):
+    def send(batches):
         held, n = [], 0
-        for _, buf, ends in _buffers(batches):
+        for t, buf, ends in _buffers(batches):
             grams, to = sets(buf, ends, k)
-            sig, own = signatures(grams, to, num, den)
-            held.append((sig, set_hash(grams, to)[own]))
+            names = set_hash(grams, to)
+            sig, own, need = signatures(grams, to, num, den)
+            yield _sent(
+                doc_id=t["doc_id"].combine_chunks(), text_hash=t["text_hash"].combine_chunks(), n_shingles=pa.array(np.diff(to, prepend=0)), node=_signed(names), need_0=pa.array(need[:, 0]), need_1=pa.array(need[:, 1])
+            )
+            held.append((sig, names[own]))
             n += len(sig)
             if n >= GATHERED:
-                yield tuple(map(np.concatenate, zip(*held)))
+                yield from packed(held)
                 held, n = [], 0
         if held:
-            yield tuple(map(np.concatenate, zip(*held)))
+            yield from packed(held)
 
-    def send(batches):
-        for sig, node in gathered(batches):
-            sig, node, run, a, b = _joined(sig, node)
-            cut = [0, *np.searchsorted(sig, (np.arange(1, n_ranges, dtype=object) * (1 << 48) // n_ranges).astype(np.uint64)), len(sig)]
-            table, at = np.unique(node, return_inverse=True)
-            ranges, blobs = [], []
-            for i, (x, y) in enumerate(zip(cut, cut[1:])):
-                if y > x:
-                    used, local = np.unique(at[x:y], return_inverse=True)
-                    ranges.append(i)
-                    blobs.append(_pack(_planes(sig[x:y]), local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), table[used]))
-            yield _sent(ranges, blobs, run, a, b)
+    return staged(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(send, _SENT), "ngram-signatures")
+
+
+def candidates(sent: DataFrame) -> DataFrame:
+    """run, node: the sets of each signature that several have, without those that can't be linked with any.
+
+    A linked pair shares at least as many signatures of a class as each of the two needs, so a set that has fewer
+    signatures with others goes; then others may have fewer, and so on, for PRUNED rounds.
+    """
 
     def meet(table):
         parts = [_unpack(x) for x in table["blob"].to_pylist()]
@@ -246,9 +273,18 @@ def candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         _, _, run, a, b = _joined(sig, node)
         return pa.table({"run": _signed(run), "a": _signed(a), "b": _signed(b)})
 
-    sent = staged(docs.select("text").mapInArrow(send, _SENT), "ngram-signatures")
     met = sent.filter(F.col("blob").isNotNull()).select("_range", "blob").groupBy("_range").applyInArrow(meet, "run bigint, a bigint, b bigint")
-    return staged(sent.filter(F.col("blob").isNull()).select("run", "a", "b").unionAll(met), "ngram-candidates")
+    pairs = sent.filter(F.col("run").isNotNull()).select("run", "a", "b").unionAll(met)
+    members = staged(pairs.select("run", F.explode(F.array("a", "b")).alias("node")).distinct(), "ngram-members")
+    needs = sent.filter(F.col("need_0").isNotNull()).groupBy("node").agg(F.min("need_0").alias("need_0"), F.min("need_1").alias("need_1"))
+    needs = staged(needs.join(members.select("node").distinct(), "node", "left_semi"), "ngram-needs")
+    for _ in range(PRUNED):
+        side = F.pmod("run", F.lit(2))
+        enough = members.groupBy("node", side.alias("side")).agg(F.count("*").alias("_n")).join(needs, "node").filter(F.col("_n") >= F.when(F.col("side") == 0, F.col("need_0")).otherwise(F.col("need_1")))
+        kept = members.withColumn("side", side).join(enough.select("node", "side"), ["node", "side"], "left_semi").select("run", "node")
+        several = kept.groupBy("run").agg(F.count("*").alias("_n")).filter("_n > 1").select("run")
+        members = staged(kept.join(several, "run", "left_semi"), "ngram-members")
+    return members
 
 
 def fragments(docs: DataFrame, k: int) -> DataFrame:
@@ -279,21 +315,24 @@ def overlaps(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFram
     return counted.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("same").alias("same")).filter(F.lit(den) * same >= F.lit(num) * (F.col("n_a") + F.col("n_b") - same)).select("a", "b")
 
 
-def stars(found: DataFrame) -> DataFrame:
-    """a, b: for each signature's sets, the one that shares most signatures (a) with each other (b)."""
-    members = staged(found.select("run", F.col("a").alias("node")).unionAll(found.select("run", F.col("b").alias("node"))).distinct(), "ngram-members")
-    degree = members.groupBy("node").agg(F.count("*").alias("_n"))
-    hub = members.join(degree, "node").groupBy("run").agg(F.max(F.struct("_n", "node")).alias("_m")).select("run", F.col("_m.node").alias("a"))
-    return members.join(hub, "run").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+def families(members: DataFrame) -> DataFrame:
+    """a, b: each set (b) and the hub (a) of its family, the sets that chains of common signatures join. The hub is the
+    set with most common signatures."""
+    degree = staged(members.groupBy("node").agg(F.count("*").alias("_n")), "ngram-degrees")
+    first = members.groupBy("run").agg(F.min("node").alias("a"))
+    joined = components(members.join(first, "run").select("a", F.col("node").alias("b")))
+    family = staged(joined.join(degree, "node"), "ngram-families")
+    hub = staged(family.groupBy("label").agg(F.max(F.struct("_n", "node")).alias("_m")).select("label", F.col("_m.node").alias("a")), "ngram-hubs")
+    return family.join(hub, "label").filter("node <> a").select("a", F.col("node").alias("b"))
 
 
 def between(pairs: DataFrame, parts: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: links between different components of one star, which its hub's links don't show.
+    """a, b: links between different components of one family, which its hub's links don't show.
 
-    A set x of hub L is known by its difference E from L (grams in one of them only): two sets of the star differ by
+    A set x of hub L is known by its difference E from L (grams in one of them only): two sets of the family differ by
     |Ex| + |Ey| - 2 |Ex & Ey| grams. If x isn't linked with L (it is outside) and x and y are linked, Ex and Ey must share
     grams, at least o = (|Ex| + |Ey| - allowed) / 2, where allowed = (|x| + |y|)(1-t)/(1+t). With grams in the order of
-    how many sets of the star have them in their difference, rarest first, the first gram that a linked pair shares
+    how many sets of the family have them in their difference, rarest first, the first gram that a linked pair shares
     stands among the first |E| - o + 1 of both. Differences of edits made on their own are rare grams, so hardly any pair
     meets; a pair is tried only if the grams left after the one it meets at can still make up o.
     """
@@ -301,7 +340,7 @@ def between(pairs: DataFrame, parts: DataFrame, label: DataFrame, num: int, den:
     one = label.select(F.col("node").alias("_l"), F.col("label"))
     own = lambda df, c: df.join(one, F.col(c) == F.col("_l"), "left").withColumn("label", F.coalesce("label", c)).drop("_l")
     named = own(pairs, "b")
-    # Pairs with the hub are tried already, so a star matters only if its other sets are of several components.
+    # Pairs with the hub are tried already, so a family matters only if its other sets are of several components.
     torn = named.groupBy("a").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x <> _y").select("a")
     inside = named.join(torn, "a")
     left = parts.select(F.col("node").alias("a"), "part", F.col("n").alias("l"), F.col("grams").alias("_g"))
@@ -373,14 +412,10 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     text_hash (xxhash64 of the text) tells apart rows that share a doc_id.
     """
 
-    def describe(batches):
-        for t, buf, ends in _buffers(batches):
-            grams, to = sets(buf, ends, k)
-            yield pa.RecordBatch.from_arrays([t["doc_id"].cast(pa.int64()).combine_chunks(), t["text_hash"].combine_chunks(), pa.array(np.diff(to, prepend=0)), _signed(set_hash(grams, to))], ["doc_id", "text_hash", "n_shingles", "node"])
-
     docs = docs.select("doc_id", "text")
-    rows = staged(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(describe, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint"), "ngram-sets")
-    pairs = staged(stars(candidates(docs, k, num, den)), "ngram-stars").select("a", "b")
+    sent = send_all(docs.withColumn("doc_id", F.col("doc_id").cast("long")), k, num, den)
+    rows = sent.filter(F.col("need_0").isNotNull()).select("doc_id", "text_hash", "n_shingles", "node")
+    pairs = staged(families(candidates(sent)), "ngram-pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     one = rows.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi").select("doc_id")
     spare = rows.groupBy("node").agg(F.max("doc_id").alias("d")).filter("d is null").join(nodes, "node", "left_semi")
@@ -394,5 +429,6 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     if more.take(1):
         label = staged(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more)), "ngram-components")
     of = rows.join(label, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("label", "node").alias("label"))
-    least = of.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+    # A table, so that the join has an exchange of its own on either side, of which Spark splits a hot component's.
+    least = staged(of.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least")), "ngram-least")
     return of.join(least, "label", "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
