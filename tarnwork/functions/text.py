@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 WORD, DIGIT, SPACE = r"[\p{L}\p{N}_]", r"\p{Nd}", r"\s\x0b\x1c-\x1f\x85\p{Z}"
 # Fixed value: the code tokens, leftmost alternative first.
 TOKEN = rf"[A-Za-z_]{WORD}*|0[xX][0-9A-Fa-f]+|{DIGIT}+(?:\.{DIGIT}+)?|==|!=|<=|>=|->|::|&&|\|\||<<|>>|[^{SPACE}]"
+# Patterns of include lines, definitions and build scripts.
+INCLUDE = r"(?im)^\s*(?:#\s*include\s*[<\"]([^>\"]+)[>\"]|include\s*['\"]([^'\"]+)['\"])"
+DEFINE = rf"(?m)^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]{WORD}*)(?:[ \t]+([^/\r\n]+?))?[ \t]*(?://.*)?$"
+DYNAMIC_BUILD = r"(?i)\b(?:aux_source_directory|execute_process|add_custom_command|meson|scons|bazel)\b"
+MAKE_CALL = r"(?i)(?:^|[^A-Za-z0-9_])g?make(?:[^A-Za-z0-9_]|\z)"
+BUILD_GLOB = r"(src/[A-Za-z0-9_./*?\[\]-]+)"
+SHELL_PATH = r"src/(?:\$|`)"
+ENTER_SOURCES = r"(?m)^\s*(?:cd|pushd)\s+(?:['\"])?src(?:/|['\"]|\s|$)"
 # File classes of the audit.
 COMPILED = (".c", ".cc", ".cpp", ".cxx", ".cu", ".f", ".f77", ".f90", ".f95", ".for")
 HEADERS = (".h", ".hh", ".hpp", ".hxx", ".cuh", ".fh", ".inc")
@@ -44,15 +52,13 @@ def identifiers(x: Column) -> Column:
 
 def includes(x: Column) -> Column:
     """Targets of C and Fortran include lines."""
-    pattern = r"(?im)^\s*(?:#\s*include\s*[<\"]([^>\"]+)[>\"]|include\s*['\"]([^'\"]+)['\"])"
-    both = (F.regexp_extract_all(x, F.lit(pattern), F.lit(i)) for i in (1, 2))
+    both = (F.regexp_extract_all(x, F.lit(INCLUDE), F.lit(i)) for i in (1, 2))
     return F.zip_with(*both, lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b))
 
 
 def definitions(x: Column) -> Column:
     """(name, value) of each #define; an empty value is null."""
-    pattern = rf"(?m)^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]{WORD}*)(?:[ \t]+([^/\r\n]+?))?[ \t]*(?://.*)?$"
-    both = (F.regexp_extract_all(x, F.lit(pattern), F.lit(i)) for i in (1, 2))
+    both = (F.regexp_extract_all(x, F.lit(DEFINE), F.lit(i)) for i in (1, 2))
     return F.zip_with(*both, lambda a, b: F.struct(a.alias("name"), F.nullif(F.trim(b), F.lit("")).alias("value")))
 
 
@@ -158,6 +164,6 @@ def build_tools(compile_text: Column, run_text: Column) -> Column:
     both = F.concat_ws("\n", compile_text, run_text)
     return F.struct(
         F.contains(F.lower(both), F.lit("cmake")).alias("cmake"),
-        compile_text.rlike(r"(?i)(?:^|[^A-Za-z0-9_])g?make(?:[^A-Za-z0-9_]|\z)").alias("make"),
-        both.rlike(r"(?i)\b(?:aux_source_directory|execute_process|add_custom_command|meson|scons|bazel)\b").alias("dynamic"),
+        compile_text.rlike(MAKE_CALL).alias("make"),
+        both.rlike(DYNAMIC_BUILD).alias("dynamic"),
     )

@@ -59,11 +59,11 @@ def scope_reasons(files: DataFrame) -> DataFrame:
     build = all_files.withColumn("is_build", is_build)
     texts = build.filter("is_build").groupBy("submission_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "content"))), lambda f: f["content"]), "\n").alias("_b"))
     build = build.join(texts, "submission_id", "left").withColumn("build_text", F.concat_ws("\n", "compile", "run", F.coalesce("_b", F.lit(""))))
-    build = build.withColumn("dynamic", F.col("build_text").rlike(r"(?i)\b(?:aux_source_directory|execute_process|add_custom_command|meson|scons|bazel)\b"))
+    build = build.withColumn("dynamic", F.col("build_text").rlike(T.DYNAMIC_BUILD))
     compiled, code = suffix.isin(*T.COMPILED), suffix.isin(*T.COMPILED, *T.HEADERS)
     quoted = F.concat(F.lit(r"(?<![A-Za-z0-9_])"), F.lit("\\Q"), T.stem(path), F.lit("\\E"), F.lit(r"(?![A-Za-z0-9_])"))
     mentioned = compiled & (F.contains(F.col("build_text"), path) | F.contains(F.col("build_text"), name) | F.regexp_like(F.col("build_text"), quoted))
-    globs = F.array_distinct(F.regexp_extract_all("build_text", F.lit(r"(src/[A-Za-z0-9_./*?\[\]-]+)"), F.lit(1)))
+    globs = F.array_distinct(F.regexp_extract_all("build_text", F.lit(T.BUILD_GLOB), F.lit(1)))
     as_regex = lambda g: F.concat(F.lit("(?s)^"), F.replace(F.replace(F.replace(g, F.lit("."), F.lit("[.]")), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("\\z"))
     hit = F.filter(globs, lambda g: F.regexp_like(path, as_regex(g)))
     rules = F.array_compact(F.concat(
@@ -84,13 +84,13 @@ def scope_reasons(files: DataFrame) -> DataFrame:
     outside = (F.size("reasons") == 0) & (path != INPUT_FILE)
     scripts = F.concat_ws("\n", "compile", "run")
     late = F.array_compact(F.array(
-        F.when(scripts.rlike(r"src/(?:\$|`)") & asset & ~code, F.lit("conservative_dynamic_runtime_asset_path")),
-        F.when(outside & asset & F.contains(F.concat_ws("\n", scripts, "build_text"), path) & ~(scripts.rlike(r"src/(?:\$|`)") & ~code), F.lit("literal_runtime_or_build_path")),
+        F.when(scripts.rlike(T.SHELL_PATH) & asset & ~code, F.lit("conservative_dynamic_runtime_asset_path")),
+        F.when(outside & asset & F.contains(F.concat_ws("\n", scripts, "build_text"), path) & ~(scripts.rlike(T.SHELL_PATH) & ~code), F.lit("literal_runtime_or_build_path")),
         F.when(F.col("cut") & (path != INPUT_FILE), F.lit("conservative_truncated_bundle_fallback")),
     ))
     third = second.withColumn("reasons", F.concat("reasons", late))
     # Scripts that change into src/ reach assets by bare name, from any text in scope.
-    moved = F.col("run").rlike(r"(?m)^\s*(?:cd|pushd)\s+(?:['\"])?src(?:/|['\"]|\s|$)")
+    moved = F.col("run").rlike(T.ENTER_SOURCES)
     reach = third.filter(moved & (F.size("reasons") > 0)).groupBy("submission_id").agg(F.array_join(F.collect_list("content"), "\n").alias("_reach"))
     last = third.join(reach, "submission_id", "left").withColumn("reasons", F.concat("reasons", F.when(asset & F.coalesce(F.contains("_reach", name), F.lit(False)), F.array(F.lit("runtime_asset_with_src_working_directory"))).otherwise(F.array().cast("array<string>"))))
     return last.filter(F.size("reasons") > 0).select("submission_id", "path", F.array_sort(F.array_distinct("reasons")).alias("reasons"))
@@ -152,8 +152,10 @@ def macros(files: DataFrame, *key: str) -> DataFrame:
 def compare_macros(submission: DataFrame, course: DataFrame, names=CRITICAL_MACROS) -> DataFrame:
     """name, submission, course, matches_course of the listed macros that either defines."""
     a = submission.filter(F.col("name").isin(*names)).select("submission_id", "name", F.col("value").alias("submission"), F.lit(True).alias("_a"))
-    ids = submission.select("submission_id").distinct()
-    b = ids.join(F.broadcast(course.filter(F.col("name").isin(*names)).select("name", F.col("value").alias("course"))))  # at most as many rows as names
+    # Each submission is met with every listed macro of the course: one array of at most as many entries as names.
+    listed = course.filter(F.col("name").isin(*names)).agg(F.collect_list(F.struct("name", F.col("value").alias("course"))).alias("_c"), F.lit(1).alias("_one"))
+    ids = submission.select("submission_id").distinct().withColumn("_one", F.lit(1))
+    b = ids.join(F.broadcast(listed), "_one").select("submission_id", F.explode("_c").alias("_m")).select("submission_id", "_m.*")
     return a.join(b, ["submission_id", "name"], "full").select("submission_id", "name", "submission", "course", F.col("submission").eqNullSafe(F.col("course")).alias("matches_course"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +44,7 @@ def to_table(stream: DataFrame, path: str, label: str = "stream"):
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.outputMode("update").option("checkpointLocation", f"{shared_dir(spark)}/{label}-checkpoint-{abs(hash(path))}").trigger(availableNow=True).foreachBatch(keep).start()
+    return stream.writeStream.outputMode("update").option("checkpointLocation", f"{shared_dir(spark)}/{label}-checkpoint-{crc32(path.encode())}").trigger(availableNow=True).foreachBatch(keep).start()
 
 
 def settled(spark, path: str) -> DataFrame:
