@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bundles, delta, reports, selection, similarity, verdicts
 from ..sources.settings import Settings
+from ..storage import staged
 
 #: A reviewer gets tasks and returns task_key, decision, confidence, error; model calls happen behind it.
 Reviewer = Callable[[DataFrame], DataFrame]
@@ -60,13 +61,14 @@ def plan(request: Request, submissions: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def run(request: Request, submissions: DataFrame, files: DataFrame, baseline: DataFrame, ledger: DataFrame, reviewer: Reviewer) -> Result:
-    """files: submission_id, lab_id, path, size, content. Everything up to the reviewer is one lazy graph."""
+    """files: submission_id, lab_id, path, size, content. Deltas, entities and candidates are tables in the shared folder:
+    several steps read each, and one plan of all of them would be too long to optimize."""
     s = request.settings
     history, best, _ = plan(request, submissions)
     read = bundles.read_budget(files, s.file_bytes, s.total_bytes).withColumn("content", F.expr("substring(content, 1, cast(bytes_read as int))"))
     read = read.join(history.select(F.col("id").alias("submission_id")), "submission_id", "left_semi")
     incomplete = read.groupBy("submission_id").agg(F.bool_or(F.col("omission_reason").isNotNull()).alias("incomplete"))
-    found = delta.build(read, baseline, list(request.patterns))
+    found = staged(delta.build(read, baseline, list(request.patterns)), "audit-deltas")
     whole = history.select(F.col("id").alias("submission_id")).join(incomplete, "submission_id", "left").withColumn("incomplete", F.coalesce("incomplete", F.lit(False)))
     digests = delta.digests(found, whole)
     shingles = similarity.shingle_sets(found, s.shingle_size)
@@ -76,7 +78,8 @@ def run(request: Request, submissions: DataFrame, files: DataFrame, baseline: Da
         .join(shingles.withColumnRenamed("submission_id", "id"), "id", "left").join(changed.withColumnRenamed("submission_id", "id"), "id", "left")
         .withColumn("shingles", F.coalesce("shingles", F.array().cast("array<string>"))).withColumn("changed_files", F.coalesce("changed_files", F.lit(False)))
     )
-    candidates = similarity.detect(entities, s.threshold, request.mode)
+    entities = staged(entities, "audit-entities")
+    candidates = staged(similarity.detect(entities, s.threshold, request.mode), "audit-candidates")
     single = best if request.limit is None else selection.snapshot(best, request.limit)
     tasks = single.select(F.lit("compliance").alias("kind"), "lab_id", F.col("id").alias("first_id"), F.lit(None).cast("string").alias("second_id"), F.lit(None).cast("string").alias("relationship")).unionByName(
         candidates.select(F.lit("plagiarism").alias("kind"), "lab_id", "first_id", "second_id", verdicts.relationship(F.col("signal"), F.col("jaccard")).alias("relationship"))
@@ -84,6 +87,7 @@ def run(request: Request, submissions: DataFrame, files: DataFrame, baseline: Da
     tasks = tasks.withColumn("task_key", F.sha2(F.concat_ws("\0", "kind", "lab_id", "first_id", F.coalesce("second_id", F.lit(""))), 256)).withColumn("review_key", F.col("task_key"))
     stored = [reports.with_ledger(tasks.filter(F.col("kind") == k), ledger, k) for k in ("compliance", "plagiarism")]
     known = stored[0].unionByName(stored[1])
+    known = staged(known, "audit-tasks")
     fresh = reviewer(known.filter(~F.col("cache_hit")))
     results = known.join(fresh, "task_key", "left").select("task_key", "kind", "lab_id", "first_id", "second_id", "relationship", "cache_hit", F.coalesce("stored_decision", "decision").alias("decision"), F.coalesce("stored_confidence", "confidence").alias("confidence"), "error")
     return Result(history, best, found, entities, candidates, similarity.exclusions(entities), tasks, results, reports.run_summary(results))

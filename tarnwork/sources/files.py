@@ -28,7 +28,7 @@ def replaced_utf8(column):
 def tree(spark: SparkSession, root: str, root_ord: int = 0) -> DataFrame:
     """root_ord, path (below root), size, raw of every file under a root."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit("/" + root.split("://")[-1].strip("/") + "/")
+    base = "/" + root.split("://")[-1].strip("/") + "/"
     return raw.select(F.lit(root_ord).alias("root_ord"), F.substring_index(F.col("path"), base, -1).alias("path"), F.col("length").alias("size"), F.col("content").alias("raw"))
 
 
@@ -51,10 +51,14 @@ def reports(spark: SparkSession, pattern: str, schema: StructType | str, most: i
 
 
 def ready_runs(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
-    """metadata.json of the run folders that have a _READY mark."""
-    meta = spark.read.schema(schema).option("multiLine", "true").json(f"{root}/*/metadata.json").select("*", F.col("_metadata.file_path").alias("_p"))
-    marks = spark.read.format("binaryFile").load(f"{root}/*/{{_READY,metadata.json}}").filter(F.col("path").endswith("_READY")).select(T.parent(F.col("path")).alias("_d"))
-    return meta.withColumn("_d", T.parent(F.col("_p"))).join(marks, "_d", "left_semi").drop("_d", "_p")
+    """metadata.json of the run folders that have a _READY mark. Spark's readers hide such names, so folders are listed."""
+    jvm = spark._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{root}/*/_READY")
+    found = mark.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(mark) or []
+    paths = [f"{f.getPath().getParent().toString()}/metadata.json" for f in found]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", "true").json(paths)
 
 
 def signed_payloads(envelopes: DataFrame, verify=None) -> DataFrame:
