@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import partitions, staged
+from .shared import discard, partitions, staged
 from .suffixes import _from_planes, _mix, _pack, _planes, _unpack
 
 #: Rounds in which sets without enough common signatures go.
@@ -283,7 +283,8 @@ def candidates(sent: DataFrame) -> DataFrame:
         enough = members.groupBy("node", side.alias("side")).agg(F.count("*").alias("_n")).join(needs, "node").filter(F.col("_n") >= F.when(F.col("side") == 0, F.col("need_0")).otherwise(F.col("need_1")))
         kept = members.withColumn("side", side).join(enough.select("node", "side"), ["node", "side"], "left_semi").select("run", "node")
         several = kept.groupBy("run").agg(F.count("*").alias("_n")).filter("_n > 1").select("run")
-        members = staged(kept.join(several, "run", "left_semi"), "ngram-members")
+        before, members = members, staged(kept.join(several, "run", "left_semi"), "ngram-members")
+        discard(before)
     return members
 
 
@@ -346,11 +347,15 @@ def between(pairs: DataFrame, parts: DataFrame, label: DataFrame, num: int, den:
     left = parts.select(F.col("node").alias("a"), "part", F.col("n").alias("l"), F.col("grams").alias("_g"))
     right = parts.select(F.col("node").alias("b"), "part", "n", F.col("grams").alias("_h"))
     differ = F.concat(F.array_except("_g", "_h"), F.array_except("_h", "_g"))
-    apart = inside.join(left, "a").join(right, ["b", "part"]).groupBy("a", "b").agg(F.max("l").alias("l"), F.max("n").alias("n"), F.max("label").alias("label"), F.flatten(F.collect_list(differ)).alias("grams"))
-    apart = staged(apart.withColumn("size", F.size("grams").cast("long")), "ngram-differences")
+    # Range by range, like the overlaps: sizes and later counts are sums over ranges.
+    apart = inside.join(right, "b").join(left, ["a", "part"]).select("a", "b", "part", "l", "n", "label", differ.alias("grams"))
+    apart = staged(apart, "ngram-differences")
+    whole = apart.groupBy("a", "b").agg(F.max("l").alias("l"), F.max("n").alias("n"), F.max("label").alias("label"), F.sum(F.size("grams")).cast("long").alias("size"))
     each = apart.select("a", "b", F.explode("grams").alias("e"))
-    often = each.groupBy("a", "e").agg(F.count("*").alias("_c"))
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("_c", "e"))
+    often = each.groupBy("a", "e").agg(F.count("*").alias("_c")).filter("_c > 1")
+    # Grams that one set alone has come first in its order, however many they are; the others are ranked after them.
+    shared = Window.partitionBy("a", "b")
+    rank = F.row_number().over(shared.orderBy("_c", "e")) - F.count("*").over(shared)
     size, n, hub = F.col("size"), F.col("n"), F.col("l")
     outside = s * size > q * (n + hub)
     least = lambda x, y: F.ceil(x / y).cast("long")
@@ -361,9 +366,8 @@ def between(pairs: DataFrame, parts: DataFrame, label: DataFrame, num: int, den:
     first = size + 1 - F.greatest(with_any, with_larger, F.lit(1))  # as the smaller of the two
     second_out = size + 1 - F.greatest(with_outside, F.lit(1))  # as the larger, by what the smaller is
     second_in = F.when(outside, size + 1 - with_any).otherwise(F.lit(0))
-    facts = apart.select("a", "b", "l", "n", "size", "label", outside.alias("out"), first.alias("first"), second_out.alias("second_out"), second_in.alias("second_in"))
-    # Grams that only one set has don't meet another, but count in its order.
-    ranked = each.join(often, ["a", "e"]).withColumn("i", rank).filter("_c > 1").join(facts, ["a", "b"])
+    facts = whole.select("a", "b", "l", "n", "size", "label", outside.alias("out"), first.alias("first"), second_out.alias("second_out"), second_in.alias("second_in"))
+    ranked = each.join(often, ["a", "e"]).withColumn("_r", rank).join(facts, ["a", "b"]).withColumn("i", F.col("size") + F.col("_r"))
     ranked = staged(ranked.filter(F.col("i") <= F.greatest("first", "second_out", "second_in")), "ngram-prefixes")
     x = ranked.filter("i <= first").select("a", "e", *(F.col(c).alias(f"x_{c}") for c in ("b", "i", "n", "size", "label", "out")))
     y = ranked.filter("i <= greatest(second_out, second_in)").select("a", "e", *(F.col(c).alias(f"y_{c}") for c in ("b", "i", "n", "size", "label", "out", "second_out", "second_in")))
@@ -376,12 +380,12 @@ def between(pairs: DataFrame, parts: DataFrame, label: DataFrame, num: int, den:
         & (den * F.least("x_n", "y_n") >= num * F.greatest("x_n", "y_n"))
         & (need <= 1 + F.least(F.col("x_size") - F.col("x_i"), F.col("y_size") - F.col("y_i")))
     )
-    tries = x.join(y, ["a", "e"]).filter(fits).select("a", "x_b", "y_b").distinct()
-    grams = apart.select("a", "b", "n", "size", "grams")
-    got = tries.join(grams.select("a", F.col("b").alias("x_b"), F.col("n").alias("x_n"), F.col("size").alias("x_size"), F.col("grams").alias("_g")), ["a", "x_b"])
-    got = got.join(grams.select("a", F.col("b").alias("y_b"), F.col("n").alias("y_n"), F.col("size").alias("y_size"), F.col("grams").alias("_h")), ["a", "y_b"])
-    same = F.size(F.array_intersect("_g", "_h"))
-    return got.filter(s * (F.col("x_size") + F.col("y_size") - 2 * same) <= q * (F.col("x_n") + F.col("y_n"))).select(F.col("x_b").alias("a"), F.col("y_b").alias("b")).distinct()
+    tries = x.join(y, ["a", "e"]).filter(fits).select("a", "x_b", "y_b", "x_n", "y_n", "x_size", "y_size").distinct()
+    one = apart.select("a", "part", F.col("b").alias("x_b"), F.col("grams").alias("_g"))
+    two = apart.select("a", "part", F.col("b").alias("y_b"), F.col("grams").alias("_h"))
+    parts_of = tries.join(one, ["a", "x_b"]).join(two, ["a", "y_b", "part"])
+    counted = parts_of.groupBy("x_b", "y_b", "x_n", "y_n", "x_size", "y_size").agg(F.sum(F.size(F.array_intersect("_g", "_h"))).alias("same"))
+    return counted.filter(s * (F.col("x_size") + F.col("y_size") - 2 * F.col("same")) <= q * (F.col("x_n") + F.col("y_n"))).select(F.col("x_b").alias("a"), F.col("y_b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -398,7 +402,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = staged(small, "stars")
+        last, edges = edges, staged(small, "stars")
+        discard(last)
         after = mark(edges)
         if after == before:
             break
@@ -414,8 +419,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
 
     docs = docs.select("doc_id", "text")
     sent = send_all(docs.withColumn("doc_id", F.col("doc_id").cast("long")), k, num, den)
-    rows = sent.filter(F.col("need_0").isNotNull()).select("doc_id", "text_hash", "n_shingles", "node")
-    pairs = staged(families(candidates(sent)), "ngram-pairs")
+    rows = staged(sent.filter(F.col("need_0").isNotNull()).select("doc_id", "text_hash", "n_shingles", "node"), "ngram-sets")
+    members = candidates(sent)
+    discard(sent)
+    pairs = staged(families(members), "ngram-pairs")
+    discard(members)
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     one = rows.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi").select("doc_id")
     spare = rows.groupBy("node").agg(F.max("doc_id").alias("d")).filter("d is null").join(nodes, "node", "left_semi")
@@ -426,6 +434,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     links = staged(overlaps(pairs, parts, num, den), "ngram-links")
     label = staged(components(links), "ngram-components")
     more = staged(between(pairs, parts, label, num, den), "ngram-links")
+    discard(parts)
     if more.take(1):
         label = staged(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more)), "ngram-components")
     of = rows.join(label, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("label", "node").alias("label"))
