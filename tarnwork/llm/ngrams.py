@@ -285,7 +285,17 @@ def candidates(sent: DataFrame) -> DataFrame:
         several = kept.groupBy("run").agg(F.count("*").alias("_n")).filter("_n > 1").select("run")
         before, members = members, staged(kept.join(several, "run", "left_semi"), "ngram-members")
         discard(before)
-    return members
+    # The rarest signature that a linked pair shares is among all but need - 1 of each set's, rarest first: the others,
+    # which common passages make, needn't join sets into families.
+    size = members.groupBy("run").agg(F.count("*").alias("_c"))
+    own = Window.partitionBy("node", "side")
+    ranked = members.withColumn("side", F.pmod("run", F.lit(2))).join(size, "run")
+    ranked = ranked.withColumn("_i", F.row_number().over(own.orderBy("_c", "run"))).withColumn("_n", F.count("*").over(own)).join(needs, "node")
+    first = ranked.filter(F.col("_i") <= F.col("_n") - F.when(F.col("side") == 0, F.col("need_0")).otherwise(F.col("need_1")) + 1).select("run", "node")
+    several = first.groupBy("run").agg(F.count("*").alias("_n")).filter("_n > 1").select("run")
+    out = staged(first.join(several, "run", "left_semi"), "ngram-members")
+    discard(members, needs)
+    return out
 
 
 def fragments(docs: DataFrame, k: int) -> DataFrame:
