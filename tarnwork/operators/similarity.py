@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.hashing import minhash
+from ..storage import staged
 
 THRESHOLD, SHINGLE, PERMUTATIONS, BAND = 0.7, 5, 64, 4
 # The signals, strongest first.
@@ -110,7 +111,11 @@ def with_precedence(*layers: DataFrame) -> DataFrame:
 
 
 def detect(entities: DataFrame, threshold: float = THRESHOLD, mode: str = "exhaustive") -> DataFrame:
-    """Candidates of all layers. mode: exhaustive (lossless) or lsh; both report the third layer as minhash."""
+    """Candidates of all layers. mode: exhaustive (lossless) or lsh; both report the third layer as minhash.
+
+    Every layer reads the entities, so they are written once instead of tokenized in each.
+    """
+    entities = staged(entities, "entities")
     near = (exhaustive_pairs if mode == "exhaustive" else banded_pairs)(entities, threshold)
     sets = entities.select("id", "shingles")
 
