@@ -38,9 +38,9 @@ from .suffixes import _from_planes, _mix, _pack, _planes, _unpack
 #: Rounds in which sets without enough common signatures go.
 PRUNED = 3
 FRAGMENTS = 8
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 #: Signatures that a task gathers before it sends them on.
-GATHERED = 1 << 19
+GATHERED = 1 << 18
 _U = np.uint64
 _B = 0x9E3779B97F4A7C55
 _BYTES = np.random.default_rng(3).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
