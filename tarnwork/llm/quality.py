@@ -17,8 +17,6 @@ from .shared import staged, words_of
 
 #: Hash buckets: the bound of both multinomials and of the table that scoring broadcasts.
 BUCKETS = 1 << 18
-#: Trusted rows that the target is fitted on, at most: those with the smallest id hashes.
-TRUSTED = 16_384
 #: Texts whose mean log ratio is below this are rejected.
 THRESHOLD = -0.25
 #: Prior count of each bucket in the target.
@@ -41,10 +39,12 @@ def _bucket(h):
 
 
 def ratios(docs: DataFrame, labels: DataFrame, sizes=(1,)) -> DataFrame:
-    """bucket, llr: at most BUCKETS rows. All documents count; the trusted ones are a bounded, fixed set of ids."""
+    """bucket, llr: at most BUCKETS rows. All documents count, and all trusted ones count for the target."""
     trusted = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    trusted = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).withColumn("_t", F.lit(1))
-    rows = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left").select(F.coalesce("_t", F.lit(0)).alias("_t"), words_of(F.col("text")).alias("_w"))
+    trusted = trusted.select("doc_id", F.lit(0).cast("long").alias("_salt"), F.lit(1).alias("_t"))
+    # By shuffle where the ids are many. Rows without id, which are never trusted, are dealt by text.
+    salted = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("_salt"), "text")
+    rows = salted.join(trusted, ["doc_id", "_salt"], "left").select(F.coalesce("_t", F.lit(0)).alias("_t"), words_of(F.col("text")).alias("_w"))
     counts = rows.select("_t", F.explode_outer(_grams(F.col("_w"), sizes)).alias("_h")).filter(F.col("_h").isNotNull()).groupBy(_bucket(F.col("_h")).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("_t").alias("target"))
     counts = staged(counts, "quality-counts")
     total = counts.agg(F.sum("raw").alias("r"), F.sum("target").alias("t")).first()

@@ -35,3 +35,12 @@ def test_ratio_tells_junk_from_trusted(spark):
     assert {r["doc_id"] for r in got if r["kept"]} == set(range(1, 60, 2))
     assert all(not r["llr"] for r in quality.judge(docs, quality.ratios(docs, labels.limit(0))).collect())
     assert quality.judge(docs.limit(0), quality.ratios(docs.limit(0), labels)).collect() == []
+
+
+def test_every_trusted_document_counts(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('w', id) as text").unionAll(spark.createDataFrame([(None, "none"), (None, None)], "doc_id bigint, text string"))
+    labels = spark.range(20_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    got = quality.ratios(docs.filter("doc_id is not null"), labels.unionAll(labels)).collect()
+    assert got and all(abs(r["llr"]) < 1e-9 for r in got)
+    less = [r["llr"] for r in quality.ratios(docs, labels).collect()]
+    assert len(less) >= len(got) and min(less) < 0 and sum(x < 0 for x in less) == 1
