@@ -1,7 +1,7 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus, in DataFrame functions.
 
 Two multinomials over hashed word n-grams: the raw one counts every gram of every document, the target one those of
-trusted documents. A text's verdict is the mean log ratio of its grams against a fixed threshold, so the same text
+trusted documents. Rare grams are taken by the shapes of their words. A text's verdict is the mean log ratio of its grams against a fixed threshold, so the same text
 always gets the same verdict (no draws).
 
 Rows: a null text has no words. Repeated rows are judged each. Texts under the word minimum fail the base rules. Other
@@ -10,7 +10,9 @@ columns are not looked at. Without trusted documents every ratio is 0, and the b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import staged, words_of
@@ -19,23 +21,65 @@ from .shared import staged, words_of
 BUCKETS = 1 << 18
 #: Texts whose mean log ratio is below this are rejected.
 THRESHOLD = -0.25
-#: Prior count of each bucket in the target.
+#: Prior count of each bucket in the target, and of each class of word shapes.
 SMOOTHING = 5.0
+#: Classes of word shapes, a power of 2. Class 0, plain words, has half of the buckets; the others share the other half.
+CLASSES = 128
 SYMBOLS = "#*$%&|<>"
 
 
-def _grams(words, sizes=(1, 2)):
-    """Bucket of each n-gram of an array of words."""
-    n = F.size(words)
-    parts = []
-    for k in sizes:
-        hashed = F.transform(words, lambda w: F.xxhash64(w)) if k == 1 else F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i, k=k: F.xxhash64(*(F.get(words, i + j) for j in range(k))))).otherwise(F.array().cast("array<bigint>"))
-        parts.append(hashed)
+def _marked(h, cls):
+    """A hash whose low bits are replaced by a class."""
+    return h.bitwiseAND(F.lit(~(CLASSES - 1))).bitwiseOR(cls.cast("long"))
+
+
+def _class(h):
+    return h.bitwiseAND(F.lit(CLASSES - 1))
+
+
+def _word_class(w):
+    """0 for letters with at most a full stop or comma behind them, else the hash of the shape: runs of capitals, other
+    letters (all of non-ASCII among them) and digits become one character each, the rest stays."""
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(w, "[A-Z]+", "A"), r"[a-z\x{80}-\x{10FFFF}]+", "a"), "[0-9]+", "0")
+    return F.when(w.rlike(r"^[A-Za-z\x{80}-\x{10FFFF}]+[.,]?$"), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(shape), F.lit(CLASSES - 1)))
+
+
+def _marked_words(words):
+    """Hash of each word, marked with its class."""
+    return F.transform(words, lambda w: _marked(F.xxhash64(w), _word_class(w)))
+
+
+def _grams(marked, sizes=(1, 2)):
+    """Hash of each n-gram of a column of marked words, marked with its class: 0 if all words are plain, else by theirs.
+
+    The column must be there already: within the lambda an expression would be evaluated again for each gram.
+    """
+
+    def of(k):
+        if k == 1:
+            return marked
+
+        def gram(i):
+            each = [F.get(marked, i + j) for j in range(k)]
+            plain = _class(functools.reduce(Column.bitwiseOR, each)) == 0
+            return _marked(F.xxhash64(*each), F.when(plain, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*map(_class, each)), F.lit(CLASSES - 1))))
+
+        return F.when(F.size(marked) >= k, F.transform(F.sequence(F.lit(0), F.size(marked) - k), gram)).otherwise(F.array().cast("array<bigint>"))
+
+    parts = [of(k) for k in sizes]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
 def _bucket(h):
-    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+    """Bucket of a marked hash; its class can be told from it."""
+    half, each = BUCKETS // 2, BUCKETS // 2 // CLASSES
+    rest = F.shiftright(h, CLASSES.bit_length() - 1)
+    return F.when(_class(h) == 0, F.pmod(rest, F.lit(half))).otherwise(half + _class(h) * each + F.pmod(rest, F.lit(each))).cast("int")
+
+
+def _bucket_class(bucket):
+    half = BUCKETS // 2
+    return F.when(bucket < half, F.lit(0)).otherwise(F.floor((bucket - half) / (half // CLASSES))).cast("int")
 
 
 def ratios(docs: DataFrame, labels: DataFrame, sizes=(1,)) -> DataFrame:
@@ -44,16 +88,19 @@ def ratios(docs: DataFrame, labels: DataFrame, sizes=(1,)) -> DataFrame:
     trusted = trusted.select("doc_id", F.lit(0).cast("long").alias("_salt"), F.lit(1).alias("_t"))
     # By shuffle where the ids are many. Rows without id, which are never trusted, are dealt by text.
     salted = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("_salt"), "text")
-    rows = salted.join(trusted, ["doc_id", "_salt"], "left").select(F.coalesce("_t", F.lit(0)).alias("_t"), words_of(F.col("text")).alias("_w"))
-    counts = rows.select("_t", F.explode_outer(_grams(F.col("_w"), sizes)).alias("_h")).filter(F.col("_h").isNotNull()).groupBy(_bucket(F.col("_h")).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("_t").alias("target"))
+    rows = salted.join(trusted, ["doc_id", "_salt"], "left").select(F.coalesce("_t", F.lit(0)).alias("_t"), _marked_words(words_of(F.col("text"))).alias("_m"))
+    counts = rows.select("_t", F.explode_outer(_grams(F.col("_m"), sizes)).alias("_h")).filter(F.col("_h").isNotNull()).groupBy(_bucket(F.col("_h")).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("_t").alias("target"))
     counts = staged(counts, "quality-counts")
     total = counts.agg(F.sum("raw").alias("r"), F.sum("target").alias("t")).first()
     r, t = float(total["r"] or 0), float(total["t"] or 0)
     if not t:
         return counts.select("bucket", F.lit(0.0).alias("llr"))
-    # Both multinomials have the same prior: SMOOTHING in target counts, as many times r / t in raw counts. So rare grams
-    # stay near 0 and the ratios don't depend on the size of the corpus against the number of buckets.
-    return counts.select("bucket", F.log((F.col("target") + SMOOTHING) / (F.col("raw") * (t / r) + SMOOTHING)).alias("llr"))
+    # The prior of a bucket is SMOOTHING target counts, parted as its class is: rare grams get the ratio of their class,
+    # however large the corpus, and frequent ones their own.
+    parted = counts.withColumn("class", _bucket_class(F.col("bucket")))
+    rho = (F.sum("target") + SMOOTHING) / (F.sum("raw") * (t / r) + SMOOTHING)
+    known = parted.join(F.broadcast(parted.groupBy("class").agg(rho.alias("_rho"))), "class")
+    return known.select("bucket", F.log((F.col("target") + SMOOTHING * F.col("_rho")) / (F.col("raw") * (t / r) + SMOOTHING)).alias("llr"))
 
 
 def facts(words, text):
@@ -97,7 +144,7 @@ def judge(docs: DataFrame, llr: DataFrame, threshold: float = THRESHOLD, sizes=(
     text_hash (of the text) tells apart rows that share a doc_id.
     """
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", text.alias("_text")).withColumn("_w", words_of(F.col("_text")))
+    base = docs.select("doc_id", text.alias("_text")).withColumn("_w", words_of(F.col("_text"))).withColumn("_m", _marked_words(F.col("_w")))
     n = F.size("_w")
     base = base.withColumn("_h3", F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<bigint>")))
     keyed, hit, pairs, hit_pairs = _repeated(F.col("_h3"))
@@ -108,7 +155,7 @@ def judge(docs: DataFrame, llr: DataFrame, threshold: float = THRESHOLD, sizes=(
     base = base.withColumn("_hits", F.when(F.col("_sorted").isNotNull(), hit(F.col("_sorted"))).when(F.col("_pairs").isNotNull(), hit_pairs(F.col("_pairs"))).otherwise(none))
     repeat = F.aggregate(F.transform("_hits", lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_hits", i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
     known = facts(F.col("_w"), F.col("_text"))
-    base = base.select("doc_id", F.xxhash64("_text").alias("text_hash"), *(c.alias(k) for k, c in known.items()), repeat.alias("n_repeat_words"), F.concat(F.array(F.lit(None).cast("bigint")), _grams(F.col("_w"), sizes)).alias("_g"))
+    base = base.select("doc_id", F.xxhash64("_text").alias("text_hash"), *(c.alias(k) for k, c in known.items()), repeat.alias("n_repeat_words"), F.concat(F.array(F.lit(None).cast("bigint")), _grams(F.col("_m"), sizes)).alias("_g"))
     names = [*known, "n_repeat_words"]
     # Outer, so that no size filter is inferred (it would repeat the expressions). The null gram in front stands for the row itself: it keeps texts without grams and counts repeated rows.
     scored = (

@@ -1,9 +1,14 @@
+import os
 import random
 
+import pytest
+
 from tarnwork.llm import quality
 
 from . import brute
 
+CLEAN = [f"{a}{b}{c}" for a in ("ho", "ta", "é", "su") for b in ("ri", "na", "lo") for c in ("", "s,", "n", "m.")]
+
 
 def rows():
     rng = random.Random(6)
@@ -44,3 +49,26 @@ def test_every_trusted_document_counts(spark):
     assert got and all(abs(r["llr"]) < 1e-9 for r in got)
     less = [r["llr"] for r in quality.ratios(docs, labels).collect()]
     assert len(less) >= len(got) and min(less) < 0 and sum(x < 0 for x in less) == 1
+
+
+@pytest.mark.parametrize("size", [40, 2000])
+def test_rare_junk_is_told_in_small_and_large_tables(spark, size):
+    rng = random.Random(2)
+    clean = [(i, " ".join(rng.choice(CLEAN) for _ in range(100))) for i in range(size)]
+    once = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiouäö" for c in "prstvxz"]
+    junk = [(size, " ".join(f"{w}###" for w in once[:200])), (size + 1, " | ".join(once[200:300])), (size + 2, " ".join(f"{w.upper()}!!" for w in once[:60]))]
+    docs = spark.createDataFrame(clean + junk, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, size, 2)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, quality.ratios(docs, labels)).collect()}
+    assert got == {i: i < size for i in range(size + 3)}
+
+
+DATA = "/root/testdata"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_one_threshold_parts_the_labels(spark, sf):
+    docs, labels = (spark.read.parquet(f"{DATA}/{sf}/{n}.parquet") for n in ("documents", "labels"))
+    got = quality.judge(docs, quality.ratios(docs, labels)).filter("not base_failed").join(labels, "doc_id").collect()
+    assert {r["quality"] for r in got} == {0, 1} and all(r["kept"] == (r["quality"] == 1) for r in got)
