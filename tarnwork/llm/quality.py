@@ -1,8 +1,8 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus, in DataFrame functions.
 
-Two multinomials over hashed word n-grams: the raw one counts every gram of every document, the target one those of
-trusted documents. Rare grams are taken by the shapes of their words. A text's verdict is the mean log ratio of its grams against a fixed threshold, so the same text
-always gets the same verdict (no draws).
+Two multinomials over hashed word n-grams (single words and pairs): the raw one counts every gram of every document,
+the target one those of trusted documents. Rare grams are taken by the shapes of their words. A text's verdict is the
+mean log ratio of its grams against a fixed threshold, so the same text always gets the same verdict (no draws).
 
 Rows: a null text has no words. Repeated rows are judged each. Texts under the word minimum fail the base rules. Other
 columns are not looked at. Without trusted documents every ratio is 0, and the base rules alone decide.
@@ -82,7 +82,7 @@ def _bucket_class(bucket):
     return F.when(bucket < half, F.lit(0)).otherwise(F.floor((bucket - half) / (half // CLASSES))).cast("int")
 
 
-def ratios(docs: DataFrame, labels: DataFrame, sizes=(1,)) -> DataFrame:
+def ratios(docs: DataFrame, labels: DataFrame, sizes=(1, 2)) -> DataFrame:
     """bucket, llr: at most BUCKETS rows. All documents count, and all trusted ones count for the target."""
     trusted = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     trusted = trusted.select("doc_id", F.lit(0).cast("long").alias("_salt"), F.lit(1).alias("_t"))
@@ -138,7 +138,7 @@ def _repeated(hashes):
     return keyed, hit, pairs, hit_pairs
 
 
-def judge(docs: DataFrame, llr: DataFrame, threshold: float = THRESHOLD, sizes=(1,)) -> DataFrame:
+def judge(docs: DataFrame, llr: DataFrame, threshold: float = THRESHOLD, sizes=(1, 2)) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr, and text_hash.
 
     text_hash (of the text) tells apart rows that share a doc_id.

@@ -72,3 +72,20 @@ def test_one_threshold_parts_the_labels(spark, sf):
     docs, labels = (spark.read.parquet(f"{DATA}/{sf}/{n}.parquet") for n in ("documents", "labels"))
     got = quality.judge(docs, quality.ratios(docs, labels)).filter("not base_failed").join(labels, "doc_id").collect()
     assert {r["quality"] for r in got} == {0, 1} and all(r["kept"] == (r["quality"] == 1) for r in got)
+
+
+def test_pairs_of_words_count(spark):
+    rng = random.Random(3)
+    vocab = [f"{a}{b}" for a in "bdfg" for b in "aeiou"]
+    after = {w: v for w, v in zip(vocab, vocab[1:] + vocab[:1])}
+
+    def text(ordered):
+        pairs = [(w, after[w]) for w in vocab] * 5
+        rng.shuffle(pairs)
+        words = [w for p in pairs for w in p]
+        return " ".join(words if ordered else rng.sample(words, len(words)))
+
+    docs = spark.createDataFrame([(i, text(i % 2)) for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 60, 4)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r["llr"] for r in quality.judge(docs, quality.ratios(docs, labels)).collect()}
+    assert min(x for i, x in got.items() if i % 2) > max(x for i, x in got.items() if not i % 2)
