@@ -279,7 +279,8 @@ def removed_baseline_files(spark, d):
 
 @query("SELECT doc_id, 1::BIGINT old_start, 0::BIGINT old_count, CASE WHEN text='' THEN 0 ELSE len(string_split(regexp_replace(text, '\\n\\z', ''), chr(10))) END::BIGINT new_count, strlen(text)::BIGINT bytes FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%'||chr(13)||'%'")
 def fallback_hunks(spark, d):
-    docs = t(spark, d, "documents").filter("text is not null and not contains(text, '\r')").select("doc_id", "text", delta.fallback_hunk(F.lit(""), F.col("text")).alias("h"))
+    """A null text is empty; CR and CRLF count as LF. The SQL leaves out such texts, which the driver's tables don't have."""
+    docs = t(spark, d, "documents").select("doc_id", delta.fallback_hunk(F.lit(""), T.unix_newlines(F.coalesce("text", F.lit("")))).alias("h"))
     return docs.select("doc_id", "h.old_start", "h.old_count", "h.new_count", (F.octet_length("h.lines") - F.col("h.new_count")).cast("long").alias("bytes"))
 
 
@@ -640,7 +641,8 @@ def inventory(spark, d):
 
 @query("SELECT doc_id, strlen(coalesce(text, ''))::BIGINT bytes, sha256(coalesce(text, '')) sha256, contains(coalesce(text, ''), chr(0)) AS binary, (length(text)-length(replace(text, chr(10), ''))+CASE WHEN text<>'' AND text NOT LIKE '%'||chr(10) THEN 1 ELSE 0 END)::BIGINT lines FROM documents WHERE text IS NOT NULL")
 def file_info(spark, d):
-    return workspace.file_info(_work(spark, d).join(t(spark, d, "documents").filter("text is not null").select("doc_id"), "doc_id", "left_semi"), "doc_id")
+    """A null text is an empty file. The SQL leaves out null texts, which the driver's tables don't have."""
+    return workspace.file_info(_work(spark, d), "doc_id")
 
 
 @query("SELECT source AS path, 'directory' AS type, 1 AS depth FROM documents GROUP BY 1 UNION ALL SELECT source||'/'||doc_id||CASE doc_id%3 WHEN 0 THEN '.TXT' WHEN 1 THEN '.c' ELSE '' END, 'file', 2 FROM documents")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwork import sinks
+from tarnwork import catalogue, sinks
 from tarnwork.operators import evidence, reports, runs, scope, verdicts, workspace
 from tarnwork.sources import files as sources
 from tarnwork.sources import settings
@@ -194,3 +194,12 @@ def test_signed_and_closed(spark):
     df = spark.createDataFrame([('{"a":1}',), ('{"a":1,"b":2}',), ("{}",)], "t string")
     assert [r[0] is not None for r in df.select(sources.closed(F.col("t"), "a int", ["a"])).collect()] == [True, False, False]
     assert settings.load().threshold == 0.7
+
+
+def test_null_and_carriage_return_texts_have_rows(spark, tmp_path):
+    texts = [None, "", "a\r\nbb\r\n", "a\rb", "a\nb\n", "a\r\n\r\nb"]
+    spark.createDataFrame([(i, x, "en", "s") for i, x in enumerate(texts)], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    hunks = {r["doc_id"]: (r["new_count"], r["bytes"]) for r in catalogue.fallback_hunks(spark, str(tmp_path)).collect()}
+    assert hunks == {0: (0, 0), 1: (0, 0), 2: (2, 5), 3: (2, 3), 4: (2, 4), 5: (3, 4)}
+    info = {r["doc_id"]: (r["bytes"], r["lines"]) for r in catalogue.file_info(spark, str(tmp_path)).collect()}
+    assert sorted(info) == list(range(6)) and info[0] == info[1] == (0, 0) and info[4] == (4, 2)
