@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .functions import hashing
 from .functions import text as T
-from .operators import bundles, delta, evidence, reports, runs, scope, selection, similarity, verdicts, workspace
+from .operators import bundles, delta, evidence, identity, payloads, reports, runs, scope, selection, similarity, verdicts, workspace
+from .sources import envelopes
 from .storage import shared_dir
 from .streaming import run_states
 
@@ -94,9 +95,9 @@ def authoritative_best_join(spark, d):
     return selection.authoritative_best(best, subs, _runs(spark, d)).select("submission_id", "best_score", "owner", "lab_id", "n_steps", "performance")
 
 
-@query(f"SELECT s.id, s.owner, r.n_steps, r.performance FROM ({_SUBS}) s LEFT JOIN (SELECT * FROM ({_RUNS}) WHERE n_steps>3) r ON r.run_id=s.id")
+@query(f"SELECT s.id, s.owner, r.n_steps, r.performance FROM ({_SUBS}) s LEFT JOIN ({_RUNS}) r ON r.run_id=s.id")
 def snapshot_with_runs(spark, d):
-    return selection.with_runs(submissions(spark, d).withColumn("active_run_id", F.col("id")), _runs(spark, d).filter("n_steps > 3")).select("id", "owner", "n_steps", "performance")
+    return selection.with_runs(submissions(spark, d).withColumn("active_run_id", F.col("id")), _runs(spark, d)).select("id", "owner", "n_steps", "performance")
 
 
 @query(f"WITH b AS (SELECT owner, lab_id, max(score) best_score FROM ({_SUBS}) WHERE status='F' GROUP BY 1, 2) SELECT s.id, b.best_score FROM ({_SUBS}) s JOIN b USING (owner, lab_id) WHERE s.status='F' AND b.best_score>=200000")
@@ -277,9 +278,16 @@ def removed_baseline_files(spark, d):
     return delta.removed_files(files, base, ["turn/*.txt"]).select("submission_id", "path")
 
 
-@query("SELECT doc_id, 1::BIGINT old_start, 0::BIGINT old_count, CASE WHEN text='' THEN 0 ELSE len(string_split(regexp_replace(text, '\\n\\z', ''), chr(10))) END::BIGINT new_count, strlen(text)::BIGINT bytes FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%'||chr(13)||'%'")
+_UNIX = "replace(replace(coalesce(text, ''), chr(13)||chr(10), chr(10)), chr(13), chr(10))"
+
+
+@query(f"""
+SELECT doc_id, 1::BIGINT old_start, 0::BIGINT old_count,
+    CASE WHEN x='' THEN 0 ELSE len(string_split(regexp_replace(x, '\\n\\z', ''), chr(10))) END::BIGINT new_count,
+    strlen(x)::BIGINT bytes
+FROM (SELECT doc_id, {_UNIX} x FROM documents)""")
 def fallback_hunks(spark, d):
-    """A null text is empty; CR and CRLF count as LF. The SQL leaves out such texts, which the driver's tables don't have."""
+    """A null text is empty; CR and CRLF count as LF."""
     docs = t(spark, d, "documents").select("doc_id", delta.fallback_hunk(F.lit(""), T.unix_newlines(F.coalesce("text", F.lit("")))).alias("h"))
     return docs.select("doc_id", "h.old_start", "h.old_count", "h.new_count", (F.octet_length("h.lines") - F.col("h.new_count")).cast("long").alias("bytes"))
 
@@ -421,15 +429,15 @@ def latest_run_per_submission(spark, d):
     return runs.latest_by_submission(c).select("submission_id", "run_id")
 
 
-@query("SELECT user_id%50 submission_id, arg_max(event_id, (value, event_id)) review_key FROM events WHERE value IS NOT NULL GROUP BY 1")
+@query("SELECT user_id%50 submission_id, arg_max(event_id, (ts, event_id)) review_key FROM events GROUP BY 1")
 def latest_report(spark, d):
-    r = t(spark, d, "events").filter("value is not null").select((F.col("user_id") % 50).alias("submission_id"), F.col("value").alias("completed_at"), F.col("event_id").alias("review_key"))
+    r = t(spark, d, "events").select((F.col("user_id") % 50).alias("submission_id"), F.col("ts").alias("completed_at"), F.col("event_id").alias("review_key"))
     return reports.latest(r, "submission_id").select("submission_id", "review_key")
 
 
-@query("SELECT user_id%50 submission_id, event_id%7 counterpart_id, arg_max(event_id, (value, event_id)) review_key FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+@query("SELECT user_id%50 submission_id, event_id%7 counterpart_id, arg_max(event_id, (ts, event_id)) review_key FROM events GROUP BY 1, 2")
 def latest_report_per_pair(spark, d):
-    r = t(spark, d, "events").filter("value is not null").select((F.col("user_id") % 50).alias("submission_id"), (F.col("event_id") % 7).alias("counterpart_id"), F.col("value").alias("completed_at"), F.col("event_id").alias("review_key"))
+    r = t(spark, d, "events").select((F.col("user_id") % 50).alias("submission_id"), (F.col("event_id") % 7).alias("counterpart_id"), F.col("ts").alias("completed_at"), F.col("event_id").alias("review_key"))
     return reports.latest(r, "submission_id", "counterpart_id").select("submission_id", "counterpart_id", "review_key")
 
 
@@ -487,9 +495,9 @@ def requested_in_order(spark, d):
     return reports.requested(asked, t(spark, d, "supplier").select(F.col("s_suppkey").alias("submission_id"), "s_acctbal")).select("ord", "submission_id", "s_acctbal")
 
 
-@query("SELECT coalesce(a.s_suppkey, b.c_custkey) submission_id, CASE WHEN a.s_suppkey IS NOT NULL THEN 'agent' ELSE 'stored' END origin, coalesce(a.s_name, b.c_name) AS name FROM (SELECT * FROM supplier WHERE s_acctbal>0) a FULL JOIN customer b ON a.s_suppkey=b.c_custkey")
+@query("SELECT coalesce(a.s_suppkey, b.c_custkey) submission_id, CASE WHEN a.s_suppkey IS NOT NULL THEN 'agent' ELSE 'stored' END origin, coalesce(a.s_name, b.c_name) AS name FROM supplier a FULL JOIN customer b ON a.s_suppkey=b.c_custkey")
 def report_fallback(spark, d):
-    a = t(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("submission_id"), F.col("s_name").alias("name"))
+    a = t(spark, d, "supplier").select(F.col("s_suppkey").alias("submission_id"), F.col("s_name").alias("name"))
     return reports.preferred(a, t(spark, d, "customer").select(F.col("c_custkey").alias("submission_id"), F.col("c_name").alias("name")))
 
 
@@ -503,7 +511,7 @@ def merge_verdicts(spark, d):
     return verdicts.merge(v, "task").select("task", "decision", "confidence", "completed", F.size("violations").cast("long").alias("n_violations"))
 
 
-@query(f"SELECT doc_id, CASE WHEN decision='violation' AND doc_id%2=0 THEN 'a violation verdict requires evidence' WHEN doc_id%7=0 AND decision<>'inconclusive' THEN 'an incomplete source bundle requires an inconclusive verdict' END error FROM ({_DECIDED})")
+@query(f"SELECT doc_id, CASE WHEN decision='violation' AND doc_id%2=0 THEN 'a violation is decided but none is listed' WHEN doc_id%7=0 AND decision<>'inconclusive' THEN 'a cut bundle allows no conclusion' END error FROM ({_DECIDED})")
 def compliance_validation(spark, d):
     v = F.from_json(F.when((F.col("decision") == "violation") & (F.col("doc_id") % 2 == 1), F.lit('[{"category":"constraint_violation","summary":"s","evidence":[{"path":"p","description":"d"}]}]')).otherwise(F.lit("[]")), verdicts.VIOLATIONS)
     rows = _decided(spark, d).select("*", v.alias("violations"), F.lit("s").alias("summary"), F.lit(True).alias("requires_human_review"), (F.col("doc_id") % 7 == 0).alias("incomplete"))
@@ -518,7 +526,7 @@ def program_relationship(spark, d):
     return similarity.detect(entities(spark, d)).select("lab_id", "first_id", "second_id", verdicts.relationship(F.col("signal"), F.col("jaccard")).alias("relationship"))
 
 
-@query(f"SELECT first_id, second_id, CASE WHEN rel<>'near_identical' THEN 'relationship does not match the program-computed relationship' WHEN first_id%2=0 THEN 'a plagiarism verdict requires evidence' END error FROM (SELECT *, CASE WHEN signal='exact_submission' THEN 'exact' WHEN jaccard>=0.95 THEN 'near_identical' ELSE 'minor_edit' END rel FROM ({_CANDIDATES}))")
+@query(f"SELECT first_id, second_id, CASE WHEN rel<>'near_identical' THEN 'the relationship is not the computed one' WHEN first_id%2=0 THEN 'plagiarism is decided without evidence' END error FROM (SELECT *, CASE WHEN signal='exact_submission' THEN 'exact' WHEN jaccard>=0.95 THEN 'near_identical' ELSE 'minor_edit' END rel FROM ({_CANDIDATES}))")
 def pair_validation(spark, d):
     e = F.from_json(F.when(F.col("first_id") % 2 == 1, '[{"first_path":"a","second_path":"b","description":"c"}]').otherwise("[]"), "array<struct<first_path: string, second_path: string, description: string>>")
     c = similarity.detect(entities(spark, d)).select("*", F.lit("plagiarism").alias("decision"), F.lit("near_identical").alias("relationship"), F.lit(0.5).alias("confidence"), F.lit("s").alias("summary"), F.lit(True).alias("requires_human_review"), e.alias("evidence"))
@@ -532,26 +540,70 @@ def pair_task_keys(spark, d):
 
 # --- scope -----------------------------------------------------------------------------------------------------------
 
-_EDGES = "SELECT DISTINCT l_suppkey src, (l_partkey*7+l_linenumber)%(SELECT count(*) FROM supplier)+1 dst FROM lineitem WHERE l_quantity>=49 AND l_suppkey%3<>0"
+# Every lineitem row is an edge between parts; equal ones fall together, so a part has at most one for each line number.
+_EDGES = "SELECT DISTINCT l_partkey src, (l_partkey*7+l_linenumber)%(SELECT count(*) FROM part)+1 dst FROM lineitem"
 
 
-@query(f"WITH RECURSIVE e AS ({_EDGES}), c(node) AS (SELECT s_suppkey FROM supplier WHERE s_suppkey<=2 UNION SELECT e.dst FROM c JOIN e ON e.src=c.node) SELECT node FROM c")
+@query(f"""
+WITH RECURSIVE e AS ({_EDGES}),
+c(node) AS (SELECT p_partkey FROM part WHERE p_partkey<=2 UNION SELECT e.dst FROM c JOIN e ON e.src=c.node)
+SELECT node FROM c""")
 def include_closure(spark, d):
-    s = t(spark, d, "supplier")
-    n = s.agg(F.count("*").alias("n"))
-    item = t(spark, d, "lineitem").filter("l_quantity >= 49 and l_suppkey % 3 <> 0").join(F.broadcast(n))  # n is one row
-    edges = item.select(F.col("l_suppkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % F.col("n") + 1).alias("dst")).distinct()
-    return scope.closure(edges, s.filter("s_suppkey <= 2").select(F.col("s_suppkey").alias("node")))
+    parts = t(spark, d, "part")
+    n = parts.agg(F.count("*").alias("n"))
+    item = t(spark, d, "lineitem").join(F.broadcast(n))  # n is one row
+    edges = item.select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % F.col("n") + 1).alias("dst")).distinct()
+    return scope.closure(edges, parts.filter("p_partkey <= 2").select(F.col("p_partkey").alias("node")))
+
+
+def _page_code(spark, d):
+    """Pages as C files: each link is an include line."""
+    links = F.regexp_replace("html", '<a href="/([^"]+)"', '\n#include "$1.h"\n')
+    return t(spark, d, "pages").select("page_id", (F.col("page_id") % 5).alias("submission_id"), F.format_string("src/p%d.c", "page_id").alias("path"), F.coalesce(links, F.lit("")).alias("content"))
+
+
+def _page_bundles(spark, d):
+    """Five bundles: a code file a page, a header for each page's first link, and a script that builds some of them."""
+    code = _page_code(spark, d)
+    first = F.get(T.includes(F.col("content")), F.lit(0))
+    headers = code.select("submission_id", F.concat(F.lit("src/"), first).alias("path"), F.lit("").alias("content")).filter("path is not null").distinct()
+    script = code.select("submission_id", F.lit("compile.sh").alias("path"), F.lit("gcc src/p1*.c").alias("content")).distinct()
+    return code.drop("page_id").unionByName(headers).unionByName(script).withColumn("truncated", F.lit(False))
+
 
+_LINKS = """
+l AS (SELECT page_id, page_id%5 submission_id, 'src/p'||page_id||'.c' src, regexp_extract_all(coalesce(html, ''), '<a href="/([^"]+)"', 1) w FROM pages),
+h AS (SELECT DISTINCT submission_id, 'src/'||w[1]||'.h' dst FROM l WHERE len(w)>0),
+e AS (SELECT DISTINCT submission_id, src, dst FROM (SELECT submission_id, src, 'src/'||unnest(w)||'.h' dst FROM l) JOIN h USING (submission_id, dst))"""
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) n_links FROM pages")
+
+@query(f"WITH {_LINKS} SELECT page_id, len(w)::BIGINT n_links FROM l")
 def extract_links(spark, d):
-    return t(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("n_links"))
+    return _page_code(spark, d).select("page_id", F.size(T.includes(F.col("content"))).cast("long").alias("n_links"))
+
+
+@query(f"WITH {_LINKS} SELECT submission_id, src, dst FROM e")
+def include_edges(spark, d):
+    return scope.include_edges(_page_bundles(spark, d))
+
 
+@query(f"""
+WITH {_LINKS},
+r AS (SELECT submission_id, src path, 'matched_build_glob:src/p1*.c' reason FROM l WHERE src LIKE 'src/p1%'
+  UNION ALL SELECT submission_id, src, 'referenced_by_build_definition' FROM l WHERE page_id=1
+  UNION ALL SELECT e.submission_id, e.dst, 'included_by:'||e.src FROM e WHERE e.src LIKE 'src/p1%'
+  UNION ALL SELECT DISTINCT submission_id, 'compile.sh', 'mandatory_execution_file' FROM l)
+SELECT submission_id, path, list_sort(list_distinct(list(reason))) reasons FROM r GROUP BY 1, 2""")
+def scope_reasons(spark, d):
+    return scope.scope_reasons(_page_bundles(spark, d))
 
-@query("SELECT doc_id, len(list_distinct(regexp_extract_all(' '||coalesce(text, ''), '(?:^|[^\\p{L}\\p{N}_])([A-Za-z_][\\p{L}\\p{N}_]*)', 1))) n FROM documents WHERE NOT coalesce(regexp_matches(text, '[^\\x00-\\x7f]'), false)")
+
+@query("""
+SELECT doc_id, len(list_distinct(regexp_extract_all(' '||coalesce(text, ''),
+    '(?:^|[^\\p{L}\\p{N}_])([A-Za-z_][\\p{L}\\p{N}_]*)', 1))) n
+FROM documents""")
 def identifier_counts(spark, d):
-    docs = t(spark, d, "documents").filter(~F.coalesce(F.col("text").rlike(r"[^\x00-\x7f]"), F.lit(False)))
+    docs = t(spark, d, "documents")
     return docs.select("doc_id", F.size(T.identifiers(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
 
 
@@ -639,9 +691,12 @@ def inventory(spark, d):
     return workspace.inventory(_work(spark, d)).select("root", "file_count", "total_bytes", at(".txt").alias("txt"), at(".c").alias("c"), at("<none>").alias("none"))
 
 
-@query("SELECT doc_id, strlen(coalesce(text, ''))::BIGINT bytes, sha256(coalesce(text, '')) sha256, contains(coalesce(text, ''), chr(0)) AS binary, (length(text)-length(replace(text, chr(10), ''))+CASE WHEN text<>'' AND text NOT LIKE '%'||chr(10) THEN 1 ELSE 0 END)::BIGINT lines FROM documents WHERE text IS NOT NULL")
+@query("""
+SELECT doc_id, strlen(x)::BIGINT bytes, sha256(x) sha256, contains(x, chr(0)) AS binary,
+    (length(x)-length(replace(x, chr(10), ''))+CASE WHEN x<>'' AND x NOT LIKE '%'||chr(10) THEN 1 ELSE 0 END)::BIGINT lines
+FROM (SELECT doc_id, coalesce(text, '') x FROM documents)""")
 def file_info(spark, d):
-    """A null text is an empty file. The SQL leaves out null texts, which the driver's tables don't have."""
+    """A null text is an empty file."""
     return workspace.file_info(_work(spark, d), "doc_id")
 
 
@@ -689,13 +744,27 @@ def evidence_priority(spark, d):
     return t(spark, d, "part").select("p_partkey", T.evidence_priority(path).alias("priority"), T.artifact_kind(path).alias("artifact"))
 
 
-@query()
+_TURNS = "f AS (SELECT conv_id submission_id, printf('%05d.txt', turn) path, strlen(coalesce(text, ''))::BIGINT size FROM conversations)"
+
+
+@query(f"""
+WITH RECURSIVE {_TURNS},
+n AS (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY path) i FROM f),
+c AS (SELECT submission_id, path, i, size used, 0 AS chunk FROM n WHERE i=1
+  UNION ALL SELECT n.submission_id, n.path, n.i, CASE WHEN used+size>1500 THEN size ELSE used+size END, chunk+CASE WHEN used+size>1500 THEN 1 ELSE 0 END
+  FROM c JOIN n ON n.submission_id=c.submission_id AND n.i=c.i+1)
+SELECT submission_id, path, chunk FROM c""")
 def chunk_packing(spark, d):
-    """Greedy chunks depend on all before them; a test holds them against a plain loop."""
     return evidence.pack(_files(spark, d), "submission_id", ["path"], "size", 1500).select("submission_id", "path", "chunk")
 
 
-@query()
+@query(f"""
+WITH {_TURNS},
+a AS (SELECT *, least(size, greatest(1, (4000*greatest(size, 1))//sum(2*greatest(size, 1)) OVER (PARTITION BY submission_id)))::BIGINT o FROM f),
+l AS (SELECT *, 2000-sum(o) OVER (PARTITION BY submission_id) spare FROM a),
+r AS (SELECT submission_id, path, spare, row_number() OVER (PARTITION BY submission_id ORDER BY turn, size DESC, path) k
+  FROM (SELECT *, unnest(range(1, size-o+1)) AS turn FROM l))
+SELECT submission_id, path, size, 2::INT priority, o+(SELECT count(*) FROM r WHERE r.submission_id=l.submission_id AND r.path=l.path AND k<=r.spare) budget FROM l""")
 def budget_allocation(spark, d):
     return evidence.budgets(_files(spark, d).select("submission_id", "path", "size", F.lit(2).alias("priority")), "submission_id", 2000)
 
@@ -705,13 +774,133 @@ def split_parts(spark, d):
     return t(spark, d, "documents").select("doc_id", F.explode(evidence.split(1000)("text")).alias("_p")).select("doc_id", "_p.*")
 
 
-@query()
+@query(f"WITH {_CURRENT} SELECT run_id::VARCHAR run_id, state, error_code, sequence, attempts FROM c2")
 def run_state_stream(spark, d):
-    """A stream of all events, a batch at a time; a test holds it against latest_run_state."""
+    """A stream of all events, a batch at a time."""
     import uuid
 
     source, out = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}", f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"
-    _events(spark, d).select(F.col("run_id").cast("string"), "state", F.timestamp_micros("updated_at").alias("updated_at"), F.col("sequence").cast("long")).write.parquet(source)
+    _events(spark, d).select(F.col("run_id").cast("string"), "state", F.timestamp_micros("updated_at").alias("updated_at"), "error_code", F.col("sequence").cast("long")).write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", "4").parquet(source)
     run_states.to_table(run_states.run_states(stream), out).awaitTermination()
-    return run_states.settled(spark, out).select("run_id", "state", "sequence", "attempts")
+    return run_states.settled(spark, out).select("run_id", "state", "error_code", "sequence", "attempts")
+
+
+# --- identities, orders, schemas -------------------------------------------------------------------------------------
+
+_VERSIONS = identity.Versions(rules="r2", prompt="p3", schema="s1", model="m", model_parameters=(("temperature", 0), ("top", 3)))
+
+
+def _documents_as_tasks(spark, d):
+    docs = t(spark, d, "documents")
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("lab_id"), F.col("source").alias("owner"), digest.alias("input_digest"), digest.alias("delta_digest")).withColumns(
+        {"basis_commit": F.lit("c0"), "basis_tree_digest": F.sha2("lab_id", 256), "document_digest": F.lit(None).cast("string"), "lab_definition_digest": F.lit("")}
+    )
+
+
+# Parameters are JSON within JSON, so their quotes are escaped.
+_MODEL_PARAMETERS = r'{\"temperature\":0,\"top\":3}'
+_TASK_PARAMETERS = r'{\"delta_version\":\"1\",\"max_file_bytes\":100,\"review_strategy\":\"whole\",\"source_policy_version\":\"1\"}'
+
+
+@query(f"""
+SELECT id, sha256('{{"basis_commit":"c0","basis_tree_digest":"'||sha256(lang)||'","document_digest":"","input_digests":["'||g||'"],"lab_definition_digest":"","lab_id":"'||lang
+    ||'","model":"m","model_parameters":"{_MODEL_PARAMETERS}","prompt_version":"p3","rules_version":"r2","schema_version":"s1","source_delta_digests":["'||g
+    ||'"],"submission_ids":["'||id||'"],"task_parameters":"{_TASK_PARAMETERS}","task_type":"compliance"}}') review_key
+FROM (SELECT doc_id::VARCHAR id, lang, sha256(coalesce(text, '')) g FROM documents)""")
+def review_identity(spark, d):
+    return identity.keyed(_documents_as_tasks(spark, d), identity.single(_VERSIONS, max_file_bytes=100)).select("id", "review_key")
+
+
+@query("SELECT n_name lab_id, ['basis_commit']||CASE WHEN n_nationkey%3=0 THEN ['basis_tree_digest'] ELSE [] END differs FROM nation WHERE n_nationkey%2=0 UNION ALL SELECT n_name, ['basis_tree_digest'] FROM nation WHERE n_nationkey%2=1 AND n_nationkey%3=0")
+def differing_bases(spark, d):
+    n = t(spark, d, "nation")
+    basis = n.select(F.col("n_name").alias("lab_id"), F.lit("c").alias("basis_commit"), F.lit("t").alias("basis_tree_digest"))
+    other = n.select(F.col("n_name").alias("lab_id"), F.when(F.col("n_nationkey") % 2 == 0, "x").otherwise("c").alias("basis_commit"), F.when(F.col("n_nationkey") % 3 == 0, "x").otherwise("t").alias("basis_tree_digest"))
+    return identity.differing_bases(basis, other)
+
+
+@query(f"SELECT id, lab_id, row_number() OVER (PARTITION BY lab_id ORDER BY submitted_at, id) place FROM ({_SUBS})")
+def corpus_order(spark, d):
+    return similarity.corpus_rank(submissions(spark, d)).select("id", "lab_id", F.col("place").cast("long").alias("place"))
+
+
+@query(f"WITH v AS ({_EVENTS}) SELECT run_id, sequence, before, state FROM (SELECT *, lag(state) OVER (PARTITION BY run_id ORDER BY sequence) before FROM v) WHERE NOT coalesce((before IS NULL AND state='queued') OR (before='preparing' AND state IN ('running','failed')) OR (before='running' AND state='failed'), false)")
+def broken_transitions(spark, d):
+    return runs.broken_transitions(_events(spark, d)).select("run_id", "sequence", "before", "state")
+
+
+@query("""
+WITH q AS (SELECT 'review-'||sha256(coalesce(text, '')) run_id, min(turn) AS created FROM conversations WHERE role='user' GROUP BY 1),
+n AS (SELECT * FROM q WHERE run_id NOT IN (SELECT 'review-'||sha256(coalesce(text, '')) FROM conversations WHERE role<>'user'))
+SELECT run_id, row_number() OVER (ORDER BY created, run_id)<=50 admitted FROM n""")
+def admission(spark, d):
+    """The room is the feature: fifty are admitted, the others are told so."""
+    c = t(spark, d, "conversations").select(F.coalesce("text", F.lit("")).alias("payload"), F.col("role").alias("model"), F.col("turn").alias("created_at"))
+    known = c.filter("model <> 'user'").select(F.concat(F.lit("review-"), F.sha2(F.col("payload").cast("binary"), 256)).alias("run_id")).distinct()
+    return runs.admit(c, known, ["user"], 50).select("run_id", "admitted")
+
+
+_PAYLOAD = """{"schema_version":1,"audience":"checker","submission":{"id":"@ID@","owner":"o","lab_id":"l","score":@SCORE@,"input_digest":"@SHA@","submitted_at":"2024-01-01T00:00:00Z",
+"input_manifest":{},"lab_definition":{},"active_run":{"id":7,"state":"Success","result_info":{},"score":null,"performance":1.5,"finished_at":"2024-01-01T00:00:00Z"}},
+"basis":{"commit":"c","tree_digest":"@SHA@","document_digest":"@SHA@","source_path":"s","document_path":"d","public_references":[{"repository":"r","revision":"v","tree_digest":"@REF@","path_prefix":"p"}]},
+"model":"m","source":"@SOURCE@","rules_version":"r","prompt_version":"p","tool_version":"t","result_schema_version":"x","issued_at":"2024-01-01T00:00:00Z","expires_at":"@END@","nonce":"0123456789abcdef"@MORE@}"""
+
+
+@query("""
+SELECT doc_id, CASE doc_id%9 WHEN 0 THEN 'payload.submission.id is not uuid' WHEN 1 THEN 'payload.source is not one of manual, nightly' WHEN 2 THEN 'payload has other fields'
+    WHEN 3 THEN 'payload.submission.score is not count' WHEN 4 THEN 'it is valid for more than 15 minutes' WHEN 5 THEN 'a nightly payload names another model'
+    WHEN 6 THEN 'payload.basis.public_references[].tree_digest is not digest' WHEN 7 THEN 'it is not valid now' END error
+FROM labels""")
+def payload_errors(spark, d):
+    k = F.col("doc_id") % 9
+    case = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
+    given = {
+        "@ID@": case(0, "x", F.format_string("00000000-0000-4000-8000-%012d", "doc_id")), "@SOURCE@": case(5, "nightly", case(1, "weekly", "manual")), "@MORE@": case(2, ',"more":1', ""), "@SCORE@": case(3, "-1", "60"),
+        "@END@": case(4, "2024-01-01T00:16:00Z", case(7, "2024-01-01T00:05:00Z", "2024-01-01T00:15:00Z")), "@REF@": case(6, "zz", F.repeat(F.lit("b"), F.lit(64))), "@SHA@": F.repeat(F.lit("a"), F.lit(64)),
+    }
+    text = F.lit(_PAYLOAD)
+    for mark, value in given.items():
+        text = F.replace(text, F.lit(mark), value)
+    rows = t(spark, d, "labels").select("doc_id", text.alias("text"))
+    return envelopes.review_errors(rows, F.lit("2024-01-01 00:10:00").cast("timestamp"), "n").select("doc_id", "error")
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id%2=1 THEN 'human review is not asked for' WHEN quality=1 AND doc_id%3=0 THEN 'a compliant report lists violations' WHEN doc_id%3=1 THEN 'the limitations are not texts in Chinese'
+    WHEN doc_id%5=0 THEN 'a violation''s category is unknown' WHEN doc_id%5=1 THEN 'an evidence description is not in Chinese' WHEN doc_id%5=2 THEN 'no such file'
+    WHEN doc_id%5=3 THEN 'a violation cites nothing of the submission' END error
+FROM (SELECT doc_id, CASE WHEN doc_id%3=0 THEN quality END quality FROM labels)""")
+def agent_report_errors(spark, d):
+    i = F.col("doc_id")
+    han = F.lit("\u8bc1\u636e")
+    item = F.struct(F.when(i % 5 == 3, "baseline").otherwise("submission").alias("root"), F.lit("p").alias("path"), F.when(i % 5 == 1, "x").otherwise(han).alias("description"), F.when(i % 5 == 2, "no such file").alias("error"))
+    v = F.struct(F.when(i % 5 == 0, "odd").otherwise("constraint_violation").alias("category"), han.alias("summary"), F.array(item).alias("evidence"))
+    rows = t(spark, d, "labels").select(
+        "doc_id", (i % 2 == 0).alias("requires_human_review"), F.when((F.col("quality") == 1) & (i % 3 == 0), "compliant").otherwise("violation").alias("decision"), F.lit(0.5).alias("confidence"),
+        han.alias("summary"), F.array(F.when(i % 3 == 1, "none").otherwise(han)).alias("limitations"), F.array(v).alias("violations"),
+    )
+    return rows.select("doc_id", verdicts.agent_error().alias("error"))
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, lang, sh, sha256(list_sort(sh)::VARCHAR) g FROM ({_SHINGLES}) WHERE len(sh)>0),
+r AS (SELECT lang, g, count(*) members, any_value(sh) sh FROM s GROUP BY 1, 2),
+e AS (SELECT lang, g, len(sh) n, hash(unnest(sh)) x FROM r),
+p AS (SELECT a.lang, a.g FROM e a JOIN e b ON a.x=b.x AND a.lang=b.lang AND a.g<>b.g GROUP BY a.lang, a.g, b.g, a.n, b.n HAVING count(*)::DOUBLE/(a.n+b.n-count(*))>=0.7),
+l AS (SELECT lang, g, count(*) links FROM p GROUP BY 1, 2)
+SELECT doc_id id, members, coalesce(links, 0) links FROM s JOIN r USING (lang, g) LEFT JOIN l USING (lang, g)""")
+def similarity_classes(spark, d):
+    return similarity.classes(entities(spark, d)).select("id", "members", "links")
+
+
+@query()
+def compliance_payloads(spark, d):
+    """Evidence of each document's review as JSON under a budget; a test holds the shares and cuts against plain ones."""
+    files, base = _doc_files(spark, d), _baseline(spark, d)
+    found = delta.build(files, base)
+    digests = delta.digests(found, files.select("submission_id", F.lit(False).alias("incomplete")))
+    subs = t(spark, d, "documents").select(F.col("doc_id").alias("submission_id"), F.col("source").alias("owner"), F.col("lang").alias("lab_id"), F.lit(60).alias("score"), F.lit("rules").alias("document"), F.lit("{}").alias("definition"))
+    bundle = files.select("submission_id", F.lit("run.sh").alias("path"), "content", F.octet_length("content").alias("size"), F.octet_length("content").alias("bytes_read"), "omission_reason")
+    return payloads.compliance(subs.join(digests.withColumnRenamed("digest", "delta_digest"), "submission_id"), found, bundle, 4000)

@@ -39,11 +39,15 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def windows(items: Column, k: int) -> Column:
-    """Distinct runs of k items; fewer than k items are one run, none is no run."""
+def windows(items: Column, k: int, separator: str = "\0") -> Column:
+    """Distinct runs of k items, each joined to one string; fewer than k items are one run, none is no run.
+
+    Runs are joined before equal ones go: Spark hashes strings there, but compares arrays pair by pair.
+    """
     n = F.size(items)
-    runs = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.slice(items, i, k))
-    return F.array_distinct(F.when(n >= k, runs).when(n > 0, F.array(items)).otherwise(F.slice(F.array(items), 1, 0)))
+    runs = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(items, i, k), separator))
+    whole = F.array(F.array_join(items, separator))
+    return F.array_distinct(F.when(n >= k, runs).when(n > 0, whole).otherwise(F.array().cast("array<string>")))
 
 
 def identifiers(x: Column) -> Column:
@@ -85,6 +89,11 @@ def safe_path(path: Column) -> Column:
     return F.coalesce((F.length(path) > 0) & ~F.contains(path, F.lit("\\")) & ~F.contains(path, F.lit("\0")) & parts, F.lit(False))
 
 
+def literal(x: Column) -> Column:
+    """Regex that a text alone matches."""
+    return F.regexp_replace(x, r"([^A-Za-z0-9_])", r"\\$1")
+
+
 def glob_regex(pattern: str, cross: bool = False) -> str:
     """Regex of a submission pattern: ** any, * within a segment, ? one such character. cross: * and ? meet / too."""
     out, i = "", 0
@@ -117,12 +126,12 @@ def evidence_priority(path: Column) -> Column:
     return F.when(basename(path).isin(*EXECUTION_NAMES), 4).when(artifact_kind(path).isNotNull(), 1).otherwise(2)
 
 
-def bounded(x: Column, most: int, reason: str) -> Column:
+def bounded(x: Column, most: int | Column, reason: str) -> Column:
     """The text's first characters, with what was cut and the whole text's digest."""
-    n = max(1, most)
+    n = most if isinstance(most, Column) else F.lit(max(1, most))
     cut = F.length(x) > n
     return F.struct(
-        F.substring(x, 1, n).alias("text"), cut.alias("truncated"), F.length(x).cast("long").alias("original_chars"), F.least(F.length(x), F.lit(n)).cast("long").alias("included_chars"),
+        F.substr(x, F.lit(1), n).alias("text"), cut.alias("truncated"), F.length(x).cast("long").alias("original_chars"), F.least(F.length(x), n).cast("long").alias("included_chars"),
         F.when(cut, F.lit(reason)).alias("truncation_reason"), F.sha2(x.cast("binary"), 256).alias("sha256"),
     )
 

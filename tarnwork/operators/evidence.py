@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,33 +21,45 @@ def items(delta_files: DataFrame, bundle_files: DataFrame) -> DataFrame:
     return hunks.unionByName(files).withColumn("artifact", T.artifact_kind(F.col("path")))
 
 
-def cut_points(text: str, core: int) -> list[int]:
-    """Ends of consecutive stretches of at most core characters, each after its last line end if it has one."""
-    ends, at = [], 0
-    while at < len(text):
-        reach = at + core
-        line = text.rfind("\n", at, reach) + 1 if reach < len(text) else 0
-        at = line if line > at else min(reach, len(text))
-        ends.append(at)
-    return ends
+def line_ends(text: str) -> np.ndarray:
+    """The place behind each line feed."""
+    return np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 10) + 1
+
+
+def cores(ends: np.ndarray, size: int, most: int) -> np.ndarray:
+    """Edges, from 0 to size, of stretches of at most so many characters that close at the last line end within them."""
+    edges = [0]
+    while edges[-1] < size:
+        reach = edges[-1] + most
+        last = int(np.searchsorted(ends, reach, "right"))
+        closed = last > 0 and ends[last - 1] > edges[-1]
+        edges.append(size if reach >= size else int(ends[last - 1]) if closed else reach)
+    return np.array(edges, np.int64)
 
 
 def split_text(text: str | None, most: int) -> list[dict]:
-    """Parts whose cores make up the text, each with whole lines around it as far as an eighth of the budget allows."""
+    """Parts whose cores make up the text, each with whole lines around it as far as an eighth of the budget allows.
+
+    All places come from a table of line ends: a part opens at the first line that starts within its reach, and closes at
+    the last that ends within it; without such a line, at the reach itself.
+    """
     text = text or ""
-    overlap = min(MOST_OVERLAP, most // 8)
-    ends = [len(text)] if len(text) <= most else cut_points(text, max(1, most - 2 * overlap))
-    out = []
-    for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends)):
-        left, right = max(0, a - overlap), min(len(text), b + overlap)
-        if len(ends) == 1:
-            left, right = a, b
-        if left > 0 and (line := text.find("\n", left, a)) >= 0:
-            left = line + 1
-        if right < len(text) and (line := text.rfind("\n", b, right)) >= 0:
-            right = line + 1
-        out.append({"part_index": i, "part_count": len(ends), "text": text[left:right], "core_start": a - left, "core_chars": b - a, "prefix_chars": a - left, "suffix_chars": right - b})
-    return out
+    size, around = len(text), min(MOST_OVERLAP, most // 8)
+    if size <= most:
+        edges, around, ends = np.array([0, size]), 0, np.zeros(0, np.int64)
+    else:
+        ends = line_ends(text)
+        edges = cores(ends, size, max(1, most - 2 * around))
+    begin, close = edges[:-1], edges[1:]
+    low, high = np.maximum(begin - around, 0), np.minimum(close + around, size)
+    opens = np.append(ends, size + 1)[np.searchsorted(ends, low, "right")]
+    low = np.where((low > 0) & (opens <= begin), opens, low)
+    shuts = np.insert(ends, 0, 0)[np.searchsorted(ends, high, "right")]
+    high = np.where((high < size) & (shuts > close), shuts, high)
+    return [
+        {"part_index": i, "part_count": len(begin), "text": text[x:y], "core_start": a - x, "core_chars": b - a, "prefix_chars": a - x, "suffix_chars": y - b}
+        for i, (a, b, x, y) in enumerate(np.stack([begin, close, low, high], axis=1).tolist())
+    ]
 
 
 def split(most: int):
@@ -60,20 +73,26 @@ def split(most: int):
 def pack(rows: DataFrame, key: str, order: list[str], size: str, most: int, overhead: int = 0) -> DataFrame:
     """chunk of each row: in order, a chunk is closed when the next row would take it over the limit.
 
-    A fold over a key's sizes alone; texts stay where they are and meet their chunk again by position.
+    A fold over a key's sizes alone, in one pass; texts stay where they are and meet their chunk again by position.
     """
-    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    sizes = numbered.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.col(size).cast("long").alias("s")))), lambda x: x["s"]).alias("_s"))
-    start = F.struct(F.lit(overhead).cast("long").alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"), F.lit(False).alias("some"))
 
-    def step(acc, s):
-        full = acc["some"] & (acc["used"] + s > most)
-        chunk = F.when(full, acc["chunk"] + 1).otherwise(acc["chunk"])
-        used = F.when(full, F.lit(overhead) + s).otherwise(acc["used"] + s)
-        return F.struct(used.alias("used"), chunk.alias("chunk"), F.concat(acc["out"], F.array(chunk)).alias("out"), F.lit(True).alias("some"))
+    def fold(sizes) -> list[int]:
+        used, chunk, out = overhead, 0, []
+        for s in sizes:
+            if out and used + s > most:
+                used, chunk = overhead, chunk + 1
+            used += s
+            out.append(chunk)
+        return out
 
-    chunks = sizes.select(key, F.posexplode(F.aggregate("_s", start, step, lambda acc: acc["out"])).alias("_p", "chunk")).withColumn("_i", F.col("_p") + 1)
-    return numbered.join(chunks.select(key, "_i", "chunk"), [key, "_i"]).drop("_i")
+    @F.pandas_udf("array<int>")
+    def chunks(sizes: pd.Series) -> pd.Series:
+        return sizes.map(fold)
+
+    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    sizes = numbered.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.col(size).cast("long").alias("s")))), lambda x: x["s"]).alias("_s"))
+    placed = sizes.select(key, F.posexplode(chunks("_s")).alias("_p", "chunk")).select(key, (F.col("_p") + 1).alias("_i"), "chunk")
+    return numbered.join(placed, [key, "_i"]).drop("_i")
 
 
 def allocate(sizes: list[int], priorities: list[int], names: list[str], most: int) -> list[int]:
@@ -93,33 +112,23 @@ def allocate(sizes: list[int], priorities: list[int], names: list[str], most: in
     return out
 
 
-def budgets(rows: DataFrame, key: str, most: int, name: str = "path", size: str = "size", priority: str = "priority") -> DataFrame:
-    """rows with budget, by key; a key's rows are its bundle's files, bounded by the file limits."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+def budgets(rows: DataFrame, key: str, most: int | str, name: str = "path", size: str = "size", priority: str = "priority") -> DataFrame:
+    """rows with budget, by key; a key's rows are its bundle's files, bounded by the file limits. most: a number, or the
+    column that has it for the key (which goes)."""
+    given = most if isinstance(most, str) else None
+    names = [f for f in rows.schema if f.name != given]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf["budget"] = allocate(pdf[size].astype(int).tolist(), pdf[priority].astype(int).tolist(), pdf[name].tolist(), most)
-        return pdf
+        limit = int(pdf[given].iloc[0]) if given else most
+        pdf["budget"] = allocate(pdf[size].astype(int).tolist(), pdf[priority].astype(int).tolist(), pdf[name].tolist(), limit)
+        return pdf.drop(columns=[given]) if given else pdf
 
     return rows.groupBy(key).applyInPandas(one, f"{fields}, budget bigint")
 
 
-def prompt_limits(total: int) -> dict[str, int]:
-    """Characters for the document, the lab's definition, the delta and the sources."""
-    document, definition = min(80_000, total // 3), min(30_000, total // 8)
-    rest = max(0, total - document - definition)
-    return {"document": document, "definition": definition, "delta": rest * 2 // 3, "source": rest - rest * 2 // 3}
-
-
 def referenced_definitions(hunks: DataFrame, unchanged: DataFrame) -> DataFrame:
     """Definitions in unchanged files that a hunk's identifiers name. hunks: submission_id, path, item_index, text."""
     used = hunks.select("submission_id", "path", "item_index", F.explode(T.identifiers(F.col("text"))).alias("symbol"))
     known = unchanged.select("submission_id", F.col("path").alias("defined_in"), F.explode(T.definitions(F.col("content"))).alias("_d")).select("submission_id", "defined_in", F.col("_d.name").alias("symbol"), F.col("_d.value").alias("value"))
     return used.join(known, ["submission_id", "symbol"]).filter(F.col("path") != F.col("defined_in"))
-
-
-def any_truncated(*flags: str):
-    out = F.lit(False)
-    for f in flags:
-        out = out | F.coalesce(F.col(f), F.lit(False))
-    return out

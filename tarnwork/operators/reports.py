@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import identity
 from . import verdicts as V
 
 
@@ -54,7 +55,10 @@ def skip_summary(candidates: DataFrame, todo: DataFrame, failures: DataFrame) ->
 
 
 def with_ledger(tasks: DataFrame, ledger: DataFrame, kind: str) -> DataFrame:
-    """Tasks with the stored verdict that may be used again, if there is one."""
+    """Tasks with the stored verdict that may be used again, if there is one. A ledger with identities is read with a
+    check of each against its key, and fails where they do not agree."""
+    if "identity" in ledger.columns:
+        ledger = identity.checked(ledger)
     stored = ledger.filter(V.reusable(kind)).select("review_key", F.col("decision").alias("stored_decision"), F.col("confidence").alias("stored_confidence"))
     return tasks.join(stored, "review_key", "left").withColumn("cache_hit", F.col("stored_decision").isNotNull())
 
@@ -83,3 +87,8 @@ def preferred(agent: DataFrame, files: DataFrame) -> DataFrame:
 def pair_task_key(first, second, *parts):
     """Content-addressed key of a pair task; the order of the two does not matter."""
     return F.sha2(F.concat_ws("\0", F.least(first, second), F.greatest(first, second), *parts), 256)
+
+
+def in_order(tasks: DataFrame) -> DataFrame:
+    """Tasks by kind, lab and key, as they are handed out."""
+    return tasks.orderBy("kind", "lab_id", "task_key")

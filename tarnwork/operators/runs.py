@@ -13,6 +13,11 @@ ACTIVE = ("preparing", "running", "finalizing")
 RETRYABLE = ("JOB_LOST", "MODEL_UNAVAILABLE")
 MANUAL_RETRYABLE = ("AGENT_EXECUTION_FAILED", "RESULT_INVALID")
 MAX_ATTEMPTS = 3
+# Where a run may go from each state. A failed one is queued again; each active one may fail.
+NEXT = {
+    "queued": ("preparing", "failed", "cancelled"), "preparing": ("running", "failed", "cancelled"), "running": ("finalizing", "failed", "cancelled"),
+    "finalizing": ("completed", "failed"), "failed": ("queued",), "completed": (), "cancelled": (),
+}
 
 
 def sequenced(events: DataFrame, *arrival: str) -> DataFrame:
@@ -60,7 +65,25 @@ def ready_only(runs: DataFrame, markers: DataFrame) -> DataFrame:
     return runs.filter(F.col("run_id").rlike(r"^(?:review|plagiarism)-[0-9a-f]{64}\z")).join(markers, "run_id", "left_semi")
 
 
-def admit(requests: DataFrame, existing: DataFrame, models: list[str]) -> DataFrame:
-    """New requests by payload digest, of allowed models; a known payload is its existing run."""
-    fresh = requests.filter(F.col("model").isin(*models)).withColumn("run_id", F.concat(F.lit("review-"), F.sha2(F.col("payload").cast("binary"), 256))).dropDuplicates(["run_id"])
-    return fresh.join(existing, "run_id", "left_anti")
+def broken_transitions(events: DataFrame, following: dict[str, tuple[str, ...]] = NEXT) -> DataFrame:
+    """run_id, sequence, before, state of the events that their run's last state does not allow; a run opens queued."""
+    before = F.lag("state").over(Window.partitionBy("run_id").orderBy("sequence"))
+    allowed = F.when(F.col("before").isNull(), F.col("state") == "queued").otherwise(F.lit(False))
+    for state, after in following.items():
+        allowed = allowed | (F.col("before").eqNullSafe(F.lit(state)) & F.col("state").isin(*after))
+    return events.select("run_id", "sequence", before.alias("before"), "state").filter(~allowed)
+
+
+def admit(requests: DataFrame, existing: DataFrame, models: list[str], room: int | None = None) -> DataFrame:
+    """New requests by payload digest, of allowed models, with whether there is room; a known payload is its existing run.
+
+    requests: payload, model, created_at. Of one payload the earliest counts. The first by time are admitted, as many as
+    there is room for; top-k by sort and limit, so that no task sees them all.
+    """
+    keyed = requests.filter(F.col("model").isin(*models)).withColumn("run_id", F.concat(F.lit("review-"), F.sha2(F.col("payload").cast("binary"), 256)))
+    first = keyed.groupBy("run_id").agg(F.min_by(F.struct("payload", "model", "created_at"), "created_at").alias("_r")).select("run_id", "_r.*")
+    fresh = first.join(existing.select("run_id"), "run_id", "left_anti")
+    if room is None:
+        return fresh.withColumn("admitted", F.lit(True))
+    taken = fresh.orderBy("created_at", "run_id").limit(max(0, room)).select("run_id", F.lit(True).alias("_in"))
+    return fresh.join(taken, "run_id", "left").withColumn("admitted", F.coalesce("_in", F.lit(False))).drop("_in")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import fnmatch
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,6 +49,16 @@ def include_edges(files: DataFrame) -> DataFrame:
     return direct.select(*cols).unionByName(root.select(*cols)).unionByName(name.select(*cols)).distinct()
 
 
+def glob_hits(path, globs):
+    """Those of the globs that a path matches, by fnmatch's rules: an unclosed [ is itself, an empty range meets nothing."""
+
+    @F.pandas_udf("array<string>")
+    def run(paths: pd.Series, globs: pd.Series) -> pd.Series:
+        return pd.Series([[g for g in some if fnmatch.fnmatchcase(p, g)] for p, some in zip(paths, globs)], dtype=object)
+
+    return run(path, globs)
+
+
 def scope_reasons(files: DataFrame) -> DataFrame:
     """submission_id, path, reasons: files in the static execution scope. files: submission_id, path, content, truncated."""
     pick = lambda name: F.max(F.when(F.col("path") == name, F.col("content")))
@@ -61,11 +72,14 @@ def scope_reasons(files: DataFrame) -> DataFrame:
     build = build.join(texts, "submission_id", "left").withColumn("build_text", F.concat_ws("\n", "compile", "run", F.coalesce("_b", F.lit(""))))
     build = build.withColumn("dynamic", F.col("build_text").rlike(T.DYNAMIC_BUILD))
     compiled, code = suffix.isin(*T.COMPILED), suffix.isin(*T.COMPILED, *T.HEADERS)
-    quoted = F.concat(F.lit(r"(?<![A-Za-z0-9_])"), F.lit("\\Q"), T.stem(path), F.lit("\\E"), F.lit(r"(?![A-Za-z0-9_])"))
+    quoted = F.concat(F.lit(r"(?<![A-Za-z0-9_])"), T.literal(T.stem(path)), F.lit(r"(?![A-Za-z0-9_])"))
     mentioned = compiled & (F.contains(F.col("build_text"), path) | F.contains(F.col("build_text"), name) | F.regexp_like(F.col("build_text"), quoted))
     globs = F.array_distinct(F.regexp_extract_all("build_text", F.lit(T.BUILD_GLOB), F.lit(1)))
+    # Globs without a set are matched here; those with one, which regexes read otherwise, by the standard library.
     as_regex = lambda g: F.concat(F.lit("(?s)^"), F.replace(F.replace(F.replace(g, F.lit("."), F.lit("[.]")), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("\\z"))
-    hit = F.filter(globs, lambda g: F.regexp_like(path, as_regex(g)))
+    has_set = lambda g: F.contains(g, F.lit("["))
+    plain = F.filter(F.filter(globs, lambda g: ~has_set(g)), lambda g: F.regexp_like(path, as_regex(g)))
+    hit = F.concat(plain, glob_hits(path, F.filter(globs, has_set)))
     rules = F.array_compact(F.concat(
         F.array(F.when(path.isin(*ROOT_FILES), F.lit("mandatory_execution_file")), F.when(F.col("is_build"), F.lit("build_definition")), F.when(mentioned, F.lit("referenced_by_build_definition"))),
         F.transform(hit, lambda g: F.concat(F.lit("matched_build_glob:"), g)),

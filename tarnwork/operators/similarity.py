@@ -1,8 +1,8 @@
 """Near-duplicate candidates between owners: exact layers, exhaustive Jaccard, MinHash bands.
 
 Entities (id, owner, lab_id, submitted_at, input_digest, delta_digest, shingles, incomplete, changed_files). Shingles are
-NUL-joined token runs; sets are joined by prefixes of rarest shingles, which loses no pair at or over the threshold, and
-equal sets are joined once.
+NUL-joined token runs, hashed once; sets are joined by prefixes of rarest hashes, which loses no pair at or over the
+threshold, and equal sets are joined once.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def shingle_sets(delta_files: DataFrame, k: int = SHINGLE) -> DataFrame:
     parts = delta_files.select("submission_id", "path", T.tokens(F.col("added_text")).alias("_t")).filter(F.size("_t") > 0)
     led = F.struct("path", F.concat(F.array(F.lit("__file__"), F.col("path")), "_t").alias("t"))
     held = parts.groupBy("submission_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(led)), lambda f: f["t"])).alias("_t"))
-    return held.select("submission_id", F.transform(T.windows(F.col("_t"), k), lambda w: F.array_join(w, "\0")).alias("shingles"))
+    return held.select("submission_id", T.windows(F.col("_t"), k).alias("shingles"))
 
 
 def representatives(entities: DataFrame, digest: str) -> DataFrame:
@@ -55,29 +55,72 @@ def jaccard_of(a, b):
     return F.coalesce(same / F.nullif(F.size(a) + F.size(b) - same, F.lit(0.0)), F.lit(0.0))
 
 
-def similar_sets(sets: DataFrame, threshold: float, group: str = "lab_id") -> DataFrame:
-    """group, a, b, jaccard of the pairs of different sets (group, set_id, shingles) at or over the threshold."""
-    sized = sets.select(group, "set_id", F.size("shingles").alias("n"), F.transform("shingles", lambda s: F.xxhash64(s)).alias("_h"))
-    each = sized.select(group, "set_id", "n", F.explode("_h").alias("h"))
-    often = each.groupBy(group, "h").agg(F.count("*").alias("_c"))
-    rank = F.row_number().over(Window.partitionBy(group, "set_id").orderBy("_c", "h"))
-    # A pair at the threshold shares at least ceil(t * n) shingles of the set of n, so one stands in its n - that + 1 rarest.
-    prefix = each.join(often, [group, "h"]).withColumn("_i", rank).filter(F.col("_c") > 1).filter(F.col("_i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    a = prefix.select(group, "h", F.col("set_id").alias("a"), F.col("n").alias("n_a"))
-    b = prefix.select(group, "h", F.col("set_id").alias("b"), F.col("n").alias("n_b"))
-    fit = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
-    pairs = a.join(b, [group, "h"]).filter(fit).select(group, "a", "b").distinct()
-    full = sets.select(group, "set_id", "shingles")
-    met = pairs.join(full.withColumnRenamed("set_id", "a").withColumnRenamed("shingles", "_x"), [group, "a"]).join(full.withColumnRenamed("set_id", "b").withColumnRenamed("shingles", "_y"), [group, "b"])
-    return met.select(group, "a", "b", jaccard_of(F.col("_x"), F.col("_y")).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+def hashed(entities: DataFrame, permutations: int = 0) -> DataFrame:
+    """The entities as a table: shingles as 64-bit hashes, set_id of the whole set, and a signature if asked for.
 
+    The one place where shingles are made; every layer reads this table and no string goes further. set_id is made of two
+    hashes of the sorted set and its size. Overlaps count 64-bit hashes: two sets of 10^5 shingles meet by chance once in
+    10^9 pairs.
+    """
+    sets = F.array_sort(F.transform("shingles", lambda s: F.xxhash64(s)))
+    signed = [minhash(permutations)("shingles").alias("signature")] if permutations else []
+    out = entities.select("id", "owner", "lab_id", "submitted_at", "input_digest", "delta_digest", "incomplete", "changed_files", sets.alias("hashes"), *signed)
+    name = F.concat_ws("-", F.size("hashes"), F.xxhash64("hashes"), F.xxhash64(F.lit(7), "hashes"))
+    return staged(out.withColumn("n", F.size("hashes")).withColumn("set_id", name), "entities")
 
-def exhaustive_pairs(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of different owners of a lab at or over the threshold; equal sets are compared once."""
-    known = entities.filter((~F.col("incomplete")) & (F.size("shingles") > 0)).withColumn("set_id", F.sha2(F.array_join(F.array_sort("shingles"), "\1"), 256))
-    sets = known.groupBy("lab_id", "set_id").agg(F.first("shingles").alias("shingles"))
-    linked = similar_sets(sets, threshold)
-    same = sets.select("lab_id", F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("jaccard"))
+
+def _sets(known: DataFrame, *columns: str) -> DataFrame:
+    """Each different set of a lab once."""
+    return known.groupBy("lab_id", "set_id").agg(*(F.first(c).alias(c) for c in ("n", *columns)))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """lab_id, a, b, jaccard of those pairs of sets that are at or over the threshold."""
+    x = sets.select("lab_id", F.col("set_id").alias("a"), F.col("hashes").alias("_x"))
+    y = sets.select("lab_id", F.col("set_id").alias("b"), F.col("hashes").alias("_y"))
+    met = pairs.join(x, ["lab_id", "a"]).join(y, ["lab_id", "b"])
+    return met.select("lab_id", "a", "b", jaccard_of(F.col("_x"), F.col("_y")).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+
+
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """lab_id, a, b, jaccard of the pairs of different sets (lab_id, set_id, n, hashes) at or over the threshold.
+
+    A pair at the threshold shares at least ceil(t * n) hashes of the set of n, so one of them stands among that set's
+    n - ceil(t * n) + 1 rarest. Hashes that one set alone has come first in its order and are only counted; what is
+    shuffled to be ranked are the others.
+    """
+    each = sets.select("lab_id", "set_id", "n", F.explode("hashes").alias("h"))
+    often = each.groupBy("lab_id", "h").agg(F.count("*").alias("_c")).filter("_c > 1")
+    own = Window.partitionBy("lab_id", "set_id")
+    rank = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("_c", "h"))
+    prefix = each.join(often, ["lab_id", "h"]).withColumn("_i", rank).filter(F.col("_i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    a = prefix.select("lab_id", "h", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("_i").alias("i_a"))
+    b = prefix.select("lab_id", "h", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("_i").alias("i_b"))
+    sized = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
+    # Of two places, what can still be shared is this hash and the rest of the shorter tail.
+    need = F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    fit = (F.col("a") < F.col("b")) & sized & (F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) + F.least("i_a", "i_b") >= need)
+    return _verified(a.join(b, ["lab_id", "h"]).filter(fit).select("lab_id", "a", "b").distinct(), sets, threshold)
+
+
+def banded_sets(sets: DataFrame, threshold: float, band: int = BAND) -> DataFrame:
+    """lab_id, a, b, jaccard of the pairs of different sets that agree in a whole band of their signatures."""
+    bands = F.transform(F.sequence(F.lit(0), F.floor(F.size("signature") / band).cast("int") - 1), lambda i: F.xxhash64(i, F.array_join(F.slice("signature", i * band + 1, band), ",")))
+    spread = sets.select("lab_id", "set_id", "n", F.explode(bands).alias("_b"))
+    other = spread.select("lab_id", "_b", F.col("set_id").alias("b"), F.col("n").alias("_m"))
+    sized = F.least("n", "_m") >= threshold * F.greatest("n", "_m") - 1e-9
+    met = spread.withColumnRenamed("set_id", "a").join(other, ["lab_id", "_b"]).filter((F.col("a") < F.col("b")) & sized)
+    return _verified(met.select("lab_id", "a", "b").distinct(), sets, threshold)
+
+
+def _near(table: DataFrame, threshold: float, band: int | None) -> DataFrame:
+    """Pairs of entities of different owners whose sets are equal or similar; sets are compared once, whoever has them."""
+    known = table.filter((~F.col("incomplete")) & (F.col("n") > 0))
+    if band:
+        linked = banded_sets(_sets(known, "hashes", "signature"), threshold, band)
+    else:
+        linked = similar_sets(_sets(known, "hashes"), threshold)
+    same = known.select("lab_id", F.col("set_id").alias("a"), F.col("set_id").alias("b")).distinct().withColumn("jaccard", F.lit(1.0))
     member = known.select("lab_id", "set_id", "id", "owner", "submitted_at")
     left = member.withColumnRenamed("set_id", "a")
     right = member.select("lab_id", F.col("set_id").alias("b"), F.col("id").alias("id2"), F.col("owner").alias("owner2"), F.col("submitted_at").alias("submitted_at2"))
@@ -85,18 +128,26 @@ def exhaustive_pairs(entities: DataFrame, threshold: float = THRESHOLD) -> DataF
     return _oriented(met.drop("a", "b"))
 
 
+def exhaustive_pairs(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """All pairs of different owners of a lab at or over the threshold; equal sets are compared once."""
+    return _near(hashed(entities), threshold, None)
+
+
 def banded_pairs(entities: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, band: int = BAND) -> DataFrame:
     """Pairs that agree in a whole band of their signatures, then held against the threshold exactly."""
-    known = entities.filter((~F.col("incomplete")) & (F.size("shingles") > 0))
-    signed = known.withColumn("_s", minhash(permutations)("shingles"))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(permutations // band - 1)), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("_s", i * band + 1, band), ",").alias("v")))
-    spread = signed.select("lab_id", "id", "owner", F.explode(bands).alias("_b"))
-    other = spread.select("lab_id", "_b", F.col("id").alias("id2"), F.col("owner").alias("owner2"))
-    met = spread.join(other, ["lab_id", "_b"]).filter((F.col("id") < F.col("id2")) & (F.col("owner") != F.col("owner2"))).select("lab_id", "id", "id2").distinct()
-    facts = known.select("id", "submitted_at", "shingles")
-    pairs = met.join(facts, "id").join(facts.select(F.col("id").alias("id2"), F.col("submitted_at").alias("submitted_at2"), F.col("shingles").alias("_y")), "id2")
-    scored = pairs.withColumn("jaccard", jaccard_of(F.col("shingles"), F.col("_y"))).filter(F.col("jaccard") >= threshold).drop("shingles", "_y")
-    return _oriented(scored)
+    return _near(hashed(entities, permutations), threshold, band)
+
+
+def classes(entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """id, set_id, members, links of every complete entity with shingles: its class of equal sets, how many have it, and
+    how many other sets of the lab are similar. For hot classes, whose pairs would be as many as the square of the members.
+    """
+    table = hashed(entities)
+    known = table.filter((~F.col("incomplete")) & (F.col("n") > 0))
+    linked = similar_sets(_sets(known, "hashes"), threshold)
+    links = linked.select("lab_id", F.explode(F.array("a", "b")).alias("set_id")).groupBy("lab_id", "set_id").agg(F.count("*").alias("links"))
+    facts = staged(known.groupBy("lab_id", "set_id").agg(F.count("*").alias("members")).join(links, ["lab_id", "set_id"], "left"), "classes")
+    return known.select("lab_id", "set_id", "id").join(facts, ["lab_id", "set_id"]).select("lab_id", "id", "set_id", "members", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def with_precedence(*layers: DataFrame) -> DataFrame:
@@ -110,21 +161,27 @@ def with_precedence(*layers: DataFrame) -> DataFrame:
     return every.groupBy("lab_id", low.alias("_a"), high.alias("_b")).agg(row.alias("_r")).select("lab_id", "_r.*")
 
 
-def detect(entities: DataFrame, threshold: float = THRESHOLD, mode: str = "exhaustive") -> DataFrame:
+def detect(entities: DataFrame, threshold: float = THRESHOLD, mode: str = "exhaustive", permutations: int = PERMUTATIONS, band: int = BAND) -> DataFrame:
     """Candidates of all layers. mode: exhaustive (lossless) or lsh; both report the third layer as minhash.
 
-    Every layer reads the entities, so they are written once instead of tokenized in each.
+    Every layer reads the entities, so they are hashed and written once instead of tokenized in each.
     """
-    entities = staged(entities, "entities")
-    near = (exhaustive_pairs if mode == "exhaustive" else banded_pairs)(entities, threshold)
-    sets = entities.select("id", "shingles")
+    lsh = mode == "lsh"
+    table = hashed(entities, permutations if lsh else 0)
+    sets = table.select("id", "set_id", "n")
 
     def scored(pairs):
-        a, b = sets.select(F.col("id").alias("first_id"), F.col("shingles").alias("_x")), sets.select(F.col("id").alias("second_id"), F.col("shingles").alias("_y"))
-        return pairs.join(a, "first_id").join(b, "second_id").withColumn("jaccard", jaccard_of(F.col("_x"), F.col("_y"))).drop("_x", "_y")
-
-    whole = entities.filter(F.col("changed_files") | F.col("incomplete"))
-    delta = entities.filter(~F.col("incomplete") & F.col("changed_files") & (F.size("shingles") > 0))
+        a, b = sets.toDF("first_id", "_s", "_n"), sets.toDF("second_id", "_t", "_m")
+        met = pairs.join(a, "first_id").join(b, "second_id")
+        equal = met.filter("_s = _t").withColumn("jaccard", F.when(F.col("_n") > 0, 1.0).otherwise(0.0))
+        # Equal digests with different sets: rare, so only these pairs meet their hashes.
+        x, y = table.select(F.col("id").alias("first_id"), F.col("hashes").alias("_x")), table.select(F.col("id").alias("second_id"), F.col("hashes").alias("_y"))
+        other = met.filter("_s <> _t").join(x, "first_id").join(y, "second_id").withColumn("jaccard", jaccard_of(F.col("_x"), F.col("_y"))).drop("_x", "_y")
+        return equal.unionByName(other).drop("_s", "_t", "_n", "_m")
+
+    whole = table.filter(F.col("changed_files") | F.col("incomplete"))
+    delta = table.filter(~F.col("incomplete") & F.col("changed_files") & (F.col("n") > 0))
+    near = _near(table, threshold, band if lsh else None)
     return with_precedence(scored(exact_pairs(whole, "input_digest", SIGNALS[0])), scored(exact_pairs(delta, "delta_digest", SIGNALS[1])), near.withColumn("signal", F.lit(SIGNALS[2])))
 
 
@@ -153,3 +210,23 @@ def owner_pairs(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     own = lambda c, n: entities.select(F.col("id").alias(c), F.col("owner").alias(n))
     both = candidates.join(own("first_id", "_p"), "first_id").join(own("second_id", "_q"), "second_id")
     return both.groupBy("lab_id", F.least("_p", "_q").alias("owner_a"), F.greatest("_p", "_q").alias("owner_b")).agg(F.count("*").alias("pairs"), F.max("jaccard").alias("max_jaccard"))
+
+
+MOST_CANDIDATES = 100
+
+
+def corpus_rank(entities: DataFrame) -> DataFrame:
+    """entities with their place (from 1) in their lab, by time and id."""
+    return entities.withColumn("place", F.row_number().over(Window.partitionBy("lab_id").orderBy("submitted_at", "id")))
+
+
+def in_order(candidates: DataFrame) -> DataFrame:
+    """Candidates by lab and pair, as they are reported."""
+    return candidates.orderBy(*PAIR)
+
+
+def within_cap(candidates: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
+    """The candidates, if they are not too many for one review; more are an error and never cut."""
+    if candidates.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} candidates")
+    return candidates

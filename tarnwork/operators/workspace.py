@@ -7,10 +7,11 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 
-MAX_LINES, MAX_LINE, MAX_DIFF = 400, 1000, 300
+MAX_LINES, MAX_LINE, MAX_DIFF, MAX_RESPONSE = 400, 1000, 300, 32 << 10
 
 
 def numbered(files: DataFrame, *key: str) -> DataFrame:
@@ -39,6 +40,18 @@ def page(rows: DataFrame, order: list[str], cursor: int, size: int) -> DataFrame
     return rows.orderBy(*order).offset(cursor).limit(size).join(F.broadcast(total)).withColumn("next_cursor", F.when(F.col("_n") > cursor + size, cursor + size)).drop("_n")  # total is one row
 
 
+def fitting_page(rows: DataFrame, order: list[str], cursor: int, size: int, most: int = MAX_RESPONSE) -> DataFrame:
+    """A page whose rows, as JSON, take at most so many bytes: its last rows go until they do. next_cursor follows what stays."""
+    some = page(rows, order, cursor, size)
+    body = [c for c in some.columns if c != "next_cursor"]
+    sized = some.withColumn("_b", F.octet_length(F.to_json(F.struct(*body))) + 1)
+    upto = Window.orderBy(*order)  # over one page
+    kept = sized.withColumn("_upto", F.sum("_b").over(upto)).withColumn("_place", F.row_number().over(upto)).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    kept = kept.filter(F.col("_upto") <= most).withColumn("_kept", F.count("*").over(Window.partitionBy()))
+    cut = F.when(F.col("_kept") < F.col("_n"), cursor + F.col("_kept")).otherwise(F.col("next_cursor"))
+    return kept.withColumn("next_cursor", cut.cast("int")).drop("_b", "_upto", "_place", "_n", "_kept")
+
+
 def inventory(files: DataFrame) -> DataFrame:
     """root, file_count, total_bytes, suffixes."""
     by = files.groupBy("root", F.when(T.suffix(F.col("path")) == "", "<none>").otherwise(T.suffix(F.col("path"))).alias("suffix")).agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes"))
@@ -91,3 +104,13 @@ def compare_files(pairs: DataFrame, cursor: int = 0, most: int = MAX_DIFF, width
     d = F.col("_d")
     shown = F.transform(F.slice(d, cursor + 1, most), lambda x: F.substring(x, 1, width))
     return pairs.withColumn("_d", unified_diff("baseline_text", "content")).withColumn("diff", shown).withColumn("next_cursor", F.when(F.size(d) > cursor + most, cursor + most)).drop("_d")
+
+
+#: The tools by the name that a caller uses; each takes files (root, path, content) and its own arguments.
+TOOLS = {"list_files": tree, "search": search, "read_lines": read_lines, "inventory": inventory, "file_info": file_info, "compare": compare_files}
+
+
+def call(tool: str, files: DataFrame, *arguments, **options) -> DataFrame:
+    if tool not in TOOLS:
+        raise ValueError(f"no tool {tool}")
+    return TOOLS[tool](files, *arguments, **options)

@@ -8,7 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bundles, delta, reports, selection, similarity, verdicts
+from ..functions import hashing
+from ..operators import bundles, delta, identity, reports, selection, similarity, verdicts
+from ..sources import files as sources
 from ..sources.settings import Settings
 from ..storage import staged
 
@@ -31,6 +33,7 @@ class Request:
     mode: str = "exhaustive"
     patterns: tuple[str, ...] = ()
     settings: Settings = field(default_factory=Settings)
+    versions: identity.Versions = field(default_factory=identity.Versions)
 
 
 @dataclass(frozen=True)
@@ -60,8 +63,34 @@ def plan(request: Request, submissions: DataFrame) -> tuple[DataFrame, DataFrame
     return history, best, tasks.withColumn("task_key", key)
 
 
-def run(request: Request, submissions: DataFrame, files: DataFrame, baseline: DataFrame, ledger: DataFrame, reviewer: Reviewer) -> Result:
-    """files: submission_id, lab_id, path, size, content. Deltas, entities and candidates are tables in the shared folder:
+def basis_of(baseline: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """lab_id, basis_commit, basis_tree_digest, document_digest: what a lab's reviews rest on, from its baseline's files
+    (lab_id, path, content, revision) and its documents (lab_id, text)."""
+    tree = sources.tree_digest(baseline, "lab_id").withColumnRenamed("digest", "basis_tree_digest")
+    out = baseline.groupBy("lab_id").agg(F.max("revision").alias("basis_commit")).join(tree, "lab_id")
+    if documents is None:
+        return out.withColumn("document_digest", F.lit(""))
+    return out.join(documents.select("lab_id", F.sha2(F.col("text").cast("binary"), 256).alias("document_digest")), "lab_id", "left")
+
+
+def with_identity(tasks: DataFrame, entities: DataFrame, basis: DataFrame, request: Request) -> DataFrame:
+    """Tasks with identity and review_key: a single one's from its submission, a pair's from both."""
+    s, v = request.settings, request.versions
+    facts = entities.select("id", "input_digest", "delta_digest", "lab_definition_digest")
+    side = lambda n: facts.toDF(*(f"{n}_{c}" for c in facts.columns))
+    met = tasks.join(side("first"), "first_id").join(side("second"), "second_id", "left").join(basis, "lab_id", "left")
+    one = met.filter(F.col("second_id").isNull()).withColumns({"id": F.col("first_id"), "input_digest": F.col("first_input_digest"), "delta_digest": F.col("first_delta_digest"), "lab_definition_digest": F.col("first_lab_definition_digest")})
+    one = identity.keyed(one, identity.single(v, max_file_bytes=s.file_bytes, max_total_bytes=s.total_bytes, prompt_evidence_chars=s.evidence_chars))
+    both = met.filter(F.col("second_id").isNotNull()).withColumn("lab_definition_digest", F.sha2(F.concat_ws("\0", "first_lab_definition_digest", "second_lab_definition_digest"), 256))
+    both = identity.keyed(both, identity.pair(
+        v, band_size=s.band_size, jaccard_threshold=s.threshold, near_identical_threshold=verdicts.NEAR_IDENTICAL, num_permutations=s.permutations, prompt_evidence_chars=s.evidence_chars, shingle_size=s.shingle_size,
+    ))
+    names = [*tasks.columns, "identity", "review_key"]
+    return one.select(*names).unionByName(both.select(*names))
+
+
+def run(request: Request, submissions: DataFrame, files: DataFrame, baseline: DataFrame, ledger: DataFrame, reviewer: Reviewer, documents: DataFrame | None = None) -> Result:
+    """files: submission_id, lab_id, path, size, content. documents: lab_id, text. Deltas, entities and candidates are tables in the shared folder:
     several steps read each, and one plan of all of them would be too long to optimize."""
     s = request.settings
     history, best, _ = plan(request, submissions)
@@ -73,21 +102,22 @@ def run(request: Request, submissions: DataFrame, files: DataFrame, baseline: Da
     digests = delta.digests(found, whole)
     shingles = similarity.shingle_sets(found, s.shingle_size)
     changed = found.select("submission_id").distinct().withColumn("changed_files", F.lit(True))
+    definition = hashing.canonical_sha256(F.col("lab_definition")) if "lab_definition" in history.columns else F.lit("")
     entities = (
-        history.select("id", "owner", "lab_id", "submitted_at", "input_digest").join(digests.select(F.col("submission_id").alias("id"), F.col("digest").alias("delta_digest"), "incomplete"), "id")
+        history.select("id", "owner", "lab_id", "submitted_at", "input_digest", definition.alias("lab_definition_digest")).join(digests.select(F.col("submission_id").alias("id"), F.col("digest").alias("delta_digest"), "incomplete"), "id")
         .join(shingles.withColumnRenamed("submission_id", "id"), "id", "left").join(changed.withColumnRenamed("submission_id", "id"), "id", "left")
         .withColumn("shingles", F.coalesce("shingles", F.array().cast("array<string>"))).withColumn("changed_files", F.coalesce("changed_files", F.lit(False)))
     )
     entities = staged(entities, "audit-entities")
-    candidates = staged(similarity.detect(entities, s.threshold, request.mode), "audit-candidates")
+    candidates = staged(similarity.detect(entities, s.threshold, request.mode, s.permutations, s.band_size), "audit-candidates")
     single = best if request.limit is None else selection.snapshot(best, request.limit)
-    tasks = single.select(F.lit("compliance").alias("kind"), "lab_id", F.col("id").alias("first_id"), F.lit(None).cast("string").alias("second_id"), F.lit(None).cast("string").alias("relationship")).unionByName(
-        candidates.select(F.lit("plagiarism").alias("kind"), "lab_id", "first_id", "second_id", verdicts.relationship(F.col("signal"), F.col("jaccard")).alias("relationship"))
+    tasks = single.select(F.lit("compliance").alias("kind"), "lab_id", F.col("id").alias("first_id"), F.lit(None).cast("string").alias("second_id"), F.lit(None).cast("string").alias("signal"), F.lit(None).cast("double").alias("jaccard"), F.lit(None).cast("string").alias("relationship")).unionByName(
+        candidates.select(F.lit("plagiarism").alias("kind"), "lab_id", "first_id", "second_id", "signal", "jaccard", verdicts.relationship(F.col("signal"), F.col("jaccard")).alias("relationship"))
     )
-    tasks = tasks.withColumn("task_key", F.sha2(F.concat_ws("\0", "kind", "lab_id", "first_id", F.coalesce("second_id", F.lit(""))), 256)).withColumn("review_key", F.col("task_key"))
+    tasks = tasks.withColumn("task_key", F.sha2(F.concat_ws("\0", "kind", "lab_id", "first_id", F.coalesce("second_id", F.lit(""))), 256))
+    tasks = with_identity(tasks, entities, basis_of(baseline, documents), request)
     stored = [reports.with_ledger(tasks.filter(F.col("kind") == k), ledger, k) for k in ("compliance", "plagiarism")]
-    known = stored[0].unionByName(stored[1])
-    known = staged(known, "audit-tasks")
+    known = staged(reports.in_order(stored[0].unionByName(stored[1])), "audit-tasks")
     fresh = reviewer(known.filter(~F.col("cache_hit")))
-    results = known.join(fresh, "task_key", "left").select("task_key", "kind", "lab_id", "first_id", "second_id", "relationship", "cache_hit", F.coalesce("stored_decision", "decision").alias("decision"), F.coalesce("stored_confidence", "confidence").alias("confidence"), "error")
-    return Result(history, best, found, entities, candidates, similarity.exclusions(entities), tasks, results, reports.run_summary(results))
+    results = known.join(fresh, "task_key", "left").select("task_key", "review_key", "identity", "kind", "lab_id", "first_id", "second_id", "relationship", "cache_hit", F.coalesce("stored_decision", "decision").alias("decision"), F.coalesce("stored_confidence", "confidence").alias("confidence"), "error")
+    return Result(history, best, found, entities, similarity.in_order(candidates), similarity.exclusions(entities), tasks, results, reports.run_summary(results))

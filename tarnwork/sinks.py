@@ -68,9 +68,31 @@ def write_summary(summary: DataFrame, folder: str) -> str:
     return where
 
 
-def index_reports(reports: DataFrame, folder: str, by: str) -> None:
-    """Derived reports in one folder an owner or lab, for readers that want only those."""
-    reports.write.mode("overwrite").partitionBy(by).parquet(folder)
+def owner_index(reports: DataFrame, path: str) -> DataFrame:
+    """One derived row an owner: what is known of each submission, last first. Written anew from the reports."""
+    row = F.struct("completed_at", "submission_id", "lab_id", "decision", "review_key")
+    some = reports.groupBy("owner").agg(F.count("*").alias("reports"), F.count_if(F.col("decision") == "violation").alias("violations"), F.sort_array(F.collect_list(row), asc=False).alias("reviews"))
+    some.write.mode("overwrite").parquet(path)
+    return reports.sparkSession.read.parquet(path)
+
+
+def pair_index(reports: DataFrame, path: str) -> DataFrame:
+    """A folder a lab with its pairs, each under the smaller id first. Written anew from the reports."""
+    low, high = F.least("first_id", "second_id"), F.greatest("first_id", "second_id")
+    some = reports.select("lab_id", low.alias("low_id"), high.alias("high_id"), "decision", "relationship", "jaccard", "review_key", "completed_at")
+    some.repartition("lab_id").sortWithinPartitions("lab_id", "low_id", "high_id").write.mode("overwrite").partitionBy("lab_id").parquet(path)
+    return reports.sparkSession.read.parquet(path)
+
+
+def materialise(declared: DataFrame, files: DataFrame, path: str, *key: str) -> DataFrame:
+    """Write the files (key, content) of a workspace, all or none: each must have its declared size and digest."""
+    from .operators import bundles
+
+    found = files.withColumn("size", F.octet_length("content").cast("long")).withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256))
+    if bad := bundles.verify_copy(declared, found, *key).take(1):
+        raise Conflict(f"{'/'.join(str(bad[0][k]) for k in key)} is not the file declared")
+    found.join(declared.select(*key), list(key), "left_semi").write.mode("overwrite").parquet(path)
+    return files.sparkSession.read.parquet(path)
 
 
 def append_events(events: DataFrame, path: str, states: tuple[str, ...]) -> None:
@@ -85,8 +107,3 @@ def append_events(events: DataFrame, path: str, states: tuple[str, ...]) -> None
         have = spark.read.parquet(path).groupBy("run_id").agg(F.max("sequence").alias("_m"))
         fresh = fresh.join(have, "run_id", "left").withColumn("sequence", F.col("sequence") + F.coalesce("_m", F.lit(0))).drop("_m")
     fresh.write.mode("append").parquet(path)
-
-
-def as_json(rows: DataFrame, name: str = "body") -> DataFrame:
-    """Each row as a JSON text."""
-    return rows.select(F.to_json(F.struct(*rows.columns)).alias(name))

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from ..functions import text as T
 from ..operators import bundles
 
-MAX_REPORT, MAX_OBJECT = 2 << 20, 1 << 20
+MAX_REPORT = 2 << 20
 
 
 def replaced_utf8(column):
@@ -51,14 +51,21 @@ def reports(spark: SparkSession, pattern: str, schema: StructType | str, most: i
 
 
 def ready_runs(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
-    """metadata.json of the run folders that have a _READY mark. Spark's readers hide such names, so folders are listed."""
-    jvm = spark._jvm
-    mark = jvm.org.apache.hadoop.fs.Path(f"{root}/*/_READY")
-    found = mark.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(mark) or []
-    paths = [f"{f.getPath().getParent().toString()}/metadata.json" for f in found]
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", "true").json(paths)
+    """metadata.json of the run folders that have a _READY mark, which Spark's readers hide; executors look for it."""
+    import pyarrow.fs as pafs
+
+    rows = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.json").json(root)
+    rows = rows.select("*", T.parent(F.col("_metadata.file_path")).alias("_folder"))
+
+    @F.pandas_udf("boolean")
+    def ready(folders: pd.Series) -> pd.Series:
+        def one(folder: str) -> bool:
+            files, path = pafs.FileSystem.from_uri(folder)
+            return files.get_file_info(f"{path}/_READY").type == pafs.FileType.File
+
+        return folders.map(one)
+
+    return rows.filter(ready("_folder")).drop("_folder")
 
 
 def signed_payloads(envelopes: DataFrame, verify=None) -> DataFrame:
@@ -83,11 +90,6 @@ def closed(text, schema: str, keys: list[str]):
     return F.when(F.size(F.array_except(have, F.array(*map(F.lit, keys)))) + F.size(F.array_except(F.array(*map(F.lit, keys)), have)) == 0, F.from_json(text, schema))
 
 
-def within_window(issued, expires, now, minutes: int = 15):
-    """Issued before it expires, for at most so long, and valid now."""
-    return (issued < expires) & (expires - issued <= F.expr(f"interval {minutes} minutes")) & (issued <= now) & (now < expires)
-
-
 def tree_digest(files: DataFrame, *key: str) -> DataFrame:
     """SHA-256 over path, NUL and content digest of each file, in the order of paths."""
 

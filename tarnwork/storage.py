@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -9,10 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder set here where that is unset (single machine, tests)."""
+    """spark.checkpoint.dir. Where that is unset, a folder of this machine if it runs all of Spark; on a cluster an error."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not given:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tarnwork-"))
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tarnwork-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(f"file://{folder}")
         given = spark.sparkContext.getCheckpointDir()
     return given.rstrip("/")
 

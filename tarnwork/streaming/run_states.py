@@ -4,31 +4,22 @@ from __future__ import annotations
 
 from zlib import crc32
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import runs
 from ..storage import shared_dir
 
-OUT = "run_id string, state string, updated_at timestamp, sequence bigint, attempts bigint"
-STATE = "state string, updated_at timestamp, sequence bigint, attempts bigint"
-
-
-def _fold(key, batches, held: GroupState):
-    state, at, last, attempts = held.get if held.exists else (None, None, -1, 0)
-    for pdf in batches:
-        attempts += int((pdf["state"] == "preparing").sum())
-        top = pdf.loc[pdf["sequence"].idxmax()]
-        if top["sequence"] > last:
-            state, at, last = top["state"], top["updated_at"], int(top["sequence"])
-    held.update((state, at, last, attempts))
-    yield pd.DataFrame({"run_id": [key[0]], "state": [state], "updated_at": [at], "sequence": [last], "attempts": [attempts]})
+#: Requests held at most, and files that a batch takes in at most.
+QUEUE, FILES = 1000, 16
 
 
 def run_states(events: DataFrame) -> DataFrame:
-    """Stream of (run_id, state, updated_at, sequence) to a row for each run that changed in a batch."""
-    return events.groupBy("run_id").applyInPandasWithState(_fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """Stream of events (run_id, state, updated_at, error_code, sequence) to a row for each run that changed in a batch.
+
+    One built-in aggregation, combined before its shuffle and kept in the state store: the same expression as in batch.
+    """
+    return runs.current(events)
 
 
 def created_once(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -50,5 +41,15 @@ def to_table(stream: DataFrame, path: str, label: str = "stream"):
 def settled(spark, path: str) -> DataFrame:
     """The last row of each run in the tables that to_table wrote."""
     every = spark.read.parquet(f"{path}/batch=*")
-    row = F.max_by(F.struct("state", "updated_at", "sequence", "attempts"), F.struct("sequence", "attempts"))
+    row = F.max_by(F.struct("state", "updated_at", "error_code", "sequence", "attempts"), F.struct("sequence", "attempts"))
     return every.groupBy("run_id").agg(row.alias("_r")).select("run_id", "_r.*")
+
+
+def reconciled(spark, path: str, requeue, batch: int, every: str = "5 minutes", manual: bool = True):
+    """Start a clock that, at each tick, hands the due failed runs (a DataFrame) to requeue: the batch's size at most."""
+
+    def tick(_: DataFrame, number: int) -> None:
+        requeue(runs.reconcile(settled(spark, path).withColumn("source", F.lit("manual" if manual else "nightly")), batch, manual))
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", "1").load()
+    return clock.writeStream.trigger(processingTime=every).foreachBatch(tick).start()

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions import hashing
 from tarnwork.functions import text as T
-from tarnwork.operators import bundles, delta, selection, similarity
+from tarnwork.operators import bundles, delta, identity, selection, similarity
 from tarnwork.plans import audit
 from tarnwork.sources import catalogue as source
+from tarnwork.sources import settings
 
 AT = dt.datetime(2024, 1, 1)
 
@@ -67,7 +68,7 @@ def test_threshold_is_inclusive_and_pairs_are_all_found(spark):
             if a[1] != b[1] and len(x & y) / len(x | y) >= 0.7:
                 want.add((a[0], b[0]))
     assert {(r["first_id"], r["second_id"]) for r in similarity.exhaustive_pairs(e).collect()} == want and want
-    sets = spark.createDataFrame([("l", "x", list("abcdefg")), ("l", "y", list("abcdefghij"))], "lab_id string, set_id string, shingles array<string>")
+    sets = spark.createDataFrame([("l", "x", 7, list(range(7))), ("l", "y", 10, list(range(10)))], "lab_id string, set_id string, n int, hashes array<bigint>")
     assert [r["jaccard"] for r in similarity.similar_sets(sets, 0.7).collect()] == [0.7]
 
 
@@ -165,9 +166,16 @@ def test_whole_audit(spark):
     assert sorted((r["first_id"], r["second_id"], r["signal"]) for r in out.candidates.collect()) == [("a", "b", "exact_submission"), ("a", "c", "minhash"), ("b", "c", "minhash")]
     s = out.summary.first()
     assert (s["tasks"], s["cache_hits"], s["completed"], s["failed"]) == (7, 0, 6, 1)
-    stored = out.results.filter("error is null").select(F.col("task_key").alias("review_key"), "decision", "confidence")
-    again = audit.run(audit.Request("2024-06-01"), df, files, base, stored, answer).summary.first()
-    assert (again["cache_hits"], again["failed"]) == (6, 1)
+    stored = out.results.filter("error is null").select("review_key", "identity", "decision", "confidence")
+    hits = lambda request, base=base, stored=stored: audit.run(request, df, files, base, stored, answer).summary.first()["cache_hits"]
+    assert hits(audit.Request("2024-06-01")) == 6
+    # A verdict is found again only under the same versions, model, parameters and baseline.
+    for versions in (identity.Versions(rules="2"), identity.Versions(model="other"), identity.Versions(model_parameters=(("temperature", 1),))):
+        assert hits(audit.Request("2024-06-01", versions=versions)) == 0
+    assert hits(audit.Request("2024-06-01", settings=settings.Settings(permutations=32))) == 3  # pairs rest on it, single ones don't
+    assert hits(audit.Request("2024-06-01"), base.withColumn("revision", F.lit("r2"))) == 0
+    with pytest.raises(Exception, match="does not have the identity"):
+        hits(audit.Request("2024-06-01"), stored=stored.withColumn("identity", F.lit("{}")))
     assert audit.run(audit.Request("2024-06-01", limit=1), df, files, base, ledger, answer).tasks.filter("kind = 'compliance'").count() == 1
     _, _, tasks = audit.plan(audit.Request("2024-06-01", limit=1), df)
     assert sorted(r["kind"] for r in tasks.collect()) == ["compliance", "exact_duplicate"]
