@@ -7,8 +7,8 @@ them against plain Python.
 from __future__ import annotations
 
 from .licenses import BASE, TEMPLATES
-
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from .licenses import LOWER as _LOWER
+from .licenses import UPPER as _UPPER
 
 
 def _licenses(k: int = 3, slack: int = 3, cover: float = 0.8) -> str:
@@ -19,18 +19,28 @@ def _licenses(k: int = 3, slack: int = 3, cover: float = 0.8) -> str:
     base = " UNION ALL ".join(
         f"SELECT doc_id, '{label}' label, i FROM (SELECT doc_id, w, unnest(range(0, len(w)-{len(p.split()) - 1})) i FROM d) WHERE " + " AND ".join(f"w[i+{j + 1}]='{x}'" for j, x in enumerate(p.split())) for p, label in BASE.items()
     )
+    wide = range(2 * slack + 1)
+    bits = ", ".join(f"max((x.dg-c.dg={o - slack})::INT) b{o}" for o in wide)
+    zeros, steps = ", ".join(f"0 AS a{o}" for o in wide), []
+    for o in wide:
+        ways = [f"a{o}+coalesce(b{o}, 0)", *([f"a{o + 1}"] if o + 1 in wide else []), *steps[-1:]]
+        steps.append(f"greatest({', '.join(ways)})")
+    step = ", ".join(steps)
     return f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM documents),
 tpl(gram, t, label, t_len, tp) AS (VALUES {", ".join(rows)}),
 b AS ({base}),
 bs AS (SELECT doc_id, count(*) n_base, min(i) first_word, max(i) last_word, string_agg(DISTINCT label, ',' ORDER BY label) base_labels FROM b GROUP BY 1),
 g AS (SELECT doc_id, i, w[i+1]||' '||w[i+2]||' '||w[i+3] gram FROM (SELECT doc_id, w, unnest(range(0, len(w)-2)) i FROM d)),
-h AS (SELECT doc_id, t, label, t_len, i, tp, i-tp dg FROM g JOIN tpl USING (gram)),
-dd AS (SELECT *, sum(CASE WHEN dg-pv>{slack} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, t ORDER BY dg) gr FROM (SELECT *, lag(dg) OVER (PARTITION BY doc_id, t ORDER BY dg) pv FROM (SELECT DISTINCT doc_id, t, dg FROM h))),
-x AS (SELECT h.*, dd.gr FROM h JOIN dd USING (doc_id, t, dg)),
-al AS (SELECT doc_id, t, gr, any_value(label) label, any_value(t_len) t_len, min(i) a, max(i)+{k} z FROM x GROUP BY 1, 2, 3),
-cv AS (SELECT doc_id, t, gr, count(DISTINCT tp+o) c FROM x, range(0, {k}) r(o) GROUP BY 1, 2, 3),
-ok AS (SELECT doc_id, label, c/t_len::DOUBLE s FROM al JOIN cv USING (doc_id, t, gr) WHERE c/t_len::DOUBLE>={cover} AND z-a<=t_len+{2 * slack}),
+-- x: the template's words that stand in common grams, by diagonal. c: alignments with enough of them within the slack.
+x AS (SELECT DISTINCT doc_id, t, label, t_len, i-tp dg, tp+o j FROM g JOIN tpl USING (gram), range(0, {k}) r(o)),
+dd AS (SELECT DISTINCT doc_id, t, label, t_len, dg FROM x),
+c AS (SELECT dd.* FROM dd JOIN x ON x.doc_id=dd.doc_id AND x.t=dd.t AND abs(x.dg-dd.dg)<={slack} GROUP BY ALL HAVING count(DISTINCT x.j)>={cover}*dd.t_len),
+bits AS (SELECT c.doc_id, c.t, c.dg, x.j, {bits} FROM c JOIN x ON x.doc_id=c.doc_id AND x.t=c.t AND abs(x.dg-c.dg)<={slack} GROUP BY 1, 2, 3, 4),
+-- r: word by word of the template, the longest common run in order up to each offset from the diagonal.
+r AS (SELECT doc_id, t, dg, label, t_len, 0 AS j, {zeros} FROM c
+  UNION ALL SELECT r.doc_id, r.t, r.dg, r.label, r.t_len, r.j+1, {step} FROM r LEFT JOIN bits q ON q.doc_id=r.doc_id AND q.t=r.t AND q.dg=r.dg AND q.j=r.j WHERE r.j<r.t_len),
+ok AS (SELECT doc_id, label, a{2 * slack}/t_len::DOUBLE s FROM r WHERE j=t_len AND a{2 * slack}/t_len::DOUBLE>={cover}),
 lb AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) labels FROM (SELECT doc_id, label FROM ok UNION ALL SELECT doc_id, label FROM b) GROUP BY 1),
 sc AS (SELECT doc_id, max(s) s FROM ok GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(n_base, 0)::BIGINT n_base, first_word, last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels,
