@@ -1,16 +1,23 @@
 """Shards of near-equal bytes by sampled splitters, in DataFrame functions only.
 
-Rows are ordered by the hash of their text, then of their id, so that equal texts stand together. Splitters are
-quantiles of a bounded sample drawn with chances in proportion to size; ranges between them that turn out overfull are
-subdivided. Exact sizes of the ranges (a bounded number) then place every row at its offset in the whole order, and
-shards are cut from that order by bytes: two shards differ by less than the rows at their edges.
+Rows are ranged by the hash of their text, so that equal texts stand together. Splitters are quantiles of a bounded
+sample drawn with chances in proportion to size, ``PER_SHARD`` ranges a shard. Ranges that turn out overfull are subdivided: a
+text that alone outweighs a range becomes a range of its own. Shards are whole ranges, cut from their order at the
+splitters nearest to equal bytes, after the heavy texts are dealt to the lightest shards; so equal texts share a shard.
+Only a text with more bytes than a shard is dealt on: its copies go to as few shards as equal bytes allow, by rank.
 
-Rows: a null text has no bytes; every row has one byte more than its text. Repeated rows are placed each. A text with
-more rows than a shard holds goes on in the next. An empty table gives an empty result.
+What the driver holds is bounded by the number of shards: splitters, ranges and heavy texts. Rows are numbered in parts
+of a range, as many as it takes to keep a part small, whose sizes stay in a table.
+
+Rows: a null text has no bytes; every row has one byte more than its text. Repeated rows, and rows without an id, are
+placed each. Ties in hash order go by id, then by place in the input; a very long text is one row like any other. Other
+columns are not looked at, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,18 +25,17 @@ from pyspark.sql.window import Window
 from .shared import staged
 
 SHARDS = 16
-#: Ranges at most (two levels of 64), rows to a range, and sampled rows to a range.
-RANGES, RANGE_ROWS, SAMPLES = 4096, 20_000, 16
+#: Ranges to a shard, sampled rows to a range, and rows that are numbered together, about.
+PER_SHARD, SAMPLES, PART_ROWS = 64, 32, 20_000
 
 
-def _below(splitters):
-    """Number of (k1, k2) splitters at or below a row's key; two levels, so 2 * sqrt(n) comparisons."""
+def _below(splitters: list[int]):
+    """Number of splitters at or below a row's key; two levels, so 2 * sqrt(n) comparisons."""
 
     def count(some):
         if not some:
             return F.lit(0)
-        array = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in some))
-        return F.size(F.filter(array, lambda s: (s["a"] < F.col("k1")) | ((s["a"] == F.col("k1")) & (s["b"] <= F.col("k2")))))
+        return F.size(F.filter(F.array(*map(F.lit, some)), lambda s: s <= F.col("k1")))
 
     step = max(1, round(len(splitters) ** 0.5))
     coarse = splitters[step - 1 :: step]
@@ -40,50 +46,95 @@ def _below(splitters):
     return count(coarse), out
 
 
+def quantiles(drawn: list[tuple[int, float]], ranges: int) -> list[int]:
+    """Different keys at the ranges' edges, from (key, weight) of a sample."""
+    weight, seen, marks = sum(w for _, w in drawn), 0.0, []
+    for key, w in sorted(drawn):
+        seen += w
+        if len(marks) < ranges - 1 and seen * ranges >= (len(marks) + 1) * weight:
+            marks += [key] * min(ranges - 1 - len(marks), int(seen * ranges / weight) - len(marks))
+    return sorted(set(marks))
+
+
+def deal(units: list[tuple[tuple, int, int]], heavy: set, shards: int) -> dict[tuple, list[int]]:
+    """Shards of each unit (key, rows, bytes): several, by rank, only for a heavy text that outweighs a shard.
+
+    Heavy units go first, by weight, each to the shards that are lightest then; all others, in order, fill the shards up
+    to a common level, each cut at the edge nearest to it.
+    """
+    total = sum(b for *_, b in units)
+    load, out = [0.0] * shards, {}
+    for key, n, size in sorted((u for u in units if u[0] in heavy), key=lambda u: (-u[2], u[0])):
+        parts = min(n, shards, -(-size * shards // total))
+        chosen = sorted(sorted(range(shards), key=lambda s: (load[s], s))[:parts])
+        for s in chosen:
+            load[s] += size / parts
+        out[key] = chosen
+    rest = sum(u[2] for u in units if u[0] not in heavy)
+    # The level at which what the shards still take is the rest.
+    level, order = 0.0, sorted(load)
+    for i in range(1, shards + 1):
+        level = (rest + sum(order[:i])) / i
+        if i == shards or level <= order[i]:
+            break
+    edges, upto = [], 0.0
+    for x in load:
+        upto += max(0.0, level - x)
+        edges.append(upto)
+    at = 0
+    for key, _, size in sorted(u for u in units if u[0] not in heavy):
+        out[key] = [min(shards - 1, bisect.bisect_right(edges, at + size / 2))]
+        at += size
+    return out
+
+
+def splitters(rows: DataFrame, total: int, ranges: int) -> list[int]:
+    """Edges of the ranges, from a sample of about SAMPLES rows to a range. A row's chance is its share of all bytes times
+    the sample's size; one that is due more than one sample counts that often."""
+    due = F.col("size") * F.lit(ranges * SAMPLES / max(1, total))
+    luck = F.pmod(F.xxhash64("k1", "k2", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = rows.filter(luck < due).select("k1", F.greatest(due, F.lit(1.0)).alias("w")).collect()
+    return quantiles([(r["k1"], r["w"]) for r in drawn], ranges)
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot."""
-    text = F.coalesce("text", F.lit(""))
+    spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
     rows = docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k1"), F.xxhash64("doc_id").alias("k2")
-    )
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k1"), F.xxhash64("doc_id").alias("k2"),
+        F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("u"),  # a table from here on, so it stays as it is
+    )
     rows = staged(rows, "shard-keys")
     n, total = rows.agg(F.count("*"), F.sum("size")).first()
-    total = total or 0
-    ranges = min(RANGES, max(16 * shards, -(-n // RANGE_ROWS))) if n else 1
-    # A row's chance is size * samples / total; one that is due more than one sample counts that often.
-    due = F.col("size") * F.lit(ranges * SAMPLES / max(1, total))
-    luck = F.pmod(F.xxhash64("k1", "k2", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.filter(luck < due).select("k1", "k2", F.greatest(due, F.lit(1.0)).alias("w")).collect()
-    drawn.sort(key=lambda r: (r["k1"], r["k2"]))
-    weight, marks = sum(r["w"] for r in drawn), []
-    seen = 0.0
-    for r in drawn:
-        seen += r["w"]
-        if seen * ranges >= (len(marks) + 1) * weight and len(marks) < ranges - 1:
-            marks += [(r["k1"], r["k2"])] * min(ranges - 1 - len(marks), int(seen * ranges / weight) - len(marks))
-    marks = sorted(set(marks))
-    coarse, fine = _below(marks)
+    ranges = PER_SHARD * shards
+    coarse, fine = _below(splitters(rows, total, ranges) if n else [])
     placed = rows.withColumn("_c", coarse).withColumn("_range", fine).drop("_c")
-    full = {r["_range"]: r["bytes"] for r in placed.groupBy("_range").agg(F.sum("size").alias("bytes")).collect()}
-    most = 2 * max(1, total // ranges)
-    parts = {k: -(-v // most) for k, v in full.items() if v > most}  # overfull
-    sub = F.lit(0)
-    if parts:
-        by = F.create_map(*(F.lit(x) for kv in parts.items() for x in kv))
-        sub = F.pmod(F.shiftright(F.xxhash64("k2", "doc_id"), 8), F.coalesce(by[F.col("_range")], F.lit(1)).cast("long")).cast("int")
-    placed = placed.withColumn("_sub", sub)
-    stats = sorted((r["_range"], r["_sub"], r["n"], r["bytes"]) for r in placed.groupBy("_range", "_sub").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect())
-    before, n_at, bytes_at = [], 0, 0
-    for r, s, rows_in, bytes_in in stats:
-        before.append((r, s, n_at, bytes_at))
-        n_at, bytes_at = n_at + rows_in, bytes_at + bytes_in
-    offsets = docs.sparkSession.createDataFrame(before, "_range int, _sub int, _n long, _bytes long")
-    w = Window.partitionBy("_range", "_sub").orderBy("k1", "k2", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
-    keys = ["_range", "_sub"]
-    order = placed.withColumn("_i", F.count("*").over(w)).withColumn("_upto", F.sum("size").over(w)).join(F.broadcast(offsets), keys)
-    middle = F.col("_bytes") + F.col("_upto") - F.expr("size div 2") - 1
-    # (shard of the row whose middle byte it is): floor(middle * shards / total) without overflow of a long
-    shard_of = F.least(F.lit(shards - 1), F.floor(middle.cast("decimal(38,0)") * shards / F.lit(max(1, total)).cast("decimal(38,0)"))).cast("int")
-    order = staged(order.select("doc_id", "size", "text_crc32", shard_of.alias("shard"), (F.col("_n") + F.col("_i") - 1).alias("_at")), "shard-order")
-    first = order.groupBy("shard").agg(F.min("_at").alias("_first"))  # as many rows as shards
-    return order.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("_at") - F.col("_first")).alias("slot"))
+    # Overfull ranges are looked at text by text; at most as many texts as ranges outweigh a range.
+    most = (total or 0) / ranges
+    full = [r["_range"] for r in placed.groupBy("_range").agg(F.sum("size").alias("b")).collect() if r["b"] > most]
+    texts = placed.filter(F.col("_range").isin(full)).groupBy("_range", "k1", "size", "text_crc32").agg(F.sum("size").alias("b")).filter(F.col("b") > most).select("_range", "k1", "size", "text_crc32").collect()
+    texts.sort(key=tuple)
+    names = [(r["k1"], r["size"], r["text_crc32"], i + 1) for i, r in enumerate(texts)]
+    heavy = spark.createDataFrame(names, "k1 long, size long, text_crc32 long, _heavy int")
+    placed = placed.join(F.broadcast(heavy), ["k1", "size", "text_crc32"], "left").withColumn("_heavy", F.coalesce("_heavy", F.lit(0)))
+    key = ["_range", "_heavy"]
+    sizes = placed.groupBy(*key).agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()
+    units = [((r["_range"], r["_heavy"]), r["n"], r["b"]) for r in sizes]
+    where = deal(units, {u[0] for u in units if u[0][1]}, shards)
+    info, begin = [], [0] * shards
+    for (r, h), count, _ in sorted(units):
+        to = where[r, h]
+        edges = [i * count // len(to) for i in range(len(to) + 1)]
+        info.append((r, h, -(-count // PART_ROWS), to, edges, [begin[s] for s in to]))
+        for s, a, b in zip(to, edges, edges[1:]):
+            begin[s] += b - a
+    facts = spark.createDataFrame(info, "_range int, _heavy int, _parts long, _to array<int>, _edges array<long>, _begin array<long>")
+    # Of a range's rows, equal texts stay in one part, but for a heavy one's.
+    part = F.pmod(F.when(F.col("_heavy") > 0, F.col("u")).otherwise(F.xxhash64("k1", F.lit(7))), F.col("_parts"))
+    dealt = placed.join(F.broadcast(facts), key).withColumn("_part", part)  # as many rows as ranges and heavy texts
+    counts = dealt.groupBy(*key, "_part").agg(F.count("*").alias("_n"))
+    counts = counts.select(*key, "_part", (F.sum("_n").over(Window.partitionBy(*key).orderBy("_part")) - F.col("_n")).alias("_before"))
+    along = Window.partitionBy(*key, "_part").orderBy("k1", "k2", "doc_id", "size", "text_crc32", "u")
+    ranked = dealt.withColumn("_i", F.row_number().over(along)).join(counts, [*key, "_part"]).withColumn("_rank", F.col("_before") + F.col("_i") - 1)
+    nth = F.size(F.filter("_edges", lambda e: e <= F.col("_rank"))) - 1
+    return ranked.withColumn("_nth", nth).select("doc_id", "size", "text_crc32", F.get("_to", "_nth").alias("shard"), (F.col("_rank") - F.get("_edges", "_nth") + F.get("_begin", "_nth")).alias("slot"))

@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter
 
+import xxhash
+
 LICENSE_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -79,3 +81,14 @@ def jaccard(rows):
                 ra, rb = root(a), root(b)
                 up[max(ra, rb)] = min(ra, rb)
     return sorted((d, len(sets[d]), root(d)) for d in ids)
+
+
+def spark_hash(*values, seed=42):
+    """xxhash64 of Spark, signed: of texts, of longs, and of (value, width) for numbers of other widths; null changes nothing."""
+    h = seed
+    for v in values:
+        if v is None:
+            continue
+        raw = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, seed=h % (1 << 64))
+    return h - (1 << 64) if h >= 1 << 63 else h

@@ -1,27 +1,97 @@
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+
+import pytest
 
 from tarnwork.llm import sharding
 
+from .brute import spark_hash
+
+
+def fact(d, t):
+    return d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())
+
+
+def plain(rows, shards=16):
+    """Shard of each text (several for one that outweighs a shard): hashes, sample, ranges and dealing in plain Python."""
+    total, ranges = sum(fact(*r)[1] for r in rows), sharding.PER_SHARD * shards
+    keys = {t: spark_hash(t or "") for _, t in rows}
+    drawn = []
+    for d, t in rows:
+        due = fact(d, t)[1] * (ranges * sharding.SAMPLES / total)
+        if spark_hash(keys[t], spark_hash(d), (11, 4)) % (1 << 30) / float(1 << 30) < due:
+            drawn.append((keys[t], max(due, 1.0)))
+    marks = sharding.quantiles(drawn, ranges)
+    held = defaultdict(Counter)
+    for d, t in rows:
+        held[sum(m <= keys[t] for m in marks)][t] += fact(d, t)[1]
+    heavy, light = {}, {}
+    for r, texts in held.items():
+        for t, b in texts.items():
+            if sum(texts.values()) > total / ranges and b > total / ranges:
+                heavy[r, (keys[t], fact(0, t)[1], fact(0, t)[2])] = (t, b)
+            else:
+                light.setdefault(r, []).append((t, b))
+    load, out = [0.0] * shards, {}
+    n = Counter(t for _, t in rows)
+    order = {k: i for i, k in enumerate(sorted(heavy))}
+    for k, (t, b) in sorted(heavy.items(), key=lambda x: (-x[1][1], x[0][0], order[x[0]])):
+        parts = min(n[t], shards, -(-b * shards // total))
+        chosen = sorted(range(shards), key=lambda s: (load[s], s))[:parts]
+        out[t] = set(chosen)
+        for s in chosen:
+            load[s] += b / parts
+    rest = sum(b for texts in light.values() for _, b in texts)
+    low, high = 0.0, float(2 * total)
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(max(0, level - x) for x in load) < rest else (low, level)
+    at = 0
+    for r in sorted(light):
+        size = sum(b for _, b in light[r])
+        upto, s = 0.0, -1
+        while s < shards - 1 and upto <= at + size / 2:
+            s += 1
+            upto += max(0.0, high - load[s])
+        for t, _ in light[r]:
+            out[t] = {s}
+        at += size
+    return out
 
-def test_shards(spark):
+
+def cases():
     rng = random.Random(1)
-    rows = [(i, "hot" * 40 if i % 3 == 0 else "x" * rng.randint(0, 400), 1) for i in range(600)] + [(None, None, 1), (5, "same", 1), (5, "same", 1)]
-    got = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string, shard int")).collect()
-    assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in got) == sorted((d or -1, len(t or "") + 1, zlib.crc32((t or "").encode())) for d, t, _ in rows)
-    total = Counter()
+    word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    hot = [(i, "hot" * 40 if i % 3 == 0 else word(rng.randint(0, 400))) for i in range(600)] + [(None, None), (None, ""), (5, "same"), (5, "same")]
+    groups = [(i, f"group {i % 37} " * 20 if i % 2 else word(60)) for i in range(3000)]
+    long = [(i, word(20)) for i in range(400)] + [(1000, "long text " * 200_000)]
+    equal = [(7, "the same row")] * 500 + [(None, "no id")] * 300
+    return {"hot": hot, "groups": groups, "long": long, "equal": equal, "ties": [(i, "x") for i in range(64)]}
+
+
+@pytest.mark.parametrize("name", list(cases()))
+def test_shards(spark, name):
+    rows = cases()[name]
+    df = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id bigint, text string, shard int, k1 string")
+    got = sharding.shard(df).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=key) == sorted((fact(*r) for r in rows), key=key)
+    total, slots, at = Counter(), defaultdict(list), defaultdict(set)
     for r in got:
         total[r["shard"]] += r["size"]
-    assert set(total) == set(range(16)) and max(total.values()) - min(total.values()) <= 2 * 401
-    for s in range(16):
-        n = sorted(r["slot"] for r in got if r["shard"] == s)
-        assert n == list(range(len(n)))
-    at = {}
-    for r in got:
-        if r["text_crc32"] != zlib.crc32(b"hot" * 40):
-            at.setdefault((r["text_crc32"]), set()).add(r["shard"])
-    assert sum(len(x) > 1 for x in at.values()) <= 15
+        slots[r["shard"]].append(r["slot"])
+        at[r["size"], r["text_crc32"]].add(r["shard"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    mean = sum(total.values()) / 16
+    group = Counter()
+    for d, t in rows:
+        group[fact(d, t)[1:]] += fact(d, t)[1]
+    assert all(len(s) == 1 for g, s in at.items() if group[g] <= mean), "a text that fits a shard was split"
+    if name != "long":
+        assert max(total[s] for s in range(16)) - min(total[s] for s in range(16)) <= 2 * 401 + mean / 8
+    want = {fact(0, t)[1:]: s for t, s in plain(rows).items()}
+    assert dict(at) == want
 
 
 def test_one_row_and_none(spark):
