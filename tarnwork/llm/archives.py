@@ -9,7 +9,8 @@ Payloads that come again are revisits: the smallest id of a payload's pages is i
 
 Rows: null HTML is an empty payload, and equal empty payloads revisit too. Rows with the smallest id of their payload
 are all responses. A null id is larger than any other; such a row refers to the response, and is one itself where all
-ids of its payload are null. An empty table gives no archives and no rows. Other columns are not looked at.
+ids of its payload are null. Repeated rows are records each. A very long payload is one record, fetched alone. An empty
+table gives no archives and no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, staged
+from .shared import adopt, shared_dir, staged
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of records in one ZIP, about; bytes fetched at once, at most (or one record).
@@ -238,22 +239,27 @@ def read(written: DataFrame, folder: str, with_payload: bool = True) -> DataFram
                             held, size = [], 0
                     yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in held], kinds[t]) for n, t in names], [n for n, _ in names])
 
-    return written.repartition(max(1, min(written.count(), 1 << 14)), "path").mapInArrow(run, RECORD)
+    return written.repartition(max(1, written.count()), "path").mapInArrow(run, RECORD)
 
 
 def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html, refers_to: what each page revisits, if its payload has at least so many bytes."""
+    """page_id, url, html, refers_to: what each page revisits, if its payload has at least so many bytes.
+
+    Digests that come again, and what refers to them, are tables of narrow rows: either join then has an exchange of its
+    own on both sides, of which Spark splits a digest's that very many pages have. Texts move once, by page and digest.
+    """
     sha = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     keys = pages.filter(F.coalesce(F.octet_length("html"), F.lit(0)) >= least).select("page_id", sha.alias("_sha"))
     first = keys.groupBy("_sha").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1 and _first is not null").drop("_n")
-    # Narrow rows meet on the digest; texts move once, by their page.
+    first = staged(first, "archive-digests")
     again = keys.join(first, "_sha").filter(F.col("page_id").isNull() | (F.col("page_id") > F.col("_first"))).select(F.col("page_id").alias("_page"), "_sha", "_first").distinct()
+    again = staged(again, "archive-revisits")
     mine = pages.select("page_id", "url", "html", sha.alias("_mine"))
     return mine.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_mine") == F.col("_sha")), "left").select("page_id", "url", "html", F.col("_first").alias("refers_to"))
 
 
 def archive_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/wacz-{uuid.uuid4().hex}"
+    return adopt(f"{shared_dir(spark)}/wacz-{uuid.uuid4().hex}", spark)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:

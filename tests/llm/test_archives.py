@@ -50,3 +50,11 @@ def test_round_trip(spark):
     back = archives.read(archives.write(archives.with_revisits(df), folder, archive_bytes=100), folder).collect()
     assert {r["payload"].decode() for r in back if r["record_type"] == "response"} == {h or "" for _, _, h, _ in rows}
     assert archives.round_trip(df.limit(0)).collect() == []
+
+
+def test_hot_payload_and_clashing_names(spark):
+    rows = [(i if i % 5 else None, "u", "same page" if i % 3 == 0 else f"page {i}", "x", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, _sha string, _first int")
+    got = archives.round_trip(df).collect()
+    same = [r for r in got if r["payload_bytes"] == len("same page")]
+    assert len(got) == 300 and sorted({str(r["refers_to"]) for r in same}) == ["3", "None"] and sum(r["record_type"] == "response" for r in same) == 1
