@@ -6,10 +6,12 @@ bytes, each stored once a task at least; references find them by a join on the d
 narrow row a digest, so that a payload that very many pages show is decoded where it is stored and not where it is used.
 
 ``store_text`` makes media of texts: UTF-8 padded with blanks to a positive multiple of 192, as the samples of an
-8-bit grey PNG of 192 columns.
+8-bit grey PNG of 192 columns. Several documents share a page, a paragraph and a captioned figure each; which facts are
+whose is told by the place of the media item among its page's, so text and media must stay in order.
 
-Rows: null HTML or text is empty. Repeated rows give repeated items. Equal texts have equal digests and values. A
-reference without a stored payload stays, with nulls. Other columns are not looked at.
+Rows: null HTML or text is empty. Repeated rows give repeated items. Equal texts have equal digests and values. A very
+long text closes its page. A reference without a stored payload stays, with nulls. An empty table gives no rows. Other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +35,8 @@ SCHEME = "media:sha256:"
 _MEDIA = {"img", "video", "audio", "source", "embed", "iframe", "object"}
 _BLOCK = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "td", "th", "blockquote", "pre", "figure", "header", "footer", "nav", "main", "br", "hr", "body", "title"}
 _SILENT = {"script", "style", "noscript", "template"}
-#: Digests that a task remembers as stored already.
-REMEMBERED = 200_000
+#: Digests that a task remembers as stored already (others are stored again, and met once); documents on a page.
+REMEMBERED, PAGE = 200_000, 8
 ITEMS = "array<struct<position: int, kind: string, text: string, ref: string, caption: string>>"
 FACTS = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
@@ -110,9 +113,10 @@ def sequences(pages: DataFrame, key: str, html: str = "html", keep: tuple[str, .
 
 
 def resolve(seqs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Every media item of the sequences, with what facts holds under its digest; nulls if nothing."""
-    refs = seqs.select(*(c for c in seqs.columns if c != "items"), F.explode("items").alias("_i")).filter("_i.kind = 'media'")
-    refs = refs.select(*(c for c in refs.columns if c != "_i"), "_i.position", "_i.caption", F.when(F.col("_i.ref").startswith(SCHEME), F.substring_index("_i.ref", ":", -1)).alias("digest"))
+    """Every media item of the sequences, its place among them (nth), and what facts holds under its digest; nulls if nothing."""
+    kept = [c for c in seqs.columns if c != "items"]
+    refs = seqs.select(*kept, F.posexplode(F.filter("items", lambda i: i["kind"] == "media")).alias("nth", "_i"))
+    refs = refs.select(*kept, "nth", "_i.position", "_i.caption", F.when(F.col("_i.ref").startswith(SCHEME), F.substring_index("_i.ref", ":", -1)).alias("digest"))
     return refs.join(facts, "digest", "left")
 
 
@@ -165,32 +169,37 @@ def feature(samples: np.ndarray) -> str:
 
 
 def store_text(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, html, digest, media: a page that shows the document's image, and the image where a task stores it first."""
+    """page, html, documents, stored: pages that show the images of up to PAGE documents each; documents are listed in the
+    order of their figures, and images (digest, media) stand with the page where a task stores them first."""
+    listed = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_bytes", pa.int64())]))
+    images = pa.list_(pa.struct([("digest", pa.string()), ("media", pa.binary())]))
 
     def run(batches):
         seen: set[str] = set()
+        task, number = TaskContext.get().partitionId(), 0
         for b in batches:
             at = 0
-            while at < b.num_rows:  # a few texts at a time, however long a batch's texts are
-                out, size = {x: [] for x in ("doc_id", "n_bytes", "html", "digest", "media")}, 0
-                while at < b.num_rows and size < 1 << 22:
-                    raw = (b["text"][at].as_py() or "").encode()
+            while at < b.num_rows:
+                html, documents, stored, size = [], [], [], 0
+                while at < b.num_rows and len(documents) < PAGE and size < 1 << 22:
+                    doc, raw = b["doc_id"][at].as_py(), (b["text"][at].as_py() or "").encode()
                     size += len(raw)
                     payload = raw + b" " * (-len(raw) % WIDTH if raw else WIDTH)
                     digest = hashlib.sha256(payload).hexdigest()
-                    caption = f"{len(raw)} bytes of text"
-                    out["doc_id"].append(b["doc_id"][at].as_py())
-                    out["n_bytes"].append(len(raw))
-                    out["html"].append(f'<article><h1>Document {out["doc_id"][-1]}</h1><figure><img src="{SCHEME}{digest}" alt="text"><figcaption>{html_lib.escape(caption)}</figcaption></figure></article>')
-                    out["digest"].append(digest)
-                    out["media"].append(None if digest in seen else to_png(payload))
+                    caption = html_lib.escape(f"Document {doc}: {len(raw)} bytes of text")
+                    html.append(f'<h2>Document {doc}</h2><p>As an image:<figure><img src="{SCHEME}{digest}" alt="text"><figcaption>{caption}</figcaption></figure>')
+                    documents.append({"doc_id": doc, "n_bytes": len(raw)})
+                    if digest not in seen:
+                        stored.append({"digest": digest, "media": to_png(payload)})
                     if len(seen) < REMEMBERED:
                         seen.add(digest)
                     at += 1
-                kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "media": pa.binary()}
-                yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(x, pa.string())) for x, v in out.items()], list(out))
+                number += 1
+                row = (f"{task}-{number}", f"<title>{len(documents)} documents</title><article>{''.join(html)}</article>", documents, stored)
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.string(), pa.string(), listed, images))], ["page", "html", "documents", "stored"])
 
-    return staged(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, html string, digest string, media binary"), "media")
+    kind = "page string, html string, documents array<struct<doc_id: bigint, n_bytes: bigint>>, stored array<struct<digest: string, media: binary>>"
+    return staged(docs.select("doc_id", "text").mapInArrow(run, kind), "media")
 
 
 def facts(stored: DataFrame) -> DataFrame:
@@ -209,11 +218,13 @@ def facts(stored: DataFrame) -> DataFrame:
             names = [x.split()[0] for x in FACTS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if "bigint" in x else pa.string()) for i, x in enumerate(FACTS.split(", "))], names)
 
-    return stored.filter(F.col("media").isNotNull()).select("digest", "media").mapInArrow(run, FACTS).dropDuplicates(["digest"])
+    return stored.select(F.explode("stored").alias("_s")).select("_s.*").mapInArrow(run, FACTS).dropDuplicates(["digest"])
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, position, caption and FACTS of every document's image."""
+    """doc_id, n_bytes, page, position, caption and FACTS of every document's image."""
     stored = store_text(docs)
     # Facts as a table: the join then has an exchange of its own on either side, of which Spark splits a hot digest's.
-    return resolve(sequences(stored, "doc_id", keep=("n_bytes",)), staged(facts(stored), "media-facts"))
+    shown = resolve(sequences(stored, "page", keep=("documents",)), staged(facts(stored), "media-facts"))
+    names = [x.split()[0] for x in FACTS.split(", ")]
+    return shown.withColumn("_d", F.get("documents", "nth")).select("_d.doc_id", "_d.n_bytes", "page", "position", "caption", *names)
