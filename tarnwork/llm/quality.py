@@ -4,8 +4,10 @@ Two multinomials over hashed word n-grams (single words and pairs): the raw one
 the target one those of trusted documents. Rare grams are taken by the shapes of their words. A text's verdict is the
 mean log ratio of its grams against a fixed threshold, so the same text always gets the same verdict (no draws).
 
-Rows: a null text has no words. Repeated rows are judged each. Texts under the word minimum fail the base rules. Other
-columns are not looked at. Without trusted documents every ratio is 0, and the base rules alone decide.
+Rows: a null text has no words. Repeated rows are judged each. Texts under the word minimum fail the base rules. A text
+whose ratio is the threshold is kept. Texts of any length are read whole, and counts are exact in all. Labels without an
+id mark nothing, and repeated ones once. Other columns are not looked at, whatever their names. An empty table gives no
+rows. Without trusted documents every ratio is 0, and the base rules alone decide.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged, words_of
+from .shared import each_copy, staged, words_of
 
 #: Hash buckets: the bound of both multinomials and of the table that scoring broadcasts.
 BUCKETS = 1 << 18
@@ -25,7 +27,8 @@ THRESHOLD = -0.25
 SMOOTHING = 5.0
 #: Classes of word shapes, a power of 2. Class 0, plain words, has half of the buckets; the others share the other half.
 CLASSES = 128
-SYMBOLS = "#*$%&|<>"
+#: Low bits of a long that hold a window's place in texts of up to so many windows.
+PLACE = (1 << 20) - 1
 
 
 def _marked(h, cls):
@@ -115,27 +118,37 @@ def facts(words, text):
     }
 
 
-def _repeated(hashes):
-    """Words in 3-word windows found twice or more, from the windows' hashes, in n log n.
+def _same(x, y):
+    return F.coalesce(x == y, F.lit(False))
 
-    Hash and place share a long, so that a primitive sort puts equal windows side by side; neighbours count as equal
-    if their full hashes are. Texts of over 2**20 windows, whose places don't fit, sort pairs of hash and place.
-    """
-    place = F.lit((1 << 20) - 1)
-    keyed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~((1 << 20) - 1))).bitwiseOR(i.cast("long"))))
 
-    def hit(s):
-        full = lambda x: F.get(hashes, x.bitwiseAND(place).cast("int"))
-        same = lambda x, y: F.coalesce(F.when(F.shiftright(x, 20) == F.shiftright(y, 20), full(x) == full(y)), F.lit(False))
-        return F.array_sort(F.filter(F.transform(s, lambda x, i: F.when(same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1)), x.bitwiseAND(place))), lambda x: x.isNotNull()))
+def _by_place(hashes):
+    """Hash and place of each window in one long, sorted: a primitive sort puts windows of equal high bits side by side."""
+    return F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long"))))
+
+
+def _follows(hashes, s):
+    """Of windows sorted by place in the same long, whether the next is equal (1), or in its high bits alone (2)."""
+    full = lambda x: F.get(hashes, x.bitwiseAND(F.lit(PLACE)).cast("int"))
+    high = lambda x: F.shiftright(x, 20)
+    return F.transform(s, lambda x, i: F.when(_same(high(x), high(F.get(s, i + 1))), F.when(full(x) == full(F.get(s, i + 1)), 1).otherwise(2)).otherwise(0))
+
+
+def _hits(s, follows):
+    """Places, in order, of the windows that come twice or more; null if unequal windows share high bits, which takes
+    sorting by whole hashes."""
+    found = F.transform(s, lambda x, i: F.when((F.get(follows, i) == 1) | _same(F.get(follows, i - 1), F.lit(1)), x.bitwiseAND(F.lit(PLACE))))
+    return F.when(~F.array_contains(follows, 2), F.array_sort(F.array_compact(found)))
+
 
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+def _pairs(hashes):
+    """Hash and place of each window, sorted, for texts of any length."""
+    return F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
 
-    def hit_pairs(s):
-        same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
-        return F.array_sort(F.filter(F.transform(s, lambda x, i: F.when(same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1)), x["i"])), lambda x: x.isNotNull()))
 
-    return keyed, hit, pairs, hit_pairs
+def _hits_of_pairs(s):
+    found = F.transform(s, lambda x, i: F.when(_same(x["h"], F.get(s, i + 1)["h"]) | _same(x["h"], F.get(s, i - 1)["h"]), x["i"]))
+    return F.array_sort(F.array_compact(found))
 
 
 def judge(docs: DataFrame, llr: DataFrame, threshold: float = THRESHOLD, sizes=(1, 2)) -> DataFrame:
@@ -147,12 +160,14 @@ def judge(docs: DataFrame, llr: DataFrame, threshold: float = THRESHOLD, sizes=(
     base = docs.select("doc_id", text.alias("_text")).withColumn("_w", words_of(F.col("_text"))).withColumn("_m", _marked_words(F.col("_w")))
     n = F.size("_w")
     base = base.withColumn("_h3", F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<bigint>")))
-    keyed, hit, pairs, hit_pairs = _repeated(F.col("_h3"))
     some = F.size("_h3") > F.size(F.array_distinct("_h3"))
-    short = F.size("_h3") <= (1 << 20)
     none = F.array().cast("array<bigint>")
-    base = base.withColumn("_sorted", F.when(some & short, keyed)).withColumn("_pairs", F.when(some & ~short, pairs))
-    base = base.withColumn("_hits", F.when(F.col("_sorted").isNotNull(), hit(F.col("_sorted"))).when(F.col("_pairs").isNotNull(), hit_pairs(F.col("_pairs"))).otherwise(none))
+    # Step by step: what a lambda looks up must be a column, or it would be made again for each element.
+    base = base.withColumn("_sorted", F.when(some & (F.size("_h3") <= PLACE + 1), _by_place(F.col("_h3"))).when(~some, none))
+    base = base.withColumn("_next", _follows(F.col("_h3"), F.col("_sorted")))
+    base = base.withColumn("_quick", _hits(F.col("_sorted"), F.col("_next")))
+    base = base.withColumn("_pairs", F.when(F.col("_quick").isNull(), _pairs(F.col("_h3"))))
+    base = base.withColumn("_hits", F.coalesce("_quick", _hits_of_pairs(F.col("_pairs"))))
     repeat = F.aggregate(F.transform("_hits", lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_hits", i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
     known = facts(F.col("_w"), F.col("_text"))
     base = base.select("doc_id", F.xxhash64("_text").alias("text_hash"), *(c.alias(k) for k, c in known.items()), repeat.alias("n_repeat_words"), F.concat(F.array(F.lit(None).cast("bigint")), _grams(F.col("_m"), sizes)).alias("_g"))
@@ -168,4 +183,4 @@ def judge(docs: DataFrame, llr: DataFrame, threshold: float = THRESHOLD, sizes=(
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = scored.select("doc_id", "text_hash", *names, failed.alias("base_failed"), score.alias("llr"), "_copies")
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copy", "_copies")
+    return each_copy(out, "_copies", "_copy").drop("_copy")

@@ -1,7 +1,11 @@
+import math
 import os
 import random
+import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwork.llm import quality
 
@@ -89,3 +93,77 @@ def test_pairs_of_words_count(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 60, 4)], "doc_id bigint, quality int, toxic int")
     got = {r["doc_id"]: r["llr"] for r in quality.judge(docs, quality.ratios(docs, labels)).collect()}
     assert min(x for i, x in got.items() if i % 2) > max(x for i, x in got.items() if not i % 2)
+
+
+def plain_ratios(rows, trusted, sizes=(1, 2)):
+    """llr of each text: both multinomials over hashed n-grams, counted, smoothed and averaged in plain Python."""
+    low = quality.CLASSES - 1
+
+    def word_class(w):
+        if re.fullmatch(r"[A-Za-z\x80-\U0010ffff]+[.,]?", w):
+            return 0
+        shape = re.sub("[0-9]+", "0", re.sub(r"[a-z\x80-\U0010ffff]+", "a", re.sub("[A-Z]+", "A", w)))
+        return 1 + brute.spark_hash(shape) % low
+
+    marked = lambda h, c: (h & ~low) | c
+
+    def grams(text):
+        words = [marked(brute.spark_hash(w), word_class(w)) for w in brute.SPACE_WORD.findall(text or "")]
+        for k in sizes:
+            for i in range(len(words) - k + 1):
+                some = words[i : i + k]
+                classes = [w & low for w in some]
+                yield some[0] if k == 1 else marked(brute.spark_hash(*some), 0 if not any(classes) else 1 + brute.spark_hash(*classes) % low)
+
+    half = quality.BUCKETS // 2
+    each = half // quality.CLASSES
+    bucket = lambda h: (h >> 7) % half if not h & low else half + (h & low) * each + (h >> 7) % each
+    raw, target = Counter(), Counter()
+    for d, t in rows:
+        raw.update(map(bucket, grams(t)))
+        if d in trusted:
+            target.update(map(bucket, grams(t)))
+    share = sum(target.values()) / sum(raw.values())
+    of = lambda b: 0 if b < half else (b - half) // each
+    rho = {c: (sum(target[b] for b in raw if of(b) == c) + quality.SMOOTHING) / (share * sum(raw[b] for b in raw if of(b) == c) + quality.SMOOTHING) for c in {of(b) for b in raw}}
+    llr = {b: math.log((target[b] + quality.SMOOTHING * rho[of(b)]) / (raw[b] * share + quality.SMOOTHING)) for b in raw}
+    out = []
+    for _, t in rows:
+        g = [llr[bucket(h)] for h in grams(t)]
+        out.append(sum(g) / len(g) if g else 0.0)
+    return out
+
+
+def test_ratios_against_plain_multinomials(spark):
+    rng = random.Random(8)
+    vocab = CLEAN + ["x#y", "$$", "ABC", "12.5", "don't", "É", "|", "ẃ"]
+    rows_ = [(i, " ".join(rng.choice(vocab if i % 3 else CLEAN) for _ in range(rng.choice([0, 1, 2, 60, 150])))) for i in range(120)] + [(None, "no id, no trust"), (5, None)]
+    trusted = set(range(0, 120, 3))
+    docs = spark.createDataFrame(rows_, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, None if i % 2 else 0) for i in trusted] + [(1, 1, 1), (2, 0, 0), (None, 1, 0), (0, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = {(r["doc_id"], r["text_hash"]): (r["llr"], r["kept"], r["base_failed"]) for r in quality.judge(docs, quality.ratios(docs, labels)).collect()}
+    for (d, t), want in zip(rows_, plain_ratios(rows_, trusted)):
+        llr, kept, failed = got[d, brute.spark_hash(t or "")]
+        assert llr == pytest.approx(want, abs=2e-9) and kept == (not failed and llr >= quality.THRESHOLD)
+
+
+def test_very_long_text_and_shared_high_bits(spark):
+    n = quality.PLACE + 200
+    words = [f"w{i}" for i in range(n)]
+    words[n - 9 : n - 4] = words[:5]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "a b c d a b c x")], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_repeat_words"]) for r in quality.judge(docs, spark.createDataFrame([], "bucket int, llr double")).collect()}
+    assert got == {1: (n, 10), 2: (8, 6)}
+    # Windows A, B, A by place, where A and B share their high bits: sorted by place they are no neighbours.
+    a, b = (7 << 20) | 1, (7 << 20) | 2
+    df = spark.createDataFrame([([a, b, a, 5 << 20],), ([5 << 20, a, 9 << 20, a],), ([b, a],)], "h array<bigint>")
+    h = F.col("h")
+    df = df.withColumn("s", quality._by_place(h)).withColumn("f", quality._follows(h, F.col("s"))).withColumn("p", quality._pairs(h))
+    got = df.select(quality._hits(F.col("s"), F.col("f")), quality._hits_of_pairs(F.col("p"))).collect()
+    assert [tuple(r) for r in got] == [(None, [0, 2]), ([1, 3], [1, 3]), (None, [])]
+
+
+def test_clashing_names_and_empty_labels(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 30, 1, "x", 2)] * 2, "doc_id bigint, text string, _copies int, bucket string, _h int")
+    got = quality.judge(docs, quality.ratios(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))).collect()
+    assert len(got) == 2 and {r["llr"] for r in got} == {0.0}
