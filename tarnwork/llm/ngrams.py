@@ -16,9 +16,14 @@ Sets, not documents, are joined: equal sets are one node, however many documents
 signatures join are a family; each is held against the family's hub first, the set with most common signatures. Links
 that this leaves out are then found from how the members differ from the hub (see ``between``), without trying all pairs.
 
+Nothing is gathered by key in one task: signatures are rows, combined before they are shuffled; what meets a hot
+signature is a table, so that Spark splits its rows; and a family's members meet their hub in shares of ``FAMILY`` sets,
+each with a copy of the hub's grams.
+
 Rows: a null text has no words. A text of fewer words than the gram is one gram of all its words; without words the set
 is empty, linked with nothing, and its component is its own doc_id. Repeated rows are linked like any equal sets. A null
-doc_id never names a component unless all its members are null. Other columns are not looked at.
+doc_id never names a component unless all its members are null. A pair just at the threshold is linked. Texts of any
+length are read whole. An empty table gives no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,15 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import discard, partitions, staged
-from .suffixes import _from_planes, _mix, _pack, _planes, _unpack
+from .shared import discard, staged
+from .suffixes import _mix
 
 #: Rounds in which sets without enough common signatures go.
 PRUNED = 3
 FRAGMENTS = 8
 BATCH_BYTES = 1 << 19
-#: Signatures that a task gathers before it sends them on.
-GATHERED = 1 << 18
+#: Signatures that a task gathers before it sends each different one on; members of a family that share a copy of the hub.
+GATHERED, FAMILY = 1 << 18, 512
 _U = np.uint64
 _B = 0x9E3779B97F4A7C55
 _BYTES = np.random.default_rng(3).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -198,8 +203,8 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-_SENT = "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, need_0 int, need_1 int, _range int, blob binary, run bigint, a bigint, b bigint"
-_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+_SENT = "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, need_0 int, need_1 int, run bigint, member bigint"
+_KINDS = {"bigint": pa.int64(), "int": pa.int32()}
 
 
 def _sent(**columns) -> pa.RecordBatch:
@@ -209,35 +214,16 @@ def _sent(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[x].cast(_KINDS[t]) if x in columns else pa.nulls(n, _KINDS[t]) for x, t in names], [x for x, _ in names])
 
 
-def _joined(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each signature its smallest node; and (signature, smallest, other) for each other node."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]) if len(sig) else np.zeros(0, bool)
-    sig, node = sig[keep], node[keep]
-    first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
-    least = node[first][np.cumsum(first) - 1] if len(sig) else node
-    return sig[first], node[first], sig[~first], least[~first], node[~first]
-
-
 def send_all(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """One pass over the texts. Rows of three kinds: what each document's set is; signatures, packed by range of their
-    values; and (run, a, b), a batch's own sets of one signature (run), the smallest (a) with each other (b)."""
-    n_ranges = partitions(docs.sparkSession)
-    limits = (np.arange(1, n_ranges, dtype=object) * (1 << 48) // n_ranges).astype(np.uint64)
-
-    def packed(held):
-        sig, node, run, a, b = _joined(*map(np.concatenate, zip(*held)))
-        cut = [0, *np.searchsorted(sig, limits), len(sig)]
-        table, at = np.unique(node, return_inverse=True)
-        ranges, blobs = [], []
-        for i, (x, y) in enumerate(zip(cut, cut[1:])):
-            if y > x:
-                used, local = np.unique(at[x:y], return_inverse=True)
-                ranges.append(i)
-                blobs.append(_pack(_planes(sig[x:y]), local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), table[used]))
-        yield _sent(_range=pa.array(ranges, pa.int32()), blob=pa.array(blobs, pa.binary()))
-        yield _sent(run=_signed(run), a=_signed(a), b=_signed(b))
+    """One pass over the texts. Rows of two kinds: what each document's set is; and (run, member), a signature and a set that
+    has it, once for some hundred thousand signatures."""
+
+    def gathered(held):
+        sig, node = map(np.concatenate, zip(*held))
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]) if len(sig) else np.zeros(0, bool)
+        return _sent(run=_signed(sig[keep]), member=_signed(node[keep]))
 
     def send(batches):
         held, n = [], 0
@@ -251,50 +237,44 @@ def send_all(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             held.append((sig, names[own]))
             n += len(sig)
             if n >= GATHERED:
-                yield from packed(held)
+                yield gathered(held)
                 held, n = [], 0
         if held:
-            yield from packed(held)
+            yield gathered(held)
 
     return staged(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(send, _SENT), "ngram-signatures")
 
 
+def _shared(members: DataFrame) -> DataFrame:
+    """run, node of the runs that several sets have."""
+    both = members.groupBy("run").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a <> _b").select("run")
+    return members.join(staged(both, "ngram-runs"), "run", "left_semi")
+
+
 def candidates(sent: DataFrame) -> DataFrame:
     """run, node: the sets of each signature that several have, without those that can't be linked with any.
 
     A linked pair shares at least as many signatures of a class as each of the two needs, so a set that has fewer
     signatures with others goes; then others may have fewer, and so on, for PRUNED rounds.
     """
-
-    def meet(table):
-        parts = [_unpack(x) for x in table["blob"].to_pylist()]
-        sig = np.concatenate([_from_planes(p[0]) for p in parts])
-        node = np.concatenate([p[2][p[1]] for p in parts])
-        _, _, run, a, b = _joined(sig, node)
-        return pa.table({"run": _signed(run), "a": _signed(a), "b": _signed(b)})
-
-    met = sent.filter(F.col("blob").isNotNull()).select("_range", "blob").groupBy("_range").applyInArrow(meet, "run bigint, a bigint, b bigint")
-    pairs = sent.filter(F.col("run").isNotNull()).select("run", "a", "b").unionAll(met)
-    members = staged(pairs.select("run", F.explode(F.array("a", "b")).alias("node")).distinct(), "ngram-members")
+    members = staged(_shared(sent.filter(F.col("run").isNotNull()).select("run", F.col("member").alias("node"))).distinct(), "ngram-members")
     needs = sent.filter(F.col("need_0").isNotNull()).groupBy("node").agg(F.min("need_0").alias("need_0"), F.min("need_1").alias("need_1"))
     needs = staged(needs.join(members.select("node").distinct(), "node", "left_semi"), "ngram-needs")
     for _ in range(PRUNED):
         side = F.pmod("run", F.lit(2))
         enough = members.groupBy("node", side.alias("side")).agg(F.count("*").alias("_n")).join(needs, "node").filter(F.col("_n") >= F.when(F.col("side") == 0, F.col("need_0")).otherwise(F.col("need_1")))
         kept = members.withColumn("side", side).join(enough.select("node", "side"), ["node", "side"], "left_semi").select("run", "node")
-        several = kept.groupBy("run").agg(F.count("*").alias("_n")).filter("_n > 1").select("run")
-        before, members = members, staged(kept.join(several, "run", "left_semi"), "ngram-members")
+        before, members = members, staged(_shared(kept), "ngram-members")
         discard(before)
     # The rarest signature that a linked pair shares is among all but need - 1 of each set's, rarest first: the others,
     # which common passages make, needn't join sets into families.
-    size = members.groupBy("run").agg(F.count("*").alias("_c"))
+    size = staged(members.groupBy("run").agg(F.count("*").alias("_c")), "ngram-run-sizes")
     own = Window.partitionBy("node", "side")
     ranked = members.withColumn("side", F.pmod("run", F.lit(2))).join(size, "run")
     ranked = ranked.withColumn("_i", F.row_number().over(own.orderBy("_c", "run"))).withColumn("_n", F.count("*").over(own)).join(needs, "node")
     first = ranked.filter(F.col("_i") <= F.col("_n") - F.when(F.col("side") == 0, F.col("need_0")).otherwise(F.col("need_1")) + 1).select("run", "node")
-    several = first.groupBy("run").agg(F.count("*").alias("_n")).filter("_n > 1").select("run")
-    out = staged(first.join(several, "run", "left_semi"), "ngram-members")
-    discard(members, needs)
+    out = staged(_shared(first), "ngram-members")
+    discard(members, needs, size)
     return out
 
 
@@ -314,27 +294,32 @@ def fragments(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(cut, "node bigint, n bigint, part int, grams array<bigint>")
 
 
+def _hubs(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """facts of the hubs (node) as a and s: a copy for each share of the hub's family."""
+    return pairs.select("a", "s").distinct().join(facts.withColumnRenamed("node", "a"), "a")
+
+
 def overlaps(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b of the pairs that are linked: partial overlaps counted in each range, then summed per pair."""
-    left = parts.select(F.col("node").alias("a"), "part", F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
-    right = parts.select(F.col("node").alias("b"), "part", F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
-    sizes = parts.filter(F.col("part") == 0)
-    fit = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-    fit = fit.filter(F.lit(den) * F.least("n_a", "n_b") >= F.lit(num) * F.greatest("n_a", "n_b")).select("a", "b")
-    counted = fit.join(left, "a").join(right, ["b", "part"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("same"))
+    """a, b of the pairs (a, b, s) that are linked: partial overlaps counted in each range, then summed per pair."""
+    sizes = parts.filter(F.col("part") == 0).select("node", "n")
+    fit = pairs.join(_hubs(pairs, sizes.withColumnRenamed("n", "n_a")), ["a", "s"]).join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+    fit = fit.filter(F.lit(den) * F.least("n_a", "n_b") >= F.lit(num) * F.greatest("n_a", "n_b")).select("a", "b", "s", "n_a", "n_b")
+    left = _hubs(pairs, parts.select("node", "part", F.col("grams").alias("grams_a")))
+    right = parts.select(F.col("node").alias("b"), "part", F.col("grams").alias("grams_b"))
+    counted = fit.join(left, ["a", "s"]).join(right, ["b", "part"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("same"))
     same = F.col("same")
     return counted.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("same").alias("same")).filter(F.lit(den) * same >= F.lit(num) * (F.col("n_a") + F.col("n_b") - same)).select("a", "b")
 
 
 def families(members: DataFrame) -> DataFrame:
-    """a, b: each set (b) and the hub (a) of its family, the sets that chains of common signatures join. The hub is the
-    set with most common signatures."""
+    """a, b, s: each set (b) and the hub (a) of its family, the sets that chains of common signatures join, and the share of
+    the family that the set is in. The hub is the set with most common signatures."""
     degree = staged(members.groupBy("node").agg(F.count("*").alias("_n")), "ngram-degrees")
-    first = members.groupBy("run").agg(F.min("node").alias("a"))
+    first = staged(members.groupBy("run").agg(F.min("node").alias("a")), "ngram-firsts")
     joined = components(members.join(first, "run").select("a", F.col("node").alias("b")))
     family = staged(joined.join(degree, "node"), "ngram-families")
-    hub = staged(family.groupBy("label").agg(F.max(F.struct("_n", "node")).alias("_m")).select("label", F.col("_m.node").alias("a")), "ngram-hubs")
-    return family.join(hub, "label").filter("node <> a").select("a", F.col("node").alias("b"))
+    hub = family.groupBy("label").agg(F.max(F.struct("_n", "node")).alias("_m"), F.count("*").alias("_all")).select("label", F.col("_m.node").alias("a"), F.ceil(F.col("_all") / FAMILY).alias("_shares"))
+    return family.join(staged(hub, "ngram-hubs"), "label").filter("node <> a").select("a", F.col("node").alias("b"), F.pmod(F.xxhash64("node"), F.col("_shares")).alias("s"))
 
 
 def between(pairs: DataFrame, parts: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
@@ -353,16 +338,16 @@ def between(pairs: DataFrame, parts: DataFrame, label: DataFrame, num: int, den:
     named = own(pairs, "b")
     # Pairs with the hub are tried already, so a family matters only if its other sets are of several components.
     torn = named.groupBy("a").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x <> _y").select("a")
-    inside = named.join(torn, "a")
-    left = parts.select(F.col("node").alias("a"), "part", F.col("n").alias("l"), F.col("grams").alias("_g"))
+    inside = named.join(_hubs(pairs, torn), ["a", "s"])
+    left = _hubs(pairs, parts.select("node", "part", F.col("n").alias("l"), F.col("grams").alias("_g")))
     right = parts.select(F.col("node").alias("b"), "part", "n", F.col("grams").alias("_h"))
     differ = F.concat(F.array_except("_g", "_h"), F.array_except("_h", "_g"))
     # Range by range, like the overlaps: sizes and later counts are sums over ranges.
-    apart = inside.join(right, "b").join(left, ["a", "part"]).select("a", "b", "part", "l", "n", "label", differ.alias("grams"))
+    apart = inside.join(right, "b").join(left, ["a", "s", "part"]).select("a", "b", "part", "l", "n", "label", differ.alias("grams"))
     apart = staged(apart, "ngram-differences")
     whole = apart.groupBy("a", "b").agg(F.max("l").alias("l"), F.max("n").alias("n"), F.max("label").alias("label"), F.sum(F.size("grams")).cast("long").alias("size"))
     each = apart.select("a", "b", F.explode("grams").alias("e"))
-    often = each.groupBy("a", "e").agg(F.count("*").alias("_c")).filter("_c > 1")
+    often = staged(each.groupBy("a", "e").agg(F.count("*").alias("_c")).filter("_c > 1"), "ngram-often")
     # Grams that one set alone has come first in its order, however many they are; the others are ranked after them.
     shared = Window.partitionBy("a", "b")
     rank = F.row_number().over(shared.orderBy("_c", "e")) - F.count("*").over(shared)
@@ -408,12 +393,12 @@ def components(links: DataFrame) -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        least = staged(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "stars-least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(smallest.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         last, edges = edges, staged(small, "stars")
-        discard(last)
+        discard(last, least)
         after = mark(edges)
         if after == before:
             break
@@ -422,9 +407,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id of every row of docs; k-word sets with Jaccard >= num / den are linked.
+    """doc_id, text_hash, n_shingles, component_id, label of every row of docs; k-word sets with Jaccard >= num / den are linked.
 
-    text_hash (xxhash64 of the text) tells apart rows that share a doc_id.
+    text_hash (xxhash64 of the text) tells apart rows that share a doc_id. label is the component's, whatever its ids are;
+    null for empty sets.
     """
 
     docs = docs.select("doc_id", "text")
@@ -450,4 +436,5 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     of = rows.join(label, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("label", "node").alias("label"))
     # A table, so that the join has an exchange of its own on either side, of which Spark splits a hot component's.
     least = staged(of.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least")), "ngram-least")
-    return of.join(least, "label", "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    some = F.col("n_shingles") > 0
+    return of.join(least, "label", "left").select("doc_id", "text_hash", "n_shingles", F.when(some, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("label")).alias("label"))

@@ -56,7 +56,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.join(table(spark, sf_dir, "documents"), 3, 90, 100).drop("text_hash")
+    return ngrams.join(table(spark, sf_dir, "documents"), 3, 90, 100).drop("text_hash", "label")
 
 
 def queries():

@@ -28,7 +28,7 @@ def corpus(seed, n=80):
 def test_matches_brute_force(spark, seed):
     rows = corpus(seed) + [(1000, None), (1001, ""), (1002, " \n"), (1003, "one"), (1004, "ONE"), (1005, "é É"), (1006, "é é")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert sorted(map(tuple, ngrams.join(df, 3, 90, 100).drop("text_hash").collect())) == brute.jaccard(rows)
+    assert sorted(map(tuple, ngrams.join(df, 3, 90, 100).drop("text_hash", "label").collect())) == brute.jaccard(rows)
 
 
 def test_star_of_near_copies(spark):
@@ -42,7 +42,7 @@ def test_star_of_near_copies(spark):
             w[j] = f"x{i}{j}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert sorted(map(tuple, ngrams.join(df, 3, 90, 100).drop("text_hash").collect())) == brute.jaccard(rows)
+    assert sorted(map(tuple, ngrams.join(df, 3, 90, 100).drop("text_hash", "label").collect())) == brute.jaccard(rows)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -62,12 +62,38 @@ def test_crowd_of_copies_with_more_and_fewer_edits(spark, seed):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = brute.jaccard(rows)
     assert 5 < len({c for _, _, c in want}) < 140
-    assert sorted(map(tuple, ngrams.join(df, 3, 90, 100).drop("text_hash").collect())) == want
+    assert sorted(map(tuple, ngrams.join(df, 3, 90, 100).drop("text_hash", "label").collect())) == want
 
 
 def test_repeated_rows_extra_columns_and_empty(spark):
     rows = [(5, "a b c d", 1, 2)] * 2 + [(2, "A B C D", 3, 4), (None, "a b c d", 5, 6)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, node int, label int")
-    got = sorted(map(tuple, ngrams.join(df).drop("text_hash").collect()), key=str)
+    got = sorted(map(tuple, ngrams.join(df).drop("text_hash", "label").collect()), key=str)
     assert got == sorted([(5, 1, 2), (5, 1, 2), (2, 1, 2), (None, 1, 2)], key=str)
     assert ngrams.join(df.limit(0)).collect() == []
+
+
+def test_long_texts_and_a_large_family(spark, monkeypatch):
+    """Texts over the size that powers are kept for, and a family of several shares of its hub."""
+    rng = random.Random(7)
+    long = [f"w{rng.randrange(90_000)}" for _ in range(190_000)]
+    near = list(long)
+    for i in range(0, 6000):
+        near[i * 30] = "other"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[: len(long) // 2]))]
+    assert len(rows[0][1]) > 1 << 20
+    base = [f"b{i}" for i in range(200)]
+    for i in range(10, 90):
+        w = list(base)
+        for j in rng.sample(range(200), rng.choice([0, 1, 2, 4])):
+            w[j] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(ngrams, "FAMILY", 7)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, ngrams.join(df, 3, 90, 100).drop("text_hash", "label").collect())) == brute.jaccard(rows)
+
+
+def test_labels_part_components_without_ids(spark):
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (None, "A B C D E F G"), (None, "h i j k l m"), (None, "")]
+    got = ngrams.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r["component_id"] is None for r in got) and len({r["label"] for r in got}) == 3
