@@ -15,8 +15,9 @@ exchange of sorted anchor hashes, delta-coded by hash range, finds those. For th
   often than there are batches.
 
 Rows: a null text is empty. Rows of one doc_id never cut each other; a null doc_id comes after all others. Repeated
-rows are returned each. Texts under ``span`` bytes stay whole. An empty table gives an empty result. Other columns may
-have any names; they are kept only by ``deduplicate(keep_columns=True)``.
+rows are returned each, and rows without an id are dealt by their text. Texts under ``span`` bytes stay whole; longer
+ones are read a chunk at a time, however long. An empty table gives an empty result. Other columns may have any names;
+they are kept only by ``deduplicate(keep_columns=True)``.
 """
 
 from __future__ import annotations
@@ -221,7 +222,9 @@ def deduplicate(docs: DataFrame, span: int = SPAN, keep_columns: bool = False, b
     spans: array of (start, end) in bytes of the text as it came. A text cut inside a character loses the rest of it in
     the text returned, not in kept_sha256.
     """
-    spark = docs.sparkSession
+    spark, names = docs.sparkSession, docs.columns
+    # Names of our own on the way: groups in Arrow can't have all names that tables can.
+    docs = docs.toDF(*(c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(names)))
     k = max(8, span // 2 - 1)
     narrow = docs.select("doc_id", "text")
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -229,9 +232,10 @@ def deduplicate(docs: DataFrame, span: int = SPAN, keep_columns: bool = False, b
     n_batches = max(1, -(-total // batch_bytes))
     parts = partitions(spark)
     n_ranges = max(parts, total // (1 << 26))  # of anchor hashes: about 4 million in each
-    n_sorted = max(parts, total // (1 << 23))  # of leading strings: an eighth of the text repeated makes them a MB or so each
+    n_sorted = max(parts, total // (1 << 25))  # of leading strings: an eighth of the text repeated makes them 20 MB or so each
     s1, s2 = _splitters(narrow, n_sorted, span, k)
-    by_batch = (docs if keep_columns else narrow).withColumn("_batch", F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int"))
+    deal = "_batch"
+    by_batch = (docs if keep_columns else narrow).withColumn(deal, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int"))
 
     def distinct_ids(r):
         ids, counts = np.unique(r["id"], return_counts=True)
@@ -371,7 +375,7 @@ def deduplicate(docs: DataFrame, span: int = SPAN, keep_columns: bool = False, b
                 shas.append(h.hexdigest())
                 spans.append([{"start": int(a[j] - starts[i]), "end": int(b[j] - starts[i])} for j in range(lo[i], hi[i])])
         if keep_columns:
-            docs = docs.drop_columns(["_batch"])
+            docs = docs.drop_columns([deal])
             return docs.set_column(docs.schema.get_field_index("text"), "text", pa.array(kept, pa.string()))
         removed = np.zeros(len(ends), np.int64)
         np.add.at(removed, of, b - a)
@@ -384,11 +388,12 @@ def deduplicate(docs: DataFrame, span: int = SPAN, keep_columns: bool = False, b
 
     ranged = "_range int, _batch int, blob binary"
     # The exchange of texts by batch is the same in all three uses, and Spark runs it once.
-    again = by_batch.select("doc_id", "text", "_batch").groupBy("_batch").applyInArrow(send_ids, ranged).groupBy("_range").applyInArrow(find_repeats, ranged)
-    segments = by_batch.select("doc_id", "text", "_batch").groupBy("_batch").cogroup(again.groupBy("_batch")).applyInArrow(send_segments, ranged)
+    again = by_batch.select("doc_id", "text", deal).groupBy(deal).applyInArrow(send_ids, ranged).groupBy("_range").applyInArrow(find_repeats, ranged)
+    segments = by_batch.select("doc_id", "text", deal).groupBy(deal).cogroup(again.groupBy("_batch")).applyInArrow(send_segments, ranged)
     hits = segments.groupBy("_range").applyInArrow(compare, "_batch int, blob binary")
     if keep_columns:
         out = docs.schema
     else:
         out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start: bigint, end: bigint>>"
-    return by_batch.groupBy("_batch").cogroup(hits.groupBy("_batch")).applyInArrow(cut, out)
+    done = by_batch.groupBy(deal).cogroup(hits.groupBy("_batch")).applyInArrow(cut, out)
+    return done.toDF(*names) if keep_columns else done

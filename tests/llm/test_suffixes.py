@@ -1,7 +1,9 @@
+import hashlib
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwork.llm import suffixes
 
@@ -25,9 +27,26 @@ def test_planted_repeats(spark):
 def test_repeated_rows_and_extra_columns(spark):
     rows = [(7, "a quick brown fox jumps over the lazy dog, and again " * 2, 1)] * 2 + [(9, "zz a quick brown fox jumps over the lazy dog, and again", 2)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, _batch int")
-    assert sorted(tuple(r)[:5] for r in suffixes.deduplicate(df.drop("_batch")).drop("spans").collect()) == brute.suffixes([r[:2] for r in rows])
-    kept = suffixes.deduplicate(df.withColumnRenamed("_batch", "blob"), keep_columns=True)
-    assert kept.columns == ["doc_id", "text", "blob"] and kept.count() == 3
+    assert sorted(tuple(r)[:5] for r in suffixes.deduplicate(df).drop("spans").collect()) == brute.suffixes([r[:2] for r in rows])
+    df = df.withColumns({"blob": F.lit(1), "_range": F.lit("r"), "spans": F.lit(2.5)})
+    kept = suffixes.deduplicate(df, keep_columns=True)
+    assert kept.columns == ["doc_id", "text", "_batch", "blob", "_range", "spans"] and sorted(r["_batch"] for r in kept.collect()) == [1, 1, 2]
+
+
+def test_rows_without_ids_and_long_texts(spark):
+    """Rows without an id cut nothing of each other, wherever they are dealt; texts of several chunks are cut whole."""
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefg ") for _ in range(120))
+    long = "".join(rng.choice("abcdefghij ") for _ in range(2 * suffixes.CHUNK + 1000))
+    rows = [(None, f"{i} {passage} tail {i}") for i in range(12)] + [(4, passage), (9, long), (8, long[suffixes.CHUNK - 400 : suffixes.CHUNK + 400]), (7, passage * 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(tuple(r)[:5] for r in suffixes.deduplicate(df, batch_bytes=2000).drop("spans").fillna(10**9, ["doc_id"]).collect())
+    small = [(d if d is not None else 10**9, t) for d, t in rows if d != 9]
+    want = brute.suffixes(small)
+    assert [r for r in got if r[0] != 9] == want
+    cut = next(r for r in got if r[0] == 9)
+    kept = long[: suffixes.CHUNK - 400] + long[suffixes.CHUNK + 400 :]
+    assert cut[1:] == (len(long), 800, 1, hashlib.sha256(kept.encode()).hexdigest())
 
 
 def test_empty(spark):
