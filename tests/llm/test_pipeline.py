@@ -4,9 +4,11 @@ import random
 from array import array
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tarnwork.llm import mixing, shared
 from tarnwork.llm.queries import token_file
 
 from . import brute
@@ -83,3 +85,54 @@ def test_run_and_empty(spark, folder, tmp_path):
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{path}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+CLASHING = ["text_hash", "copy", "_start", "_nth", "_batch", "_key", "_id", "_hash", "_slot", "epoch", "label", "none", "_once", "a.b"]
+
+
+def test_stages_keep_any_columns(spark, folder):
+    """Names that the stages use themselves come back as they were, in their rows."""
+    path, rows = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in CLASHING})
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        held = stage(spark, docs, path)
+        assert held.columns == columns
+        held = held.collect()
+        assert held and all(r[c] == f"{c}:{r['doc_id']}" for r in held for c in CLASHING)
+        docs = spark.createDataFrame(held, docs.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() > 0
+
+
+def test_one_row_of_each_group_whatever_its_ids(spark, folder, tmp_path):
+    """Near copies under one id, without ids, and rows alike in both: one stays; rows without words stay all."""
+    rng = random.Random(4)
+    w = [rng.choice(VOCAB) for _ in range(80)]
+    near = lambda i: " ".join(w[:i] + ["odd"] + w[i + 1 :])
+    other = [" ".join(rng.choice(VOCAB) for _ in range(60)) for _ in range(2)]
+    rows = [(1, near(2)), (1, near(77)), (1, near(2)), (None, other[0]), (None, other[0] + " end"), (None, other[0]), (5, other[1]), (None, other[1]), (7, None), (7, None), (8, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.ngram_jaccard_join(spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "5", "7", "7", "8", "None"]
+    assert {r["text"] for r in got if r["doc_id"] is None} < {other[0], other[0] + " end"}
+
+
+def test_mixing_writes_rows_in_the_order_of_slots(spark, tmp_path):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(VOCAB) for _ in range(rng.randint(5, 400))), "en", "abc"[i % 3], 0) for i in range(400)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    first = {r["doc_id"]: r["first_slot"] for r in mixing.taken(docs).collect()}
+    got = corpus_pipeline.mixing_to_weights(spark, docs, str(tmp_path)).collect()
+    seen, order = set(), []
+    for r in got:
+        if r["doc_id"] not in seen:
+            seen.add(r["doc_id"])
+            order.append(first[r["doc_id"]])
+    assert len(order) > 300 and order == sorted(order)
+
+
+def test_staged_tables_go(spark, folder):
+    before = shared.opened()
+    path, _ = folder
+    corpus_pipeline.run(spark, path).count()
+    assert len(shared.opened() - before) <= 2  # the last stage's input and its own table
