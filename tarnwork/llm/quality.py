@@ -12,9 +12,7 @@ rows. Without trusted documents every ratio is 0, and the base rules alone decid
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import each_copy, staged, words_of
@@ -27,6 +25,8 @@ THRESHOLD = -0.25
 SMOOTHING = 5.0
 #: Classes of word shapes, a power of 2. Class 0, plain words, has half of the buckets; the others share the other half.
 CLASSES = 128
+#: Trusted ids that are broadcast, at most (16 MB of longs).
+MOST = 1 << 20
 #: Low bits of a long that hold a window's place in texts of up to so many windows.
 PLACE = (1 << 20) - 1
 
@@ -44,7 +44,7 @@ def _word_class(w):
     """0 for letters with at most a full stop or comma behind them, else the hash of the shape: runs of capitals, other
     letters (all of non-ASCII among them) and digits become one character each, the rest stays."""
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(w, "[A-Z]+", "A"), r"[a-z\x{80}-\x{10FFFF}]+", "a"), "[0-9]+", "0")
-    return F.when(w.rlike(r"^[A-Za-z\x{80}-\x{10FFFF}]+[.,]?$"), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(shape), F.lit(CLASSES - 1)))
+    return F.when(w.rlike(r"^[A-Za-z\x{80}-\x{10FFFF}]++[.,]?$"), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(shape), F.lit(CLASSES - 1)))
 
 
 def _marked_words(words):
@@ -52,25 +52,24 @@ def _marked_words(words):
     return F.transform(words, lambda w: _marked(F.xxhash64(w), _word_class(w)))
 
 
-def _grams(marked, sizes=(1, 2)):
-    """Hash of each n-gram of a column of marked words, marked with its class: 0 if all words are plain, else by theirs.
+def _neighbours(marked):
+    """a, b: each marked word and the next one, null after the last."""
+    return F.arrays_zip(marked.alias("a"), F.slice(marked, F.lit(2), F.greatest(F.size(marked), F.lit(1))).alias("b"))
 
-    The column must be there already: within the lambda an expression would be evaluated again for each gram.
-    """
 
-    def of(k):
-        if k == 1:
-            return marked
+def _marked_pair(a, b):
+    """Hash of two marked words, marked with the pair's class: 0 if both are plain, else by theirs."""
+    both = 1 + F.pmod(F.xxhash64(_class(a), _class(b)), F.lit(CLASSES - 1))
+    return _marked(F.xxhash64(a, b), F.when(_class(a.bitwiseOR(b)) == 0, F.lit(0)).otherwise(both))
 
-        def gram(i):
-            each = [F.get(marked, i + j) for j in range(k)]
-            plain = _class(functools.reduce(Column.bitwiseOR, each)) == 0
-            return _marked(F.xxhash64(*each), F.when(plain, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*map(_class, each)), F.lit(CLASSES - 1))))
 
-        return F.when(F.size(marked) >= k, F.transform(F.sequence(F.lit(0), F.size(marked) - k), gram)).otherwise(F.array().cast("array<bigint>"))
+def _buckets(rows: DataFrame, *keep: str) -> DataFrame:
+    """keep, one, two: buckets of the gram of one word and of the pair that starts at each of rows' _z; null without one.
 
-    parts = [of(k) for k in sizes]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    Row by row after the arrays are exploded, where Spark compiles what it would interpret within a lambda.
+    """
+    a, b = F.col("_z.a"), F.col("_z.b")
+    return rows.select(*keep, _bucket(a).alias("one"), F.when(b.isNotNull(), _bucket(_marked_pair(a, b))).alias("two"))
 
 
 def _bucket(h):
@@ -85,14 +84,23 @@ def _bucket_class(bucket):
     return F.when(bucket < half, F.lit(0)).otherwise(F.floor((bucket - half) / (half // CLASSES))).cast("int")
 
 
-def ratios(docs: DataFrame, labels: DataFrame, sizes=(1, 2)) -> DataFrame:
-    """bucket, llr: at most BUCKETS rows. All documents count, and all trusted ones count for the target."""
+def ratios(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
+    """bucket, llr: at most BUCKETS rows. All documents count, and all trusted ones count for the target.
+
+    Trusted ids are broadcast while they are counted to be most at most; beyond that, documents meet them by shuffle.
+    """
     trusted = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    trusted = trusted.select("doc_id", F.lit(0).cast("long").alias("_salt"), F.lit(1).alias("_t"))
-    # By shuffle where the ids are many. Rows without id, which are never trusted, are dealt by text.
-    salted = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("_salt"), "text")
-    rows = salted.join(trusted, ["doc_id", "_salt"], "left").select(F.coalesce("_t", F.lit(0)).alias("_t"), _marked_words(words_of(F.col("text"))).alias("_m"))
-    counts = rows.select("_t", F.explode_outer(_grams(F.col("_m"), sizes)).alias("_h")).filter(F.col("_h").isNotNull()).groupBy(_bucket(F.col("_h")).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("_t").alias("target"))
+    text = F.coalesce("text", F.lit(""))
+    if trusted.limit(most + 1).count() <= most:
+        rows = docs.select("doc_id", text.alias("_text")).join(F.broadcast(trusted.withColumn("_t", F.lit(1))), "doc_id", "left")
+    else:
+        # Rows without id, which are never trusted, are dealt by text.
+        trusted = trusted.select("doc_id", F.lit(0).cast("long").alias("_salt"), F.lit(1).alias("_t"))
+        salted = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("_salt"), text.alias("_text"))
+        rows = salted.join(trusted, ["doc_id", "_salt"], "left")
+    each = rows.select(F.coalesce("_t", F.lit(0)).alias("_t"), _marked_words(words_of(F.col("_text"))).alias("_m"))
+    grams = _buckets(each.select("_t", F.explode_outer(_neighbours(F.col("_m"))).alias("_z")), "_t")
+    counts = grams.select("_t", F.explode(F.array("one", "two")).alias("bucket")).filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_t").alias("target"))
     counts = staged(counts, "quality-counts")
     total = counts.agg(F.sum("raw").alias("r"), F.sum("target").alias("t")).first()
     r, t = float(total["r"] or 0), float(total["t"] or 0)
@@ -151,15 +159,15 @@ def _hits_of_pairs(s):
     return F.array_sort(F.array_compact(found))
 
 
-def judge(docs: DataFrame, llr: DataFrame, threshold: float = THRESHOLD, sizes=(1, 2)) -> DataFrame:
+def judge(docs: DataFrame, llr: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr, and text_hash.
 
     text_hash (of the text) tells apart rows that share a doc_id.
     """
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", text.alias("_text")).withColumn("_w", words_of(F.col("_text"))).withColumn("_m", _marked_words(F.col("_w")))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_w", words_of(F.col("_text")))
     n = F.size("_w")
-    base = base.withColumn("_h3", F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<bigint>")))
+    windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
+    base = base.withColumn("_m", _marked_words(F.col("_w"))).withColumn("_h3", F.when(n >= 3, windows).otherwise(F.array().cast("array<bigint>")))
     some = F.size("_h3") > F.size(F.array_distinct("_h3"))
     none = F.array().cast("array<bigint>")
     # Step by step: what a lambda looks up must be a column, or it would be made again for each element.
@@ -170,14 +178,15 @@ def judge(docs: DataFrame, llr: DataFrame, threshold: float = THRESHOLD, sizes=(
     base = base.withColumn("_hits", F.coalesce("_quick", _hits_of_pairs(F.col("_pairs"))))
     repeat = F.aggregate(F.transform("_hits", lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_hits", i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
     known = facts(F.col("_w"), F.col("_text"))
-    base = base.select("doc_id", F.xxhash64("_text").alias("text_hash"), *(c.alias(k) for k, c in known.items()), repeat.alias("n_repeat_words"), F.concat(F.array(F.lit(None).cast("bigint")), _grams(F.col("_m"), sizes)).alias("_g"))
     names = [*known, "n_repeat_words"]
-    # Outer, so that no size filter is inferred (it would repeat the expressions). The null gram in front stands for the row itself: it keeps texts without grams and counts repeated rows.
-    scored = (
-        base.select("doc_id", "text_hash", *names, F.explode_outer("_g").alias("_h"))
-        .join(F.broadcast(llr), _bucket(F.col("_h")) == F.col("bucket"), "left")
-        .groupBy("doc_id", "text_hash")
-        .agg(*(F.max(x).alias(x) for x in names), F.sum(F.coalesce("llr", F.lit(0.0))).alias("_sum"), F.count("_h").alias("_grams"), F.sum(F.col("_h").isNull().cast("int")).alias("_copies"))
+    whole = F.array(F.lit(None).cast("struct<a: bigint, b: bigint>"))
+    base = base.select("doc_id", F.xxhash64("_text").alias("text_hash"), *(c.alias(k) for k, c in known.items()), repeat.alias("n_repeat_words"), F.concat(whole, _neighbours(F.col("_m"))).alias("_g"))
+    # Outer, so that no size filter is inferred (it would repeat the expressions). The null in front stands for the row itself: it keeps texts without grams and counts repeated rows.
+    each = _buckets(base.select("doc_id", "text_hash", *names, F.explode_outer("_g").alias("_z")), "doc_id", "text_hash", *names)
+    one, two = (F.broadcast(llr.select(F.col("bucket").alias(c), F.col("llr").alias(f"_{c}"))) for c in ("one", "two"))
+    value = F.coalesce("_one", F.lit(0.0)) + F.coalesce("_two", F.lit(0.0))
+    scored = each.join(one, "one", "left").join(two, "two", "left").groupBy("doc_id", "text_hash").agg(
+        *(F.max(x).alias(x) for x in names), F.sum(value).alias("_sum"), (F.count("one") + F.count("two")).alias("_grams"), F.sum(F.col("one").isNull().cast("int")).alias("_copies")
     )
     score = F.round(F.coalesce(F.col("_sum") / F.nullif(F.col("_grams"), F.lit(0)), F.lit(0.0)), 9)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
