@@ -105,7 +105,8 @@ def _scheduled(plan: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = scheduled.groupBy("sid", "_t").agg(F.count("*").alias("_c"))
     upto = Window.partitionBy("sid").orderBy("_t")
     counts = counts.withColumn("_base", F.sum("_c").over(upto) - F.col("_c")).drop("_c")
-    ranked = scheduled.join(counts, ["sid", "_t"]).withColumn("rank", F.col("_base") + F.row_number().over(Window.partitionBy("sid", "_t").orderBy("slot", "point")) - 1)
+    # Slots are as many as blocks of words, but come of a table of a few sources, by which Spark would think them few.
+    ranked = scheduled.join(counts.hint("merge"), ["sid", "_t"]).withColumn("rank", F.col("_base") + F.row_number().over(Window.partitionBy("sid", "_t").orderBy("slot", "point")) - 1)
     return facts, ranked.select("sid", "slot", "rank")
 
 
@@ -129,7 +130,7 @@ def mix(rows: DataFrame, plan: DataFrame) -> DataFrame:
     cut = read.withColumn("rank", F.explode(F.expr("sequence(_lo div _block, (_hi - 1) div _block)")))
     begin, end = F.greatest("_lo", F.col("rank") * F.col("_block")), F.least("_hi", (F.col("rank") + 1) * F.col("_block"))
     cut = cut.select("sid", "rank", "source", "doc_id", "text_hash", "copy", "epoch", (begin - F.col("_lo")).alias("start"), (end - begin).alias("length"))
-    return cut.join(scheduled, ["sid", "rank"]).select("slot", "sid", "source", "doc_id", "text_hash", "copy", "epoch", "start", "length")
+    return cut.join(scheduled.hint("merge"), ["sid", "rank"]).select("slot", "sid", "source", "doc_id", "text_hash", "copy", "epoch", "start", "length")
 
 
 def taken(docs: DataFrame, weights=WEIGHTS, factor: float = 1.5, most: float = 2.0) -> DataFrame:
