@@ -26,7 +26,7 @@ from .shared import staged
 
 SHARDS = 16
 #: Ranges to a shard, sampled rows to a range, and rows that are numbered together, about.
-PER_SHARD, SAMPLES, PART_ROWS = 64, 32, 20_000
+PER_SHARD, SAMPLES, PART_ROWS = 64, 32, 1_000
 
 
 def _below(splitters: list[int]):
