@@ -246,9 +246,9 @@ def send_all(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _shared(members: DataFrame) -> DataFrame:
-    """run, node of the runs that several sets have."""
-    both = members.groupBy("run").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a <> _b").select("run")
-    return members.join(staged(both, "ngram-runs"), "run", "left_semi")
+    """run, node of the runs that come more than once: of different rows, those that several sets have."""
+    several = members.groupBy("run").agg(F.count("*").alias("_n")).filter("_n > 1").select("run")
+    return members.join(staged(several, "ngram-runs"), "run", "left_semi")
 
 
 def candidates(sent: DataFrame) -> DataFrame:
@@ -257,7 +257,13 @@ def candidates(sent: DataFrame) -> DataFrame:
     A linked pair shares at least as many signatures of a class as each of the two needs, so a set that has fewer
     signatures with others goes; then others may have fewer, and so on, for PRUNED rounds.
     """
-    members = staged(_shared(sent.filter(F.col("run").isNotNull()).select("run", F.col("member").alias("node"))).distinct(), "ngram-members")
+    # A set of many copies is sent more than once with one run, so what is left, each once, must share runs as well. Table
+    # by table, so that the shuffle files of one step are gone when the next writes its own.
+    first = staged(_shared(sent.filter(F.col("run").isNotNull()).select("run", F.col("member").alias("node"))), "ngram-members")
+    once = staged(first.distinct(), "ngram-members")
+    discard(first)
+    members = staged(_shared(once), "ngram-members")
+    discard(once)
     needs = sent.filter(F.col("need_0").isNotNull()).groupBy("node").agg(F.min("need_0").alias("need_0"), F.min("need_1").alias("need_1"))
     needs = staged(needs.join(members.select("node").distinct(), "node", "left_semi"), "ngram-needs")
     for _ in range(PRUNED):
