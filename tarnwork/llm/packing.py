@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ngrams import _powers
 from .shared import staged
+from .suffixes import _mix
 
 LENGTH = 4096
 END = 2
-#: Pieces in one packer's group, about; pieces kept with their ids in each Python worker.
-GROUP, CACHED = 50_000, 600_000
+#: Pieces in one packer's group, about; pieces, and pieces of texts with far characters, kept with their ids in each worker.
+GROUP, CACHED, WORDS = 50_000, 2_000_000, 300_000
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -37,7 +39,7 @@ def _loaded(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {"": b""})
+        _tokenizers[path] = (Tokenizer.from_file(path), {"": b""}, _Known())
     return _tokenizers[path]
 
 
@@ -53,11 +55,74 @@ _FAR = re.compile("[^\x00-\u017f]|\u0130|<[|]")
 
 def _cut(text: str) -> list[str]:
     """Strings whose ids, one after the other, are the text's."""
-    if not _FAR.search(text):
-        return _PIECE.findall(text.lower())
     return [x for w in text.replace("\n", " ").split(" ") if w for x in ([w] if _FAR.search(w) else _PIECE.findall(w.lower()))]
 
 
+#: Kinds of characters below U+0180: 0 white space, 1 letters, 2 numbers, 3 all others.
+_KIND = np.array([0 if c in (*range(9, 14), 32, 0x85, 0xA0) else {"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 3) for c in range(0x180)], np.uint8)
+_CHAR = np.random.default_rng(49).integers(1, 2**63, 0x180, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class _Known:
+    """Ids of pieces, by the pieces' 64-bit hashes: sorted arrays, so that many pieces are looked up in one step."""
+
+    def __init__(self):
+        self.keys, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+
+def _bounds(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each piece of lowered text starts and ends: runs of letters, single numbers, runs of other characters; an
+    apostrophe that starts a piece takes in an s, t, re, ve, m, ll or d behind it."""
+    kind = _KIND[chars]
+    turn = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 2)])) if len(kind) else np.zeros(0, np.int64)
+    some = kind[turn] > 0
+    a, b = turn[some], np.append(turn[1:], len(kind))[some]
+    mark = np.flatnonzero((chars[a] == 39) & (b == a + 1))
+    mark = mark[(mark + 1 < len(a))]
+    mark = mark[(a[mark + 1] == b[mark]) & (kind[np.minimum(b[mark], len(kind) - 1)] == 1)]
+    if len(mark):
+        one = chars[b[mark]]
+        two = np.where(b[mark] + 1 < len(chars), chars[np.minimum(b[mark] + 1, len(chars) - 1)], 0)
+        long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        take = np.where(np.isin(one, [ord(c) for c in "stmd"]), 1, np.where(long, 2, 0))
+        b[mark] += take
+        a[mark + 1] += take
+        left = a < b
+        a, b = a[left], b[left]
+    return a, b
+
+
+def _plain(texts: list[str], tokenizer, known: _Known) -> list[bytes]:
+    """Ids of lowered texts below U+0180, all pieces at a time."""
+    whole = "\n".join(texts)
+    chars = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+    a, b = _bounds(chars)
+    up, down = _powers(max(1, len(chars)))
+    sums = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum(_CHAR[chars] * up[: len(chars)], out=sums[1:])
+    names, first, which = np.unique(_mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), return_index=True, return_inverse=True)
+    place = np.searchsorted(known.keys, names)
+    hit = known.keys[np.minimum(place, len(known.keys) - 1)] == names if len(known.keys) else np.zeros(len(names), bool)
+    at, n, ids = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64), known.ids
+    at[hit], n[hit] = known.at[place[hit]], known.n[place[hit]]
+    if not hit.all():
+        new = [whole[x:y] for x, y in zip(a[first[~hit]].tolist(), b[first[~hit]].tolist())]
+        found = dict(_encoded(tokenizer, new))
+        raw = [found[x] for x in new]
+        n[~hit] = [len(r) // 4 for r in raw]
+        at[~hit] = len(ids) + np.cumsum(n[~hit]) - n[~hit]
+        ids = np.concatenate([ids, np.frombuffer(b"".join(raw), "<u4")])
+        if len(known.keys) + len(new) <= CACHED:
+            known.keys, known.at, known.n = (np.insert(x, place[~hit], y[~hit]) for x, y in ((known.keys, names), (known.at, at), (known.n, n)))
+            known.ids = ids
+    size = n[which]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    raw = ids[np.repeat(at[which] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    cuts = [0, *(4 * upto[np.searchsorted(a, ends)]).tolist()]
+    return [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers.
 
@@ -65,18 +130,21 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     text's ids are those of its pieces, and pieces' ids are kept from batch to batch, up to CACHED. A word with
     characters from U+0180 on, which may compose, or with what may be a special token is given to the tokenizer as it is.
     """
-    tokenizer, known = _loaded(path)
-    split = [_cut(t or "") for t in texts]
-    found = [list(map(known.get, x)) for x in split]
-    lacking = [i for i, ids in enumerate(found) if None in ids]
-    new = list({p for i in lacking for p, ids in zip(split[i], found[i]) if ids is None})
-    known.update(_encoded(tokenizer, new))
-    for i in lacking:
-        found[i] = list(map(known.get, split[i]))
-    if len(known) > CACHED:
-        for p in new[max(0, len(new) - (len(known) - CACHED)) :]:
-            del known[p]
-    return [b"".join(ids) for ids in found]
+    tokenizer, words, known = _loaded(path)
+    far = [i for i, t in enumerate(texts) if t and _FAR.search(t)]
+    plain = [(t or "").lower() for t in texts]
+    for i in far:
+        plain[i] = ""
+    out = _plain(plain, tokenizer, known)
+    split = [_cut(texts[i]) for i in far]
+    new = list({p for x in split for p in x if p not in words})
+    words.update(_encoded(tokenizer, new))
+    for i, x in zip(far, split):
+        out[i] = b"".join(map(words.get, x))
+    if len(words) > WORDS:
+        for p in new[max(0, len(new) - (len(words) - WORDS)) :]:
+            del words[p]
+    return out
 
 
 def _encoded(tokenizer, strings: list[str], together: int = 1024):

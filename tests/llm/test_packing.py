@@ -26,6 +26,18 @@ def test_ids_of_all_kinds_of_characters():
     assert packing.encode(texts, token_file()) == [array("I", t.encode(x, add_special_tokens=False).ids).tobytes() for x in texts]
 
 
+def test_apostrophes_and_a_full_store(monkeypatch):
+    t = Tokenizer.from_file(token_file())
+    rng = __import__("random").Random(3)
+    texts = ["".join(rng.choice(["'", "'", "s", "t", "re", "ve", "ll", "m", "d", "!", " ", "\n", "1", "\xa0", "é", "x"]) for _ in range(rng.randint(0, 30))) for _ in range(600)]
+    texts += ["'", "a'", "'s", "it's", "'re'll", "''s", "'1", "x" * 30 + "'ve"]
+    want = [array("I", t.encode(x, add_special_tokens=False).ids).tobytes() for x in texts]
+    monkeypatch.setattr(packing, "CACHED", 50)  # too small for all pieces: the others are made again
+    monkeypatch.setattr(packing, "_tokenizers", {})
+    for at in range(0, len(texts), 100):
+        assert packing.encode(texts[at : at + 100], token_file()) == want[at : at + 100]
+
+
 def test_every_id_once_and_no_gaps(spark):
     df = spark.createDataFrame([(i if i != 6 else 5, x, 1) for i, x in enumerate(TEXTS)], "doc_id bigint, text string, length int")
     rows = packing.pack_documents(df, token_file(), with_ids=True).collect()
