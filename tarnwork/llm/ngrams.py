@@ -432,7 +432,10 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     texts = docs.join(one, "doc_id", "left_semi")
     if spare.take(1):
         texts = texts.unionAll(docs.filter("doc_id is null"))
+    # Texts first, so that their shuffle files are gone when the grams' are written.
+    texts = staged(texts, "ngram-texts")
     parts = staged(fragments(texts, k).dropDuplicates(["node", "part"]), "ngram-fragments")
+    discard(texts)
     links = staged(overlaps(pairs, parts, num, den), "ngram-links")
     label = staged(components(links), "ngram-components")
     more = staged(between(pairs, parts, label, num, den), "ngram-links")
