@@ -75,6 +75,35 @@ c(p, q) AS (SELECT p, q FROM y UNION SELECT c.p, y.q FROM c JOIN y ON y.p=c.q),
 m AS (SELECT p, min(q) q FROM c GROUP BY 1)
 SELECT s.doc_id, len(g)::BIGINT n_shingles, least(s.doc_id, coalesce(m.q, s.doc_id)) component_id FROM s LEFT JOIN m ON m.p=s.doc_id"""
 
+#: All frequent itemsets by their baskets' lists; those are closed of which no set of one item more has the same support.
+_ITEMSETS = """
+WITH RECURSIVE e AS (SELECT DISTINCT sale_id, item_id FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL),
+n AS (SELECT count(DISTINCT sale_id) b, greatest(5, (count(DISTINCT sale_id)+19999)//20000) least FROM e),
+f AS (SELECT item_id i, list(sale_id) t, count(*) s FROM e GROUP BY 1 HAVING count(*)>=(SELECT least FROM n)),
+p AS (SELECT x.item_id i, y.item_id j FROM e x JOIN e y ON x.sale_id=y.sale_id AND x.item_id<y.item_id GROUP BY 1, 2 HAVING count(*)>=(SELECT least FROM n)),
+r(items, last, t) AS (SELECT [i], i, t FROM f
+  UNION ALL SELECT items, last, t FROM (SELECT list_append(r.items, p.j) items, p.j AS last, list_intersect(r.t, f.t) t FROM r JOIN p ON p.i=r.last JOIN f ON f.i=p.j) WHERE len(t)>=(SELECT least FROM n)),
+q AS (SELECT items, len(t)::BIGINT s FROM r),
+m AS (SELECT list_filter(items, lambda x: x<>c) items, s FROM (SELECT items, s, unnest(items) c FROM q)),
+k AS (SELECT * FROM q ANTI JOIN m ON m.items=q.items AND m.s=q.s),
+u AS (SELECT items, s, unnest(items) c FROM k WHERE len(items)>1),
+w AS (SELECT u.items, u.c, q.s a, f.s FROM u JOIN q ON q.items=list_filter(u.items, lambda x: x<>u.c) JOIN f ON f.i=u.c, n WHERE 100*u.s>=60*q.s AND u.s*n.b>q.s*f.s),
+g AS (SELECT items, count(*) n_rules, arg_min(c, (a, c)) best_item, string_agg(c||':'||a||':'||s, ';' ORDER BY c) told FROM w GROUP BY 1)
+SELECT array_to_string(k.items, ',') items, len(k.items)::BIGINT n_items, k.s support, coalesce(n_rules, 0)::BIGINT n_rules, best_item, sha256(coalesce(told, '')) rules_sha256 FROM k LEFT JOIN g USING (items)"""
+
+_INFILL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') t, sha256('1:'||doc_id) h FROM documents),
+d AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') w, ('0x'||h[1:8])::BIGINT h1, ('0x'||h[9:16])::BIGINT h2, ('0x'||h[17:24])::BIGINT h3, ('0x'||h[25:32])::BIGINT h4 FROM h),
+c AS (SELECT *, len(w)::BIGINT n, least(h1%(len(w)+1), h2%(len(w)+1)) a, greatest(h1%(len(w)+1), h2%(len(w)+1)) b,
+  CASE WHEN t='' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3%100>=90 THEN 'plain' WHEN h4%100<20 THEN 'spm' ELSE 'psm' END form FROM d),
+p AS (SELECT doc_id, t, n, form, array_to_string(w[1:a], '') x, array_to_string(w[a+1:b], '') y, array_to_string(w[b+1:], '') z FROM c)
+SELECT doc_id, n, form, CASE WHEN form<>'plain' THEN length(x) END prefix_chars, CASE WHEN form<>'plain' THEN length(y) END middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>'||x||'<S>'||z||'<M>'||y ELSE '<S>'||z||'<P>'||x||'<M>'||y END) output_sha256, sha256(t) restored_sha256 FROM p"""
+
+_EXACT = f"""
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) h FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY h) keep_id, count(*) OVER (PARTITION BY h) group_size, doc_id=max(doc_id) OVER (PARTITION BY h) kept, h text_sha256 FROM d"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scans": _licenses(), "op2_suffix_array_dedup": _SUFFIXES, "op5_zip_archives": _ARCHIVES, "op10_ngram_jaccard_join": _JACCARD}
+    return {"op1_license_scans": _licenses(), "op2_suffix_array_dedup": _SUFFIXES, "op5_zip_archives": _ARCHIVES, "op10_ngram_jaccard_join": _JACCARD, "op11_basket_itemsets": _ITEMSETS, "op12_fill_in_middle": _INFILL, "op13_exact_dedup": _EXACT}

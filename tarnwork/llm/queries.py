@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, classifier, licenses, media, mixing, ngrams, oracles, packing, quality, sharding, suffixes
+from . import archives, classifier, exact, infill, itemsets, licenses, media, mixing, ngrams, oracles, packing, quality, sharding, suffixes
 from .shared import table
 
 
@@ -59,6 +59,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.join(table(spark, sf_dir, "documents"), 3, 90, 100).drop("text_hash", "label")
 
 
+def op11_basket_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mined = itemsets.closed(table(spark, sf_dir, "sale_lines"), "sale_id", "item_id")
+    return itemsets.with_rules(mined, itemsets.rules(mined)).withColumn("rules_sha256", F.sha2("rules", 256)).drop("rules")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.fill(table(spark, sf_dir, "documents"))
+    again = infill.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.marks(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {f.__name__: f for f in (
         op1_license_scans,
@@ -71,6 +86,9 @@ def queries():
         op8_quality_classifier,
         op9_mixing,
         op10_ngram_jaccard_join,
+        op11_basket_itemsets,
+        op12_fill_in_middle,
+        op13_exact_dedup,
     )}
 
 

@@ -92,3 +92,49 @@ def spark_hash(*values, seed=42):
         raw = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
         h = xxhash.xxh64_intdigest(raw, seed=h % (1 << 64))
     return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def itemsets(rows, least=5, share=20_000):
+    """items: (support, {c: (a, s)}) of each closed itemset of (basket, item) rows, with its rules at 60 of 100."""
+    baskets = {}
+    for b, i in rows:
+        if b is not None and i is not None:
+            baskets.setdefault(b, set()).add(i)
+    sets, n = [frozenset(x) for x in baskets.values()], len(baskets)
+    least = max(least, -(-n // share))
+    support = lambda x: sum(x <= b for b in sets)
+    found, now = {}, {frozenset([i]) for b in sets for i in b}
+    while now:
+        now = {x: s for x in now if (s := support(x)) >= least}
+        found |= now
+        single = [i for i in {i for x in now for i in x}]
+        now = {x | {i} for x in now for i in single if i not in x}
+    out = {}
+    for x, s in found.items():
+        if any(found.get(x | {i}) == s for i in {i for y in found for i in y} - x):
+            continue
+        rules = {}
+        for c in x if len(x) > 1 else ():
+            a, one = found[x - {c}], found[frozenset([c])]
+            if 100 * s >= 60 * a and s * n > a * one:
+                rules[c] = (a, one)
+        out[tuple(sorted(x))] = (s, rules)
+    return out
+
+
+UNIT = re.compile(r"[A-Za-z]+|[^A-Za-z]")
+
+
+def infill(doc, text, plain=10, spm=20):
+    """n, form, prefix_chars, middle_chars, output of a text."""
+    text = text or ""
+    units = UNIT.findall(text)
+    h = hashlib.sha256(f"1:{'' if doc is None else doc}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[8 * i : 8 * i + 8], 16) for i in range(4))
+    a, b = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    if not text or re.search("<[PSM]>", text) or h3 % 100 >= 100 - plain:
+        return len(units), "plain", None, None, text
+    x, y, z = ("".join(u) for u in (units[:a], units[a:b], units[b:]))
+    if h4 % 100 < spm:
+        return len(units), "spm", len(x), len(y), f"<S>{z}<P>{x}<M>{y}"
+    return len(units), "psm", len(x), len(y), f"<P>{x}<S>{z}<M>{y}"
