@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import hashing
 from .functions import text as T
-from .operators import bundles, delta, evidence, identity, payloads, reports, runs, scope, selection, similarity, verdicts, workspace
+from .operators import bundles, delta, evidence, identity, payloads, reports, rules, runs, scope, selection, similarity, verdicts, workspace
 from .sources import envelopes
 from .storage import shared_dir
 from .streaming import run_states
@@ -350,6 +350,53 @@ def effective_limits(spark, d):
     return o.select("id", bundles.effective_limit(40_000, "a", "b").cast("long").alias("file_limit"))
 
 
+# A client is a lab; the definition that holds is what its last click says, with its letters as globs. What clicks say is at
+# times no JSON, no list, or a text where a number belongs.
+_LAB_RULES = """
+w AS (SELECT client_id lab_id, regexp_replace(arg_max(coalesce(props, ''), (ts, click_id, coalesce(arrived_at, ts), coalesce(props, ''))), '"([a-z])"', '"**\\1*"', 'g') d FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1),
+j AS (SELECT lab_id, CASE WHEN json_valid(d) THEN d::JSON END d FROM w),
+l AS (SELECT lab_id, CASE WHEN json_type(d, '$.tags')='ARRAY' THEN list_transform(list_filter(json_extract(d, '$.tags[*]'), lambda x: json_type(x)='VARCHAR'), lambda x: x->>'$') ELSE [] END pats,
+  CASE WHEN json_type(d, '$.k') IN ('UBIGINT', 'BIGINT') THEN (d->>'$.k')::BIGINT END k,
+  CASE WHEN json_type(d, '$.items[0].qty') IN ('UBIGINT', 'BIGINT') THEN (d->>'$.items[0].qty')::BIGINT END q FROM j),
+r AS (SELECT lab_id, pats, greatest(50, CASE WHEN k>0 THEN k ELSE 0 END) file_limit, greatest(4, CASE WHEN q>0 THEN q ELSE 0 END) total_limit,
+  '^('||array_to_string(list_transform(pats, lambda p: replace(replace(replace(p, '**', '@'), '*', '[^/]*'), '@', '.*')), '|')||')$' rx FROM l)"""
+_CLICK_RULES = rules.Policy(names=(), suffixes=(".none",), file_bytes=50, total_bytes=4, required="$.tags", allowed="$.more", file_limits=("$.k",), total_limits=("$.items[0].qty",))
+
+
+def _click_rules(spark, d):
+    c = t(spark, d, "clicks").filter("client_id is not null and ts is not null")
+    last = c.groupBy(F.col("client_id").alias("lab_id")).agg(F.max(F.struct("ts", "click_id", F.coalesce("arrived_at", "ts").alias("arrived"), F.coalesce("props", F.lit("")).alias("p"))).alias("_l")).select("lab_id", "_l.p")
+    return rules.lab_rules(last.withColumn("lab_definition", F.regexp_replace("p", '"([a-z])"', '"**$1*"')), policy=_CLICK_RULES)
+
+
+@query(f"WITH {_LAB_RULES} SELECT lab_id, array_to_string(pats, ' ') patterns, file_limit, total_limit FROM r")
+def lab_rules(spark, d):
+    """Patterns and limits of each lab, from its definition's JSON."""
+    return _click_rules(spark, d).select("lab_id", F.array_join(F.concat("required", "allowed"), " ").alias("patterns"), "file_limit", "total_limit")
+
+
+@query(f"""WITH {_LAB_RULES}, f AS (SELECT change_id, client_id, coalesce(source, 'none')||'/'||coalesce(segment, 'none')||'/'||coalesce(city, 'none') p FROM client_changes)
+SELECT f.change_id, f.p path, coalesce(r.file_limit, 50) file_limit, coalesce(r.total_limit, 4) total_limit FROM f JOIN r ON r.lab_id=f.client_id WHERE len(r.pats)>0 AND regexp_matches(f.p, r.rx)""")
+def lab_source_files(spark, d):
+    """The files that their own lab's patterns choose: each change of a client is one, under source/segment/city."""
+    part = lambda c: F.coalesce(F.col(c), F.lit("none"))
+    files = t(spark, d, "client_changes").select("change_id", F.col("client_id").alias("lab_id"), F.concat_ws("/", part("source"), part("segment"), part("city")).alias("path"))
+    return rules.source_files(files, _click_rules(spark, d), _CLICK_RULES).select("change_id", "path", "file_limit", "total_limit")
+
+
+_GUARDED = """SELECT click_id, CASE WHEN json_type(d, '$.device.os')='VARCHAR' THEN d->>'$.device.os' END os, CASE WHEN json_type(d, '$.k') IN ('UBIGINT', 'BIGINT') THEN (d->>'$.k')::BIGINT END k,
+CASE WHEN json_type(d, '$.tags')='ARRAY' THEN array_to_string(list_transform(list_filter(json_extract(d, '$.tags[*]'), lambda x: json_type(x)='VARCHAR'), lambda x: x->>'$'), ',') ELSE '' END tags
+FROM (SELECT click_id, CASE WHEN json_valid(props) THEN props::JSON END d FROM clicks)"""
+
+
+@query(_GUARDED)
+def json_guards(spark, d):
+    """A value where its kind is the one that belongs there; broken, absent and ill-typed ones are null or empty."""
+    v = F.col("v")
+    clicks = t(spark, d, "clicks").select("click_id", F.try_parse_json("props").alias("v"))
+    return clicks.select("click_id", rules.text_at(v, "$.device.os").alias("os"), rules.whole_at(v, "$.k").alias("k"), F.array_join(rules.texts_at(v, "$.tags"), ",").alias("tags"))
+
+
 @query("SELECT path, arg_min(src, root_ord) src FROM (SELECT s_nationkey path, 'supplier' src, 0 root_ord FROM supplier UNION ALL SELECT c_nationkey, 'customer', 1 FROM customer UNION ALL SELECT n_nationkey, 'nation', 2 FROM nation) GROUP BY 1")
 def multi_root_read(spark, d):
     part = lambda n, c, i: t(spark, d, n).select(F.col(c).alias("path"), F.lit(n).alias("src"), F.lit(i).alias("root_ord"))

@@ -104,7 +104,22 @@ def glob_regex(pattern: str, cross: bool = False) -> str:
         else:
             c = pattern[i]
             out, i = out + (f"{inner}*" if c == "*" else inner if c == "?" else re.escape(c)), i + 1
-    return f"(?s)^(?:{out})\\z"
+    return f"(?s)^(?:{out})\\z" if cross else f"(?d)^(?:{out})\\z"
+
+
+def glob_column(pattern: Column) -> Column:
+    """The same as a column, without its ends: null for a pattern that is empty, absolute or has an empty or dotted segment.
+
+    Signs are escaped first, so that what stands for ** can be told from the * in it."""
+    escaped = F.regexp_replace(pattern, r"([!-/:-@\[-`{-~])", r"\\$1")
+    out = F.replace(F.replace(F.replace(escaped, F.lit(r"\*\*"), F.lit(".*")), F.lit(r"\*"), F.lit("[^/]*")), F.lit(r"\?"), F.lit("[^/]"))
+    return F.when(safe_path(pattern), out)
+
+
+def any_glob(patterns: Column) -> Column:
+    """One regex for a list of globs; null if none of them is valid."""
+    valid = F.filter(F.transform(patterns, glob_column), lambda x: x.isNotNull())
+    return F.when(F.size(valid) > 0, F.concat(F.lit("(?d)^(?:"), F.array_join(valid, "|"), F.lit(")\\z")))
 
 
 def matches_any(path: Column, patterns: list[str], cross: bool = False) -> Column:

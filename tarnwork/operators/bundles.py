@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,15 +18,16 @@ def manifest_errors(files: DataFrame) -> DataFrame:
     )
 
 
-def read_budget(files: DataFrame, per_file: int, total: int, key: str = "submission_id", order: str = "path", size: str = "size") -> DataFrame:
+def read_budget(files: DataFrame, per_file: int | Column, total: int | Column, key: str = "submission_id", order: str = "path", size: str = "size") -> DataFrame:
     """bytes_read and omission_reason when files are read in order under both budgets.
 
     A file takes the least of its size, the file budget and what files before it left of the total; what files before
     took is the running sum of their capped sizes, as far as the total reaches.
     """
-    capped = F.least(F.col(size), F.lit(per_file))
+    per_file, total = (x if isinstance(x, Column) else F.lit(x) for x in (per_file, total))
+    capped = F.least(F.col(size), per_file)
     before = F.coalesce(F.sum(capped).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.greatest(F.lit(total) - before, F.lit(0))
+    left = F.greatest(total - before, F.lit(0))
     read = F.least(capped, left)
     reason = F.when((left <= 0) | (read < capped), "total_budget").when(F.col(size) > per_file, "file_budget")
     return files.withColumn("bytes_read", read.cast("long")).withColumn("omission_reason", reason)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import canonical
+from . import rules
 
 HUNKS = "array<struct<old_start: bigint, old_count: bigint, new_start: bigint, new_count: bigint, lines: string>>"
 CHANGE = f"struct<added_text: string, removed_text: string, hunks: {HUNKS}>"
@@ -50,18 +51,21 @@ def against_baseline(files: DataFrame, baseline: DataFrame) -> DataFrame:
     return out.withColumn("baseline_kind", F.coalesce("_kind", F.lit("submission_addition"))).withColumn("baseline_text", F.coalesce("baseline_text", F.lit(""))).drop("_kind")
 
 
-def removed_files(files: DataFrame, baseline: DataFrame, patterns: list[str]) -> DataFrame:
-    """Baseline files under the lab's patterns that a submission lacks."""
+def removed_files(files: DataFrame, baseline: DataFrame, patterns: list[str] | DataFrame) -> DataFrame:
+    """Baseline files that a submission lacks although its lab's patterns ask for them. patterns: one list for all labs, or
+    each lab's (the table of rules.lab_rules)."""
+    if isinstance(patterns, DataFrame):
+        return rules.absent(baseline, patterns, files).join(baseline, ["lab_id", "path"])
     subjects = files.select("submission_id", "lab_id").distinct()
     wanted = subjects.join(baseline.filter(T.matches_any(F.col("path"), patterns)), "lab_id")
     return wanted.join(files.select("submission_id", "path"), ["submission_id", "path"], "left_anti")
 
 
-def build(files: DataFrame, baseline: DataFrame, patterns: list[str] | None = None) -> DataFrame:
+def build(files: DataFrame, baseline: DataFrame, patterns: list[str] | DataFrame | None = None) -> DataFrame:
     """Delta files. With patterns, missing baseline files count as removed; without, they are out of scope."""
     beside = against_baseline(files, baseline).filter("content <> baseline_text")  # before the Python stage
     found = beside.select("submission_id", "lab_id", "path", "baseline_kind", "baseline_revision", change("baseline_text", "content").alias("_c"))
-    if patterns:
+    if isinstance(patterns, DataFrame) or patterns:
         gone = removed_files(files, baseline, patterns)
         found = found.unionByName(gone.select("submission_id", "lab_id", "path", F.col("kind").alias("baseline_kind"), F.col("revision").alias("baseline_revision"), change("content", F.lit("")).alias("_c")))
     return found.select("submission_id", "lab_id", "path", "baseline_kind", "baseline_revision", "_c.*").filter("added_text <> '' or removed_text <> ''")

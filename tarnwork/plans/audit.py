@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import bundles, delta, identity, reports, selection, similarity, verdicts
+from ..operators import bundles, delta, identity, reports, rules, selection, similarity, verdicts
 from ..sources import files as sources
 from ..sources.settings import Settings
 from ..storage import staged
@@ -94,10 +94,15 @@ def run(request: Request, submissions: DataFrame, files: DataFrame, baseline: Da
     several steps read each, and one plan of all of them would be too long to optimize."""
     s = request.settings
     history, best, _ = plan(request, submissions)
-    read = bundles.read_budget(files, s.file_bytes, s.total_bytes).withColumn("content", F.expr("substring(content, 1, cast(bytes_read as int))"))
+    policy, patterns, limits = rules.Policy(file_bytes=s.file_bytes, total_bytes=s.total_bytes), list(request.patterns), (s.file_bytes, s.total_bytes)
+    if "lab_definition" in history.columns:  # each lab's own patterns and limits
+        labs = rules.lab_rules(history.groupBy("lab_id").agg(F.max("lab_definition").alias("lab_definition")), policy=policy)
+        files = rules.with_rules(files, labs, policy).drop("regex")
+        patterns, limits = patterns or labs, (F.col("file_limit"), F.col("total_limit"))
+    read = bundles.read_budget(files, *limits).drop("file_limit", "total_limit").withColumn("content", F.expr("substring(content, 1, cast(bytes_read as int))"))
     read = read.join(history.select(F.col("id").alias("submission_id")), "submission_id", "left_semi")
     incomplete = read.groupBy("submission_id").agg(F.bool_or(F.col("omission_reason").isNotNull()).alias("incomplete"))
-    found = staged(delta.build(read, baseline, list(request.patterns)), "audit-deltas")
+    found = staged(delta.build(read, baseline, patterns), "audit-deltas")
     whole = history.select(F.col("id").alias("submission_id")).join(incomplete, "submission_id", "left").withColumn("incomplete", F.coalesce("incomplete", F.lit(False)))
     digests = delta.digests(found, whole)
     shingles = similarity.shingle_sets(found, s.shingle_size)

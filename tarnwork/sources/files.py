@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
-from ..operators import bundles
+from ..operators import bundles, rules
 
 MAX_REPORT = 2 << 20
 
@@ -32,14 +32,16 @@ def tree(spark: SparkSession, root: str, root_ord: int = 0) -> DataFrame:
     return raw.select(F.lit(root_ord).alias("root_ord"), F.substring_index(F.col("path"), base, -1).alias("path"), F.col("length").alias("size"), F.col("content").alias("raw"))
 
 
-def bundles_from_roots(spark: SparkSession, roots: list[str], manifest: DataFrame, per_file: int, total: int, patterns=()) -> DataFrame:
-    """Source files of each submission, read under both budgets from the first root that has them (root/submission/path)."""
+def bundles_from_roots(spark: SparkSession, roots: list[str], manifest: DataFrame, labs: DataFrame, policy: rules.Policy = rules.Policy()) -> DataFrame:
+    """Source files of each submission (submission_id, lab_id, path, size), chosen by its lab's patterns and read under its
+    lab's budgets from the first root that has them (root/submission/path). labs: lab_id, lab_definition."""
     found = None
     for i, r in enumerate(roots):
         t = tree(spark, r, i)
         found = t if found is None else found.unionByName(t)
     found = bundles.first_root(found.withColumn("submission_id", F.substring_index("path", "/", 1)).withColumn("path", F.regexp_replace("path", r"^[^/]*/", "")), "root_ord", "submission_id", "path")
-    wanted = bundles.read_budget(manifest.filter(T.safe_path(F.col("path")) & T.is_source(F.col("path"), patterns=patterns)), per_file, total)
+    wanted = rules.source_files(manifest, rules.lab_rules(labs, policy=policy), policy)
+    wanted = bundles.read_budget(wanted, F.col("file_limit"), F.col("total_limit")).drop("file_limit", "total_limit")
     met = wanted.join(found.select("submission_id", "path", "raw"), ["submission_id", "path"], "left")
     return met.withColumn("content", replaced_utf8(F.expr("substring(raw, 1, cast(bytes_read as int))"))).drop("raw")
 
@@ -68,19 +70,19 @@ def ready_runs(spark: SparkSession, root: str, schema: StructType | str) -> Data
     return rows.filter(ready("_folder")).drop("_folder")
 
 
-def signed_payloads(envelopes: DataFrame, verify=None) -> DataFrame:
+def signed_payloads(envelopes: DataFrame, verify) -> DataFrame:
     """Envelopes (payload, key_id, signature, in unpadded base64url) with the payload's text, for those that verify.
 
     verify(payload, key_id, signature) -> bool runs on batches of rows; signature checks need a library of the caller's.
+    An envelope whose payload or signature cannot be decoded never verifies.
     """
     out = envelopes.withColumn("_raw", T.base64url(F.col("payload"))).withColumn("_sig", T.base64url(F.col("signature")))
-    if verify is not None:
 
-        @F.pandas_udf("boolean")
-        def good(raw: pd.Series, key: pd.Series, sig: pd.Series) -> pd.Series:
-            return pd.Series([r is not None and s is not None and bool(verify(bytes(r), k, bytes(s))) for r, k, s in zip(raw, key, sig)])
+    @F.pandas_udf("boolean")
+    def good(raw: pd.Series, key: pd.Series, sig: pd.Series) -> pd.Series:
+        return pd.Series([r is not None and s is not None and bool(verify(bytes(r), k, bytes(s))) for r, k, s in zip(raw, key, sig)], dtype=bool)
 
-        out = out.filter(good("_raw", "key_id", "_sig"))
+    out = out.filter(good("_raw", "key_id", "_sig"))
     return out.filter("_raw is not null").select("*", F.col("_raw").cast("string").alias("text"), F.sha2("_raw", 256).alias("payload_digest")).drop("_raw", "_sig")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwork import catalogue, sinks
-from tarnwork.operators import evidence, reports, runs, scope, verdicts, workspace
+from tarnwork.operators import evidence, reports, rules, runs, scope, verdicts, workspace
 from tarnwork.sources import files as sources
 from tarnwork.sources import settings
 
@@ -171,8 +171,9 @@ def test_sources(spark, tmp_path):
         d.mkdir(parents=True)
         (d / "a.c").write_bytes(text.encode() + b"\xff")
     (tmp_path / "two" / "s" / "src" / "b.c").write_text("only")
-    manifest = spark.createDataFrame([("s", "src/a.c", 6), ("s", "src/b.c", 4), ("s", "notes", 1), ("s", "../x.c", 1)], "submission_id string, path string, size bigint")
-    got = {r["path"]: (r["content"], r["omission_reason"]) for r in sources.bundles_from_roots(spark, [str(tmp_path / "one"), str(tmp_path / "two")], manifest, 100, 8).collect()}
+    manifest = spark.createDataFrame([("s", "l", "src/a.c", 6), ("s", "l", "src/b.c", 4), ("s", "l", "notes", 1), ("s", "l", "../x.c", 1)], "submission_id string, lab_id string, path string, size bigint")
+    labs = spark.createDataFrame([("l", '{"spec": {"submissions": {"upload": {"maxTotalBytes": 8}}}}')], "lab_id string, lab_definition string")
+    got = {r["path"]: (r["content"], r["omission_reason"]) for r in sources.bundles_from_roots(spark, [str(tmp_path / "one"), str(tmp_path / "two")], manifest, labs, rules.Policy(total_bytes=1)).collect()}
     assert got == {"src/a.c": ("first�", None), "src/b.c": ("on", "total_budget")}
     own = tmp_path / "owners" / "alice"
     own.mkdir(parents=True)
