@@ -13,8 +13,10 @@ candidates, and a set that shares too few of them with others is out.
 on its own, and the partial counts are summed per pair and held against the threshold.
 
 Sets, not documents, are joined: equal sets are one node, however many documents have them. Sets that chains of common
-signatures join are a family; each is held against the family's hub first, the set with most common signatures. Links
-that this leaves out are then found from how the members differ from the hub (see ``between``), without trying all pairs.
+signatures join are a family; each is held against the family's hub first, the set with most common signatures, and what
+that leaves of a large family against further hubs, while these link a share of it: each cluster of near copies gets a hub
+of its own. Links that this leaves out are then found from how the members differ from the first hub (see ``between``),
+without trying all pairs.
 
 Nothing is gathered by key in one task: signatures are rows, combined before they are shuffled; what meets a hot
 signature is a table, so that Spark splits its rows; and a family's members meet their hub in shares of ``FAMILY`` sets,
@@ -46,6 +48,8 @@ FRAGMENTS = 8
 BATCH_BYTES = 1 << 19
 #: Signatures that a task gathers before it sends each different one on; members of a family that share a copy of the hub.
 GATHERED, FAMILY = 1 << 18, 512
+#: Members that a family's hubs leave out before it gets another hub, and one in how many of them the last hub must have linked.
+LEFT_OUT, WORTH = 64, 16
 _U = np.uint64
 _B = 0x9E3779B97F4A7C55
 _BYTES = np.random.default_rng(3).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -328,6 +332,34 @@ def families(members: DataFrame) -> DataFrame:
     return family.join(staged(hub, "ngram-hubs"), "label").filter("node <> a").select("a", F.col("node").alias("b"), F.pmod(F.xxhash64("node"), F.col("_shares")).alias("s"))
 
 
+def further_hubs(pairs: DataFrame, links: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: links of sets that their family's hub is not linked with. Of a family with many such, one is the next hub, and
+    the others are held against it; what that leaves out goes on, as long as each hub links its share. A cluster of near
+    copies is linked as a whole when one of it is the hub. Small rests, and families that fall apart into many, are left."""
+    left = staged(pairs.join(links, ["a", "b"], "left_anti").select(F.col("a").alias("family"), "b"), "ngram-left")
+    found = []
+    while True:
+        order = F.struct(F.xxhash64("b"), "b")
+        hub = left.groupBy("family").agg(F.count("*").alias("_all"), F.min(order).alias("_h")).filter(F.col("_all") >= LEFT_OUT)
+        hub = staged(hub.select("family", "_all", F.col("_h.b").alias("a")), "ngram-hubs")
+        share = F.pmod(F.xxhash64("b"), F.ceil(F.col("_all") / FAMILY)).alias("s")
+        tries = staged(left.join(hub, "family").filter("a <> b").select("family", "a", "b", share), "ngram-pairs")
+        discard(left)
+        if tries.isEmpty():
+            discard(hub, tries)
+            break
+        now = staged(overlaps(tries.select("a", "b", "s"), parts, num, den), "ngram-links")
+        found.append(now)
+        linked = tries.select("family", "a", "b").join(now, ["a", "b"]).groupBy("family").agg(F.count("*").alias("_n"))
+        on = hub.join(linked, "family").filter(F.col("_n") * WORTH >= F.col("_all")).select("family")
+        left = staged(tries.join(now, ["a", "b"], "left_anti").select("family", "b").join(on, "family", "left_semi"), "ngram-left")
+        discard(hub, tries)
+    out = links
+    for x in found:
+        out = out.unionByName(x)
+    return out
+
+
 def between(pairs: DataFrame, parts: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: links between different components of one family, which its hub's links don't show.
 
@@ -370,6 +402,9 @@ def between(pairs: DataFrame, parts: DataFrame, label: DataFrame, num: int, den:
     facts = whole.select("a", "b", "l", "n", "size", "label", outside.alias("out"), first.alias("first"), second_out.alias("second_out"), second_in.alias("second_in"))
     ranked = each.join(often, ["a", "e"]).withColumn("_r", rank).join(facts, ["a", "b"]).withColumn("i", F.col("size") + F.col("_r"))
     ranked = staged(ranked.filter(F.col("i") <= F.greatest("first", "second_out", "second_in")), "ngram-prefixes")
+    # What only sets of one component differ by, as a cluster of near copies does from another's hub, joins no two that matter.
+    torn_by = ranked.groupBy("a", "e").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x <> _y").select("a", "e")
+    ranked = ranked.join(staged(torn_by, "ngram-torn"), ["a", "e"], "left_semi")
     x = ranked.filter("i <= first").select("a", "e", *(F.col(c).alias(f"x_{c}") for c in ("b", "i", "n", "size", "label", "out")))
     y = ranked.filter("i <= greatest(second_out, second_in)").select("a", "e", *(F.col(c).alias(f"y_{c}") for c in ("b", "i", "n", "size", "label", "out", "second_out", "second_in")))
     need = F.ceil((s * (F.col("x_size") + F.col("y_size")) - q * (F.col("x_n") + F.col("y_n"))) / F.lit(2 * s))
@@ -381,7 +416,7 @@ def between(pairs: DataFrame, parts: DataFrame, label: DataFrame, num: int, den:
         & (den * F.least("x_n", "y_n") >= num * F.greatest("x_n", "y_n"))
         & (need <= 1 + F.least(F.col("x_size") - F.col("x_i"), F.col("y_size") - F.col("y_i")))
     )
-    tries = x.join(y, ["a", "e"]).filter(fits).select("a", "x_b", "y_b", "x_n", "y_n", "x_size", "y_size").distinct()
+    tries = staged(x.join(y, ["a", "e"]).filter(fits).select("a", "x_b", "y_b", "x_n", "y_n", "x_size", "y_size").distinct(), "ngram-tries")
     one = apart.select("a", "part", F.col("b").alias("x_b"), F.col("grams").alias("_g"))
     two = apart.select("a", "part", F.col("b").alias("y_b"), F.col("grams").alias("_h"))
     parts_of = tries.join(one, ["a", "x_b"]).join(two, ["a", "y_b", "part"])
@@ -437,7 +472,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     parts = staged(fragments(texts, k).dropDuplicates(["node", "part"]), "ngram-fragments")
     discard(texts)
     links = staged(overlaps(pairs, parts, num, den), "ngram-links")
-    label = staged(components(links), "ngram-components")
+    label = staged(components(further_hubs(pairs, links, parts, num, den)), "ngram-components")
     more = staged(between(pairs, parts, label, num, den), "ngram-links")
     discard(parts)
     if more.take(1):

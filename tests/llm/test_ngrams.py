@@ -93,6 +93,34 @@ def test_long_texts_and_a_large_family(spark, monkeypatch):
     assert sorted(map(tuple, ngrams.join(df, 3, 90, 100).drop("text_hash", "label").collect())) == brute.jaccard(rows)
 
 
+@pytest.mark.parametrize("size, clusters", [(150, 2), (70, 4)])
+def test_clusters_that_are_not_linked(spark, monkeypatch, size, clusters):
+    """Clusters of near copies in one family, under the threshold from each other: members of one are not tried in pairs."""
+    rng = random.Random(size)
+    base, rows = [f"w{i}" for i in range(160)], []
+    for c in range(clusters):
+        middle = list(base)
+        for j in rng.sample(range(0, 160, 8), 7):
+            middle[j] = f"c{c}x{j}"
+        for i in range(size):
+            w = list(middle)
+            w[rng.randrange(160)] = f"e{c}x{i}"
+            rows.append((1000 * c + i, " ".join(w)))
+    seen, inner = {}, ngrams.staged
+
+    def counted(df, label):
+        out = inner(df, label)
+        if label in ("ngram-tries", "ngram-prefixes"):
+            seen[label] = out.count()
+        return out
+
+    monkeypatch.setattr(ngrams, "staged", counted)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(map(tuple, ngrams.join(df, 3, 90, 100).drop("text_hash", "label").collect()))
+    assert got == brute.jaccard(rows) and len({c for *_, c in got}) == clusters
+    assert seen.get("ngram-tries", 0) <= size * clusters, seen
+
+
 def test_labels_part_components_without_ids(spark):
     rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (None, "A B C D E F G"), (None, "h i j k l m"), (None, "")]
     got = ngrams.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
