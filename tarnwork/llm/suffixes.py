@@ -7,7 +7,9 @@ exchange of sorted anchor hashes, delta-coded by hash range, finds those. For th
 
 * the run of windows around a kept anchor is a segment, at most ``2 * span - k`` bytes;
 * segments are partitioned by range of the leading bytes of the suffix that starts at the anchor, between splitters
-  drawn from a bounded sample (a repeated splitter is refined by the bytes that follow);
+  drawn from a bounded sample (a repeated splitter is refined by the bytes that follow). An anchor that is a splitter more
+  than once has segments for several ranges, which differ around it: these are cut into groups of ``GROUP`` neighbouring
+  windows, and a group goes to one of those ranges by the bytes that its windows have in common;
 * each range sorts the suffixes of its segments by multikey quicksort, eight bytes a step, down to ``span`` bytes, and
   compares neighbours; equal ones find their smallest doc_id. Splitters lie between different leading strings and equal
   suffixes share their anchor's, so neighbours across a boundary always differ before the anchor's end;
@@ -16,7 +18,7 @@ exchange of sorted anchor hashes, delta-coded by hash range, finds those. For th
 
 Rows: a null text is empty. Rows of one doc_id never cut each other; a null doc_id comes after all others. Repeated
 rows are returned each, and rows without an id are dealt by their text. Texts under ``span`` bytes stay whole; longer
-ones are read a chunk at a time, however long. An empty table gives an empty result. Other columns may have any names;
+ones are read a chunk at a time, however long. A span may be of 17 to 122 bytes. An empty table gives an empty result. Other columns may have any names;
 they are kept only by ``deduplicate(keep_columns=True)``.
 """
 
@@ -34,7 +36,11 @@ from pyspark.sql import functions as F
 from .shared import partitions
 
 SPAN = 50
+#: Spans whose anchors fill a leading string and whose segments' windows fit the bits of a word.
+LEAST_SPAN, MOST_SPAN = 17, 122
 CHUNK = 1 << 19
+#: Neighbouring windows of a hot anchor that stay together.
+GROUP = 3
 _LAST = np.int64(2**63 - 1)
 _U = np.uint64
 _M = _U(0x9E3779B97F4A7C15 | 1)
@@ -196,20 +202,48 @@ def _lead(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words[at].astype(np.uint64), words[at + 8].astype(np.uint64)
 
 
+def _hashes(buf: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Of the strings of that length at the places given, a few at a time."""
+    powers = np.array([pow(int(_M), length - 1 - i, 1 << 64) for i in range(length)], np.uint64)
+    out = np.empty(len(starts), np.uint64)
+    for a in range(0, len(starts), 1 << 14):
+        at = starts[a : a + (1 << 14), None] + np.arange(length)
+        out[a : a + (1 << 14)] = (_BYTE[buf[at]] * powers).sum(axis=1, dtype=np.uint64)
+    return out
+
+
+def _hot(s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Leading words that are splitters more than once, the first range that is theirs, and how many are."""
+    new = np.flatnonzero(np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])])) if len(s1) else np.zeros(0, np.int64)
+    many = np.diff([*new, len(s1)])
+    at = new[many > 1]
+    return s1[at], s2[at], at + 1, many[many > 1]
+
+
+def _hot_of(w1: np.ndarray, w2: np.ndarray, hot: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which of the hot leading words each is; -1 for none. There are fewer of them than ranges."""
+    out = np.full(len(w1), -1)
+    likely = np.flatnonzero(np.isin(w1, hot[0])) if len(hot[0]) else ()
+    for i, (a, b) in enumerate(zip(hot[0], hot[1]) if len(likely) else ()):
+        out[likely[(w1[likely] == a) & (w2[likely] == b)]] = i
+    return out
+
+
 def _splitters(docs: DataFrame, parts: int, span: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """parts - 1 quantiles of the leading words of the anchored suffixes of a bounded sample of documents."""
+    """parts - 1 quantiles of the leading words of the anchored suffixes of a bounded sample of documents, rows without ids
+    and repeated ones alike. Equal segments of the sample, which a batch sends once, count once."""
 
     def leads(batches):
         for b in batches:
             _, buf, ends, _ = _texts(pa.Table.from_batches([b]))
-            r = runs(buf, ends, span, k)
+            r = runs(buf, ends, span, k, hashes=True)
             keep = np.argsort(r["id"], kind="stable")[: SAMPLED_EACH * b.num_rows]
             w1, w2 = _lead(buf, r["anchor"][keep])
-            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], ["w1", "w2"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (w1, w2, r["a"][keep] ^ _mix(r["b"][keep]))], ["w1", "w2", "segment"])
 
     n = docs.count()
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLED))) == 0).limit(2 * SAMPLED) if n else docs
-    rows = some.mapInArrow(leads, "w1 bigint, w2 bigint").toPandas()
+    some = docs.sample(min(1.0, SAMPLED / n), seed=7).limit(2 * SAMPLED) if n > SAMPLED else docs
+    rows = some.mapInArrow(leads, "w1 bigint, w2 bigint, segment bigint").toPandas().drop_duplicates()
     w1, w2 = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("w1", "w2"))
     order = np.lexsort((w2, w1))
     at = order[(np.arange(1, parts) * len(order)) // parts] if len(order) else order
@@ -222,10 +256,12 @@ def deduplicate(docs: DataFrame, span: int = SPAN, keep_columns: bool = False, b
     spans: array of (start, end) in bytes of the text as it came. A text cut inside a character loses the rest of it in
     the text returned, not in kept_sha256.
     """
+    if not LEAST_SPAN <= span <= MOST_SPAN:
+        raise ValueError(f"a span is of {LEAST_SPAN} to {MOST_SPAN} bytes")
     spark, names = docs.sparkSession, docs.columns
     # Names of our own on the way: groups in Arrow can't have all names that tables can.
     docs = docs.toDF(*(c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(names)))
-    k = max(8, span // 2 - 1)
+    k = max(16, span // 2 - 1)
     narrow = docs.select("doc_id", "text")
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batch_bytes = batch_bytes or min(1 << 24, max(1 << 20, total // 256))
@@ -234,6 +270,7 @@ def deduplicate(docs: DataFrame, span: int = SPAN, keep_columns: bool = False, b
     n_ranges = max(parts, total // (1 << 26))  # of anchor hashes: about 4 million in each
     n_sorted = max(parts, total // (1 << 25))  # of leading strings: an eighth of the text repeated makes them 20 MB or so each
     s1, s2 = _splitters(narrow, n_sorted, span, k)
+    hot = _hot(s1, s2)
     deal = "_batch"
     by_batch = (docs if keep_columns else narrow).withColumn(deal, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int"))
 
@@ -275,10 +312,25 @@ def deduplicate(docs: DataFrame, span: int = SPAN, keep_columns: bool = False, b
             a, b = at[i], at[i + 1]
             again[a:b] = np.unpackbits(np.frombuffer(blob, np.uint8), count=b - a).astype(bool)
         keep = np.flatnonzero(again[np.searchsorted(ids, r["id"])]) if len(ids) else np.zeros(0, np.int64)
-        first, last, anchor = (r[x][keep] for x in ("first", "last", "anchor"))
-        doc = doc_ids[np.searchsorted(ends, first, "right")] if len(keep) else np.zeros(0, np.int64)
+        first, last, anchor, a_hash, b_hash = (r[x][keep] for x in ("first", "last", "anchor", "a", "b"))
+        of_hot = _hot_of(*_lead(buf, anchor), hot) if len(hot[0]) else np.full(len(keep), -1)
+        whole, torn = of_hot < 0, np.flatnonzero(of_hot >= 0)
+        # Runs around a hot anchor: a piece for each group of windows, numbered by how far before the anchor they start.
+        nearest, groups = (anchor - last)[torn] // GROUP, (anchor - first)[torn] // GROUP - (anchor - last)[torn] // GROUP + 1
+        piece = np.repeat(torn, groups)
+        group = np.repeat(nearest, groups) + np.arange(len(piece)) - np.repeat(np.cumsum(groups) - groups, groups)
+        end = anchor[piece] - group * GROUP
+        begin, end = np.maximum(first[piece], end - GROUP + 1), np.minimum(last[piece], end)
+        common = _hashes(buf, anchor[piece] - group * GROUP, span - GROUP + 1)
+        goes_hot = np.concatenate([np.full(int(whole.sum()), -1), hot[2][of_hot[piece]] + (_mix(common) % hot[3][of_hot[piece]].astype(np.uint64)).astype(np.int64)]) if len(piece) else np.full(len(first), -1)
+        if len(piece):
+            first, last, anchor = (np.concatenate([x[whole], y]) for x, y in ((first, begin), (last, end), (anchor, anchor[piece])))
+            a_hash, b_hash = (np.concatenate([x[whole], _hashes(buf, y, span)]) for x, y in ((a_hash, begin), (b_hash, end)))
+            by_place = np.argsort(first, kind="stable")
+            first, last, anchor, a_hash, b_hash, goes_hot = (x[by_place] for x in (first, last, anchor, a_hash, b_hash, goes_hot))
+        doc = doc_ids[np.searchsorted(ends, first, "right")] if len(first) else np.zeros(0, np.int64)
         # Equal segments: both outermost windows are, and together they cover it. Rows are in the order of doc_id.
-        same = np.stack([r["a"][keep], r["b"][keep], ((last - first) * 64 + anchor - first).astype(np.uint64)])
+        same = np.stack([a_hash, b_hash, ((last - first) * 64 + anchor - first).astype(np.uint64)])
         order = np.lexsort(same)
         new = np.concatenate([[True], (same[:, order[1:]] != same[:, order[:-1]]).any(axis=0)]) if len(order) else np.zeros(0, bool)
         rep_sorted = np.cumsum(new) - 1
@@ -286,7 +338,7 @@ def deduplicate(docs: DataFrame, span: int = SPAN, keep_columns: bool = False, b
         rep[order] = rep_sorted
         lead = order[new]  # lexsort is stable: of equal segments the first, of the smallest doc_id
         w1, w2 = _lead(buf, anchor[lead])
-        goes = _place(w1, w2, s1, s2)
+        goes = np.where(goes_hot[lead] >= 0, goes_hot[lead], _place(w1, w2, s1, s2))
         by_range = np.argsort(goes, kind="stable")
         bounds = np.flatnonzero(np.concatenate([[True], goes[by_range][1:] != goes[by_range][:-1]])) if len(lead) else np.zeros(0, np.int64)
         of_range = np.empty(len(lead), np.int64)

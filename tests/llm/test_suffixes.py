@@ -49,6 +49,56 @@ def test_rows_without_ids_and_long_texts(spark):
     assert cut[1:] == (len(long), 800, 1, hashlib.sha256(kept.encode()).hexdigest())
 
 
+def ranges(spark, monkeypatch, rows, n):
+    """Facts of the rows, and bytes of each of n ranges of leading strings."""
+    df, taken = spark.createDataFrame(rows, "doc_id bigint, text string"), []
+    inner = type(df).groupBy
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "groupBy", lambda self, *c: (taken.append(self) if c == ("_range",) else None, inner(self, *c))[1])
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        found = suffixes.deduplicate(df)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = sorted((tuple(r)[:5] for r in found.drop("spans").collect()), key=str)
+    return got, [r["n"] for r in taken[1].groupBy("_range").agg(F.sum(F.length("blob")).alias("n")).collect()]
+
+
+def test_a_hot_phrase_is_dealt_to_many_ranges(spark, monkeypatch):
+    """A phrase under the span, between words that differ: its segments are all different and share their anchors."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    rows = []
+    for i in range(120):
+        some = [f"{word()} {word()} all rights reserved worldwide {word()} {word()} {word()}" for _ in range(40)]
+        rows.append((i, " ".join(some + ([rows[i - 1][1][200:900]] if i % 5 == 4 else []))))
+    got, sizes = ranges(spark, monkeypatch, rows, 32)
+    assert got == sorted(brute.suffixes(rows), key=str) and any(r[2] for r in got)
+    assert len(sizes) > 20 and max(sizes) < 4 * sum(sizes) / len(sizes)
+
+
+def test_rows_without_ids_are_sampled(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    passages = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(700)]
+    rows = [(None, rng.choice(passages) + " " + rng.choice(passages)) for _ in range(1500)]
+    _, sizes = ranges(spark, monkeypatch, rows, 16)
+    assert len(sizes) == 16 and max(sizes) < 3 * sum(sizes) / len(sizes)
+
+
+@pytest.mark.parametrize("span", [17, 30, 100, 122])
+def test_other_spans(spark, span):
+    rng = random.Random(span)
+    passages = ["".join(rng.choice("abcdeé ") for _ in range(rng.randint(20, 400))) for _ in range(8)]
+    rows = [(i, "".join(rng.choice([*passages, "xyz" * rng.randint(1, 60), str(rng.random())]) for _ in range(rng.randint(0, 5)))) for i in range(50)]
+    assert got(spark, rows, span=span) == brute.suffixes(rows, span)
+
+
+@pytest.mark.parametrize("span", [16, 123, 200])
+def test_spans_that_do_not_fit(spark, span):
+    with pytest.raises(ValueError):
+        suffixes.deduplicate(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), span=span)
+
+
 def test_empty(spark):
     assert got(spark, []) == []
 
