@@ -28,11 +28,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import adopt, shared_dir, staged
+from .shared import adopt, partitions, shared_dir, staged
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of records in one ZIP, about; bytes fetched at once, at most (or one record).
 ARCHIVE, FETCH = 16 << 20, 4 << 20
+#: Tasks that read archives, at most so many for each shuffle partition.
+READERS = 4
 RECORD = "page_id bigint, record_type string, target_uri string, payload_digest string, refers_to bigint, payload_bytes bigint, payload binary"
 
 
@@ -239,7 +241,8 @@ def read(written: DataFrame, folder: str, with_payload: bool = True) -> DataFram
                             held, size = [], 0
                     yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in held], kinds[t]) for n, t in names], [n for n, _ in names])
 
-    return written.repartition(max(1, written.count()), "path").mapInArrow(run, RECORD)
+    # A few archives a task, dealt round; the list is a written table, so it is dealt the same way again.
+    return written.repartition(max(1, min(written.count(), READERS * partitions(written.sparkSession)))).mapInArrow(run, RECORD)
 
 
 def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
