@@ -93,3 +93,13 @@ def test_scores_against_a_plain_fit(spark):
     docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, q, 0) for i, q in marks.items()], "doc_id bigint, quality int, toxic int")
     got = {r["doc_id"]: r["score"] for r in classifier.classify(docs, labels).collect()}
     assert max(abs(got[i] - want[k]) for k, (i, _) in enumerate(rows)) < 1e-5
+
+
+def test_more_labelled_rows_than_are_fitted(spark):
+    """A bound under the labelled rows: so many are taken, the same again however the rows lie."""
+    from tarnwork.llm import classifier
+
+    rows = classifier.described(spark.createDataFrame([(i, f"text {i} " * (1 + i % 7)) for i in range(400)], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(i, int(i % 7 > 3)) for i in range(400)], "doc_id bigint, quality int")
+    one, two = classifier.fit(rows, labels, 60), classifier.fit(rows.repartition(7), labels, 60)
+    assert abs(one["beta"] - two["beta"]).max() < 1e-6 and (one["mean"] == two["mean"]).all()
