@@ -144,14 +144,14 @@ def test_indexes_and_copies(spark, tmp_path):
 def test_results_and_summaries(spark, tmp_path):
     rows = spark.createDataFrame([("k1", "compliant", None), ("k2", None, "lost")], "task_key string, decision string, error string")
     sinks.write_results(rows, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/results").count() == 1 and spark.read.parquet(f"{tmp_path}/attempts").count() == 2
+    assert sinks.stored(spark, f"{tmp_path}/results").count() == 1 and sinks.stored(spark, f"{tmp_path}/attempts").count() == 2
     summary = lambda n: spark.createDataFrame([(3, n)], "tasks int, failed int")
     assert sinks.write_summary(summary(1), str(tmp_path)).endswith("attempt_summaries") and sinks.write_summary(summary(0), str(tmp_path)).endswith("/summary")
     with pytest.raises(sinks.Conflict):
         sinks.write_summary(spark.createDataFrame([(4, 0)], "tasks int, failed int"), str(tmp_path))
     reviews = spark.createDataFrame([("a", "violation"), ("b", "inconclusive")], "review_key string, decision string")
     sinks.record_reviews(reviews, f"{tmp_path}/ledger")
-    assert [r["review_key"] for r in spark.read.parquet(f"{tmp_path}/ledger").collect()] == ["a"]
+    assert [r["review_key"] for r in sinks.stored(spark, f"{tmp_path}/ledger").collect()] == ["a"]
 
 
 def test_stored_pairs(spark):

@@ -149,7 +149,7 @@ def test_create_only(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.create_only(rows(("a", 1), ("a", 1)), path, "k")
     sinks.create_only(rows(("a", 1), ("b", 2)), path, "k")
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1), ("b", 2)]
+    assert sorted(map(tuple, sinks.stored(spark, path).collect())) == [("a", 1), ("b", 2)]
     with pytest.raises(sinks.Conflict):
         sinks.create_only(rows(("a", 9)), path, "k")
     m = lambda v, at: spark.createDataFrame([("r", v, at)], "run_id string, v int, generated_at int")
@@ -160,7 +160,7 @@ def test_create_only(spark, tmp_path):
     ev = lambda *x: spark.createDataFrame(x, "run_id string, state string, updated_at int")
     sinks.append_events(ev(("r", "queued", 1)), str(tmp_path / "e"), runs.STATES)
     sinks.append_events(ev(("r", "preparing", 2), ("s", "queued", 1)), str(tmp_path / "e"), runs.STATES)
-    assert sorted((r["run_id"], r["sequence"]) for r in spark.read.parquet(str(tmp_path / "e")).collect()) == [("r", 1), ("r", 2), ("s", 1)]
+    assert sorted((r["run_id"], r["sequence"]) for r in sinks.stored(spark, str(tmp_path / "e")).collect()) == [("r", 1), ("r", 2), ("s", 1)]
     with pytest.raises(ValueError):
         sinks.append_events(ev(("r", "odd", 3)), str(tmp_path / "e"), runs.STATES)
 
