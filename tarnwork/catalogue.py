@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .functions import hashing
 from .functions import text as T
-from .operators import bundles, delta, evidence, identity, payloads, reports, rules, runs, scope, selection, similarity, verdicts, workspace
+from .operators import bundles, delta, evidence, identity, payloads, reports, rules, runs, scope, selection, similarity, target_index, verdicts, workspace
 from .sources import envelopes
-from .storage import shared_dir
+from .storage import adopt, shared_dir
 from .streaming import run_states
 
 _QUERIES: dict = {}
@@ -206,13 +206,32 @@ def minhash_signatures(spark, d):
 _TARGET = "(SELECT max(doc_id) FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE text<>'' GROUP BY lang, sha256(text) HAVING count(DISTINCT source)>1))"
 
 
-@query(f"WITH {_JACCARD} SELECT lang lab_id, x first_id, y second_id, CASE WHEN dx=dy THEN 'exact_submission' ELSE 'exhaustive_jaccard' END signal, jaccard FROM m WHERE jaccard>=0.7 AND {_TARGET} IN (x, y)")
+_AGAINST = f"WITH {_JACCARD} SELECT lang lab_id, x first_id, y second_id, CASE WHEN dx=dy THEN 'exact_submission' ELSE 'exhaustive_jaccard' END signal, jaccard FROM m WHERE jaccard>=0.7 AND {_TARGET} IN (x, y)"
+
+
+def _target(e):
+    """The last document that another source has too."""
+    shared = e.filter("changed_files").groupBy("lab_id", "input_digest").agg(F.count_distinct("owner").alias("n"), F.max("id").alias("id")).filter("n > 1")
+    return e.join(shared.agg(F.max("id").alias("id")), "id")
+
+
+@query(_AGAINST)
 def target_vs_corpus(spark, d):
-    """The last document that another source has too, against its language."""
+    """One document against all of its language."""
     e = entities(spark, d)
-    shared = e.filter("changed_files").groupBy("lab_id", "input_digest").agg(F.count_distinct("owner").alias("n"), F.max("id").alias("id")).filter("n > 1")
-    target = e.join(shared.agg(F.max("id").alias("id")), "id")
-    return similarity.target_against(e, target)
+    return similarity.target_against(e, _target(e))
+
+
+@query(_AGAINST)
+def target_from_index(spark, d):
+    """The same from an index of all documents, made in two additions."""
+    import uuid
+
+    path, e = f"{shared_dir(spark)}/target-index-{uuid.uuid4().hex}", entities(spark, d)
+    adopt(path, spark)
+    for i in (0, 1):
+        target_index.add(e.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == i), path, f"half-{i}")
+    return target_index.probe(path, _target(e))
 
 
 @query("SELECT conv_id submission_id, bool_or(r IS NOT NULL) incomplete FROM (SELECT conv_id, CASE WHEN sum(least(strlen(text), 400)) OVER (PARTITION BY conv_id ORDER BY turn)>1500 OR strlen(text)>400 THEN 1 END r FROM conversations) GROUP BY 1 HAVING bool_or(r IS NOT NULL)")

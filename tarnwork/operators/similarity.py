@@ -190,13 +190,13 @@ def exclusions(entities: DataFrame, near_layer: str = "minhash_lsh") -> DataFram
     return entities.filter("incomplete").select("id", "lab_id", F.lit("incomplete_baseline_delta").alias("reason"), F.array(F.lit("exact_delta"), F.lit(near_layer)).alias("skipped_layers"))
 
 
-def target_against(entities: DataFrame, target: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One target (a row of entities) against its lab: every identical pair is exact, others by Jaccard."""
-    t = target.select("lab_id", F.col("id").alias("id2"), F.col("owner").alias("owner2"), F.col("submitted_at").alias("submitted_at2"), F.col("input_digest").alias("_d"), F.col("delta_digest").alias("_e"), F.col("shingles").alias("_y"), F.col("incomplete").alias("_p"), F.col("changed_files").alias("_f"))
+def against_target(entities: DataFrame, target: DataFrame, sets: str, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of entities with one target (a row alike), by the first signal that holds; sets: the column of either's set."""
+    t = target.select("lab_id", F.col("id").alias("id2"), F.col("owner").alias("owner2"), F.col("submitted_at").alias("submitted_at2"), F.col("input_digest").alias("_d"), F.col("delta_digest").alias("_e"), F.col(sets).alias("_y"), F.col("incomplete").alias("_p"), F.col("changed_files").alias("_f"))
     met = entities.join(F.broadcast(t), "lab_id").filter((F.col("owner") != F.col("owner2")))  # the target is one row
     whole = ~F.col("incomplete") & ~F.col("_p")
-    some = (F.size("shingles") > 0) & (F.size("_y") > 0)
-    jaccard = jaccard_of(F.col("shingles"), F.col("_y"))
+    some = (F.size(sets) > 0) & (F.size("_y") > 0)
+    jaccard = jaccard_of(F.col(sets), F.col("_y"))
     signal = (
         F.when((F.col("input_digest") == F.col("_d")) & (F.col("changed_files") | F.col("incomplete")) & (F.col("_f") | F.col("_p")), SIGNALS[0])
         .when(whole & some & (F.col("delta_digest") == F.col("_e")), SIGNALS[1])
@@ -205,6 +205,12 @@ def target_against(entities: DataFrame, target: DataFrame, threshold: float = TH
     return _oriented(met.select("lab_id", "id", "submitted_at", "id2", "submitted_at2", signal.alias("signal"), jaccard.alias("jaccard")).filter("signal is not null"))
 
 
+def target_against(entities: DataFrame, target: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One target (a row of entities) against its lab: every identical pair is exact, others by Jaccard. Reads the whole
+    lab; ``target_index`` answers the same from an index."""
+    return against_target(entities, target, "shingles", threshold)
+
+
 def owner_pairs(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     """Findings by unordered pair of owners."""
     own = lambda c, n: entities.select(F.col("id").alias(c), F.col("owner").alias(n))
