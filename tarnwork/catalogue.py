@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from .functions import hashing
 from .functions import text as T
-from .operators import bundles, delta, evidence, identity, payloads, reports, rules, runs, scope, selection, similarity, target_index, verdicts, workspace
+from .operators import bundles, delta, evidence, identity, nested, payloads, reports, rules, runs, scope, selection, similarity, target_index, verdicts, workspace
 from .sources import envelopes
 from .storage import adopt, shared_dir
-from .streaming import run_states
+from .streaming import latest, run_states
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -840,6 +840,63 @@ def split_parts(spark, d):
     return t(spark, d, "documents").select("doc_id", F.explode(evidence.split(1000)("text")).alias("_p")).select("doc_id", "_p.*")
 
 
+@query("""
+WITH c AS (SELECT click_id, CASE WHEN json_valid(props) THEN props::JSON END j FROM clicks WHERE click_id IS NOT NULL),
+e AS (SELECT click_id, fullkey, len(regexp_extract_all(fullkey, '[.]|[[]')) depth, key='qty' AND TRY_CAST(value::VARCHAR AS BIGINT)>5 cut FROM c, json_tree(j) WHERE fullkey<>'$')
+SELECT click_id, count(fullkey) entries, coalesce(max(depth), 0)::INT depth, max(fullkey) last_path, coalesce(bool_or(cut), false) truncated FROM (SELECT DISTINCT click_id FROM c) LEFT JOIN e USING (click_id) GROUP BY 1""")
+def nested_values(spark, d):
+    """Every value in what a click says, at whatever depth, and whether a count in it is over five."""
+    c = t(spark, d, "clicks").filter("click_id is not null").select("click_id", F.try_parse_json("props").alias("v"))
+    every = nested.entries(c, "v", "click_id")
+    said = (F.col("name") == "qty") & (F.try_variant_get("value", "$", "bigint") > 5)
+    some = every.groupBy("click_id").agg(F.count("*").alias("entries"), F.max("depth").alias("depth"), F.max("path").alias("last_path"), F.bool_or(F.coalesce(said, F.lit(False))).alias("truncated"))
+    return c.select("click_id").distinct().join(some, "click_id", "left").fillna({"entries": 0, "depth": 0, "truncated": False})
+
+
+@query("""
+WITH s AS (SELECT client_id, epoch_us(ts) a, epoch_us(ts)+floor(value)::BIGINT*1000000 b FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL AND isfinite(value) AND floor(value)>0),
+o AS (SELECT *, max(b) OVER (PARTITION BY client_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) m FROM s),
+g AS (SELECT *, sum((m IS NULL OR a>m)::INT) OVER (PARTITION BY client_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) k FROM o),
+i AS (SELECT client_id, k, count(*) n, max(b)-min(a) len FROM g GROUP BY 1, 2)
+SELECT client_id, sum(n)::BIGINT spans, count(*) stretches, sum(len)::BIGINT covered FROM i GROUP BY 1""")
+def covered_time(spark, d):
+    """How long each client was busy, if a click takes as many seconds as its value says: stretches of clicks that overlap."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    seconds = F.floor("value").cast("long")
+    c = t(spark, d, "clicks").filter("client_id is not null and ts is not null and not isnan(value)").select("client_id", at.alias("start"), (at + seconds * 1_000_000).alias("end"))
+    return evidence.coverage(c, "client_id")
+
+
+@query("SELECT user_id%50 submission_id, event_id%7 counterpart_id, arg_max(event_id, (ts, event_id)) review_key FROM events GROUP BY 1, 2")
+def latest_index_stream(spark, d):
+    """The latest report of each pair, as a stream of all events keeps it, a batch at a time."""
+    import uuid
+
+    source, out = (adopt(f"{shared_dir(spark)}/{x}-{uuid.uuid4().hex}", spark) for x in ("reports", "latest"))
+    r = t(spark, d, "events").select((F.col("user_id") % 50).alias("submission_id"), (F.col("event_id") % 7).alias("counterpart_id"), F.col("ts").alias("completed_at"), F.col("event_id").alias("review_key"))
+    r.write.option("maxRecordsPerFile", 50_000).parquet(source)
+    stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", "4").parquet(source)
+    latest.keep_latest(stream, out, ("submission_id", "counterpart_id")).awaitTermination()
+    return latest.generation(spark, out, ("submission_id", "counterpart_id")).select("submission_id", "counterpart_id", "review_key")
+
+
+@query()
+def admission_stream(spark, d):
+    """A bounded queue for each client over all sales, which are done when they arrive; a test holds queues against plain ones."""
+    import uuid
+
+    from .streaming import stateful
+
+    source, spot, out = (adopt(f"{shared_dir(spark)}/{x}-{uuid.uuid4().hex}", spark) for x in ("requests", "spot", "admitted"))
+    sales = t(spark, d, "sales").filter("client_id is not null and sale_id is not null")
+    each = lambda kind, at: sales.filter(F.col(at).isNotNull()).select(F.col("client_id").cast("string").alias("queue"), F.col("sale_id").cast("string").alias("run_id"), F.lit(kind).alias("kind"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"))
+    rows = each("request", "sold_at").unionByName(each("finished", "arrived_at").filter("at is not null"))
+    rows.write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    stateful.start_admission(stream, 2, spot, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).awaitTermination()
+    return spark.read.parquet(f"{out}/batch=*").drop("batch")
+
+
 @query(f"WITH {_CURRENT} SELECT run_id::VARCHAR run_id, state, error_code, sequence, attempts FROM c2")
 def run_state_stream(spark, d):
     """A stream of all events, a batch at a time."""
@@ -908,29 +965,29 @@ def admission(spark, d):
     return runs.admit(c, known, ["user"], 50).select("run_id", "admitted")
 
 
-_PAYLOAD = """{"schema_version":1,"audience":"checker","submission":{"id":"@ID@","owner":"o","lab_id":"l","score":@SCORE@,"input_digest":"@SHA@","submitted_at":"2024-01-01T00:00:00Z",
+_PAYLOAD = """{"schema_version":@VERSION@,"audience":"@AUDIENCE@","submission":{"id":"@ID@","owner":"o","lab_id":"l","score":@SCORE@,"input_digest":"@SHA@","submitted_at":"2024-01-01T00:00:00Z",
 "input_manifest":{},"lab_definition":{},"active_run":{"id":7,"state":"Success","result_info":{},"score":null,"performance":1.5,"finished_at":"2024-01-01T00:00:00Z"}},
 "basis":{"commit":"c","tree_digest":"@SHA@","document_digest":"@SHA@","source_path":"s","document_path":"d","public_references":[{"repository":"r","revision":"v","tree_digest":"@REF@","path_prefix":"p"}]},
 "model":"m","source":"@SOURCE@","rules_version":"r","prompt_version":"p","tool_version":"t","result_schema_version":"x","issued_at":"2024-01-01T00:00:00Z","expires_at":"@END@","nonce":"0123456789abcdef"@MORE@}"""
 
 
 @query("""
-SELECT doc_id, CASE doc_id%9 WHEN 0 THEN 'payload.submission.id is not uuid' WHEN 1 THEN 'payload.source is not one of manual, nightly' WHEN 2 THEN 'payload has other fields'
+SELECT doc_id, CASE doc_id%11 WHEN 9 THEN 'payload.schema_version is not one of 1' WHEN 10 THEN 'payload.audience is not one of checker' WHEN 0 THEN 'payload.submission.id is not uuid' WHEN 1 THEN 'payload.source is not one of manual, nightly' WHEN 2 THEN 'payload has other fields'
     WHEN 3 THEN 'payload.submission.score is not count' WHEN 4 THEN 'it is valid for more than 15 minutes' WHEN 5 THEN 'a nightly payload names another model'
     WHEN 6 THEN 'payload.basis.public_references[].tree_digest is not digest' WHEN 7 THEN 'it is not valid now' END error
 FROM labels""")
 def payload_errors(spark, d):
-    k = F.col("doc_id") % 9
+    k = F.col("doc_id") % 11
     case = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
     given = {
         "@ID@": case(0, "x", F.format_string("00000000-0000-4000-8000-%012d", "doc_id")), "@SOURCE@": case(5, "nightly", case(1, "weekly", "manual")), "@MORE@": case(2, ',"more":1', ""), "@SCORE@": case(3, "-1", "60"),
-        "@END@": case(4, "2024-01-01T00:16:00Z", case(7, "2024-01-01T00:05:00Z", "2024-01-01T00:15:00Z")), "@REF@": case(6, "zz", F.repeat(F.lit("b"), F.lit(64))), "@SHA@": F.repeat(F.lit("a"), F.lit(64)),
+        "@END@": case(4, "2024-01-01T00:16:00Z", case(7, "2024-01-01T00:05:00Z", "2024-01-01T00:15:00Z")), "@REF@": case(6, "zz", F.repeat(F.lit("b"), F.lit(64))), "@SHA@": F.repeat(F.lit("a"), F.lit(64)), "@VERSION@": case(9, "2", "1"), "@AUDIENCE@": case(10, "other", "checker"),
     }
     text = F.lit(_PAYLOAD)
     for mark, value in given.items():
         text = F.replace(text, F.lit(mark), value)
     rows = t(spark, d, "labels").select("doc_id", text.alias("text"))
-    return envelopes.review_errors(rows, F.lit("2024-01-01 00:10:00").cast("timestamp"), "n").select("doc_id", "error")
+    return envelopes.review_errors(rows, F.lit("2024-01-01 00:10:00").cast("timestamp"), "n", 1, "checker").select("doc_id", "error")
 
 
 @query("""

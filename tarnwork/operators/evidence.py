@@ -132,3 +132,30 @@ def referenced_definitions(hunks: DataFrame, unchanged: DataFrame) -> DataFrame:
     used = hunks.select("submission_id", "path", "item_index", F.explode(T.identifiers(F.col("text"))).alias("symbol"))
     known = unchanged.select("submission_id", F.col("path").alias("defined_in"), F.explode(T.definitions(F.col("content"))).alias("_d")).select("submission_id", "defined_in", F.col("_d.name").alias("symbol"), F.col("_d.value").alias("value"))
     return used.join(known, ["submission_id", "symbol"]).filter(F.col("path") != F.col("defined_in"))
+
+
+def coverage(spans: DataFrame, *key: str, start: str = "start", end: str = "end") -> DataFrame:
+    """key.., spans, stretches, covered: how many spans [start, end) there are, how many stretches they make together, and
+    how long these are. Spans that overlap or touch are one stretch; empty ones cover nothing."""
+    some = spans.filter(F.col(start) < F.col(end)).select(*key, F.col(start).alias("_a"), F.col(end).alias("_b"))
+    # Equal spans once, with their number: what a window has to sort is what differs.
+    each = some.groupBy(*key, "_a", "_b").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*key).orderBy("_a", "_b")
+    before = F.max("_b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = each.withColumn("_before", before)
+    adds = F.greatest(F.col("_b") - F.greatest("_a", F.coalesce("_before", F.col("_a"))), F.lit(0))
+    opens = F.col("_before").isNull() | (F.col("_a") > F.col("_before"))
+    return new.groupBy(*key).agg(F.sum("_n").alias("spans"), F.count_if(opens).alias("stretches"), F.sum(adds).alias("covered"))
+
+
+def statistics(delta_files: DataFrame, bundle_files: DataFrame) -> DataFrame:
+    """submission_id and counts of what its evidence is made of: files, bytes read and cut ones of its bundle; files and hunks
+    of its delta (a file without hunks counts as one); build and run files, cut ones of these, and files left out as unchanged."""
+    runs = T.basename(F.col("path")).isin(*T.EXECUTION_NAMES)
+    cut = F.col("omission_reason").isNotNull()
+    whole = bundle_files.groupBy("submission_id").agg(
+        F.count("*").alias("file_count"), F.sum("bytes_read").cast("long").alias("bytes_read"), F.count_if(cut).alias("truncated_file_count"), F.count_if(runs).alias("context_file_count"),
+        F.count_if(runs & cut).alias("truncated_context_file_count"), F.count_if(~runs).alias("omitted_unchanged_file_count"),
+    )
+    changed = delta_files.groupBy("submission_id").agg(F.count("*").alias("delta_file_count"), F.sum(F.greatest(F.size("hunks"), F.lit(1))).cast("long").alias("hunk_count"))
+    return whole.join(changed, "submission_id", "left").fillna(0, ["delta_file_count", "hunk_count"])

@@ -23,10 +23,11 @@ MIN_FILES, MIN_BYTES, MIN_RATIO = 8, 128_000, 0.3
 def closure(edges: DataFrame, roots: DataFrame, *scope: str) -> DataFrame:
     """(scope.., node) of all nodes reachable over edges (scope.., src, dst) from roots (scope.., node).
 
-    Breadth first; a node is followed once, so cycles end. Each frontier is a table in the shared folder, and the loop
-    runs as often as the longest shortest path.
+    Breadth first; a node is followed once, so cycles end. Edges are a table of their own, read in each round and made
+    once; so is each frontier, and the loop runs as often as the longest shortest path.
     """
     key = [*scope, "node"]
+    edges = staged(edges.select(*scope, "src", "dst"), "closure-edges")
     seen = frontier = staged(roots.select(*key).distinct(), "closure")
     while frontier.take(1):
         step = frontier.join(edges.select(*scope, F.col("src").alias("node"), "dst"), key).select(*scope, F.col("dst").alias("node")).distinct()

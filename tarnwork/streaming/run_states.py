@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from ..operators import runs
 from ..storage import shared_dir
 
-#: Requests held at most, and files that a batch takes in at most.
-QUEUE, FILES = 1000, 16
-
 
 def run_states(events: DataFrame) -> DataFrame:
     """Stream of events (run_id, state, updated_at, error_code, sequence) to a row for each run that changed in a batch.
@@ -43,13 +40,3 @@ def settled(spark, path: str) -> DataFrame:
     every = spark.read.parquet(f"{path}/batch=*")
     row = F.max_by(F.struct("state", "updated_at", "error_code", "sequence", "attempts"), F.struct("sequence", "attempts"))
     return every.groupBy("run_id").agg(row.alias("_r")).select("run_id", "_r.*")
-
-
-def reconciled(spark, path: str, requeue, batch: int, every: str = "5 minutes", manual: bool = True):
-    """Start a clock that, at each tick, hands the due failed runs (a DataFrame) to requeue: the batch's size at most."""
-
-    def tick(_: DataFrame, number: int) -> None:
-        requeue(runs.reconcile(settled(spark, path).withColumn("source", F.lit("manual" if manual else "nightly")), batch, manual))
-
-    clock = spark.readStream.format("rate").option("rowsPerSecond", "1").load()
-    return clock.writeStream.trigger(processingTime=every).foreachBatch(tick).start()

@@ -79,7 +79,7 @@ SHA, ONE, TWO = "a" * 64, "00000000-0000-4000-8000-000000000001", "00000000-0000
 def pair_payload(**change):
     member = lambda i: {"id": i, "owner": "o", "lab_id": "l", "score": 3, "input_digest": SHA, "submitted_at": "2024-01-01T00:00:00Z", "input_manifest": {"files": [{"path": "a", "size": 1, "sha256": SHA}]}}
     out = {
-        "schema_version": 1, "audience": "x", "target_submission_id": ONE, "submissions": [member(ONE), member(TWO)], "lab_definition": {"k": 1}, "model": "m", "source": "manual", "rules_version": "r",
+        "schema_version": 1, "audience": "checker", "target_submission_id": ONE, "submissions": [member(ONE), member(TWO)], "lab_definition": {"k": 1}, "model": "m", "source": "manual", "rules_version": "r",
         "basis": {"commit": "c", "tree_digest": SHA, "document_digest": SHA, "source_path": "s", "document_path": "d", "public_references": []}, "prompt_version": "plagiarism-v2",
         "result_schema_version": "plagiarism-result-v1", "issued_at": "2024-01-01T00:00:00Z", "expires_at": "2024-01-01T00:10:00Z", "nonce": "n" * 16,
     }
@@ -92,12 +92,13 @@ def test_pair_payloads(spark):
         (pair_payload(), None), ("{", "not JSON"), (pair_payload(extra=1), "payload has other fields"), (pair_payload(submissions=[]), "the corpus is not of 1 to 1000 submissions"),
         (pair_payload(submissions=[good[0], good[0]]), "a submission comes twice"), (pair_payload(submissions=[good[0], good[1] | {"lab_id": "m"}]), "submissions are of several labs"),
         (pair_payload(submissions=[good[1]]), "the target is not in the corpus"), (pair_payload(submissions=[good[0] | {"score": True}]), "payload.submissions[].score is not count"),
+        (pair_payload(schema_version=2), "payload.schema_version is not one of 1"), (pair_payload(schema_version="1"), "payload.schema_version is not one of 1"), (pair_payload(audience="other"), "payload.audience is not one of checker"),
         (pair_payload(nonce="short"), "payload.nonce is not nonce"), (pair_payload(expires_at="2024-01-01T01:00:00Z"), "it is valid for more than 15 minutes"),
     ]
     rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, text string")
-    got = {r["i"]: r["error"] for r in envelopes.pair_errors(rows, F.lit("2024-01-01 00:05:00").cast("timestamp")).collect()}
+    got = {r["i"]: r["error"] for r in envelopes.pair_errors(rows, F.lit("2024-01-01 00:05:00").cast("timestamp"), 1, "checker").collect()}
     assert got == {i: e for i, (_, e) in enumerate(cases)}
-    corpus = envelopes.corpus(rows.filter("i = 0")).collect()
+    corpus = envelopes.corpus(rows, F.lit("2024-01-01 00:05:00").cast("timestamp"), 1, "checker").collect()
     assert [(r["target_id"], r["id"], r["input_manifest"]["files"][0]["path"]) for r in corpus] == [(ONE, ONE, "a"), (ONE, TWO, "a")]
 
 
