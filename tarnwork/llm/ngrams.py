@@ -263,9 +263,11 @@ def candidates(sent: DataFrame) -> DataFrame:
     """
     # A set of many copies is sent more than once with one run, so what is left, each once, must share runs as well. Table
     # by table, so that the shuffle files of one step are gone when the next writes its own.
-    first = staged(_shared(sent.filter(F.col("run").isNotNull()).select("run", F.col("member").alias("node"))), "ngram-members")
-    once = staged(first.distinct(), "ngram-members")
-    discard(first)
+    # The first step moves all signatures, so it takes them in two halves by their sign: half the shuffle lies on the disk.
+    every = sent.select("run", F.col("member").alias("node"))
+    halves = [staged(_shared(every.filter(half)), "ngram-members") for half in ("run < 0", "run >= 0")]
+    once = staged(halves[0].unionByName(halves[1]).distinct(), "ngram-members")
+    discard(*halves)
     members = staged(_shared(once), "ngram-members")
     discard(once)
     needs = sent.filter(F.col("need_0").isNotNull()).groupBy("node").agg(F.min("need_0").alias("need_0"), F.min("need_1").alias("need_1"))
