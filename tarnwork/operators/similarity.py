@@ -222,8 +222,18 @@ MOST_CANDIDATES = 100
 
 
 def corpus_rank(entities: DataFrame) -> DataFrame:
-    """entities with their place (from 1) in their lab, by time and id."""
-    return entities.withColumn("place", F.row_number().over(Window.partitionBy("lab_id").orderBy("submitted_at", "id")))
+    """entities with their place (from 1) in their lab, by time and id.
+
+    Rows are dealt by ranges of lab, time and id, so that a large lab takes several tasks; a row's place is that in its
+    range and what the lab has in the ranges before. The ranges are a table, so that they are the same in both uses."""
+    order = ["lab_id", "submitted_at", "id"]
+    ranged = staged(entities.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "corpus-ranges")
+    sizes = ranged.groupBy("lab_id", "_range").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("lab_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("lab_id", "_range", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("lab_id", "_range").orderBy("submitted_at", "id"))
+    placed = ranged.withColumn("place", nth).join(before, ["lab_id", "_range"])
+    return placed.select(*entities.columns, (F.col("place") + F.col("_before")).alias("place"))
 
 
 def in_order(candidates: DataFrame) -> DataFrame:

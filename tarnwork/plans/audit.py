@@ -50,7 +50,7 @@ class Result:
 
 
 def plan(request: Request, submissions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """History, best and plan-mode tasks: a review of each best one, and exact duplicates of the whole history."""
+    """History, best and plan-mode tasks in order: a review of each best one, and exact duplicates of the whole history."""
     s = request.settings
     history = selection.eligible(submissions, s.minimum_score, F.lit(request.cutoff).cast("timestamp"), request.labs, request.owners, request.ids)
     best = selection.best(history)
@@ -60,7 +60,7 @@ def plan(request: Request, submissions: DataFrame) -> tuple[DataFrame, DataFrame
         pairs.select(F.lit("exact_duplicate").alias("kind"), "lab_id", "first_id", "second_id")
     )
     key = F.sha2(F.concat_ws("\0", "kind", "lab_id", "first_id", F.coalesce("second_id", F.lit(""))), 256)
-    return history, best, tasks.withColumn("task_key", key)
+    return history, best, reports.in_order(tasks.withColumn("task_key", key))
 
 
 def basis_of(baseline: DataFrame, documents: DataFrame | None = None) -> DataFrame:

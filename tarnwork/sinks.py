@@ -158,10 +158,10 @@ def owner_index(reports: DataFrame, path: str) -> DataFrame:
 
 
 def pair_index(reports: DataFrame, path: str) -> DataFrame:
-    """A folder a lab with its pairs, each under the smaller id first. Written anew from the reports."""
+    """A folder a lab with its pairs, each under the smaller id first; Spark splits a large lab. Written anew from the reports."""
     low, high = F.least("first_id", "second_id"), F.greatest("first_id", "second_id")
     some = reports.select("lab_id", low.alias("low_id"), high.alias("high_id"), "decision", "relationship", "jaccard", "review_key", "completed_at")
-    some.repartition("lab_id").sortWithinPartitions("lab_id", "low_id", "high_id").write.mode("overwrite").partitionBy("lab_id").parquet(path)
+    some.hint("rebalance", "lab_id").sortWithinPartitions("lab_id", "low_id", "high_id").write.mode("overwrite").partitionBy("lab_id").parquet(path)
     return reports.sparkSession.read.parquet(path)
 
 
