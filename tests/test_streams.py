@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwork import versions
 from tarnwork.operators import reports, runs
-from tarnwork.streaming import latest, stateful
+from tarnwork.streaming import latest, run_states, stateful
 
 EVENT = "run_id string, sequence bigint, state string, updated_at bigint, error_code string, source string"
 
@@ -152,3 +152,16 @@ def test_old_rows_go_when_parts_are_put_together(spark, tmp_path, monkeypatch):
     for i, at in enumerate((5, 50, 60)):
         latest.upsert(spark.createDataFrame([(f"s{i}", "c", at, "k", "x")], REPORT), str(tmp_path), KEYS, alive=F.col("completed_at") >= 10)
     assert sorted(r["submission_id"] for r in latest.generation(spark, str(tmp_path), KEYS).collect()) == ["s1", "s2"]
+
+
+def test_requests_are_created_once(spark, tmp_path):
+    """The same payload in two batches, and twice in one, makes one run."""
+    source, out, spot = (str(tmp_path / x) for x in ("in", "out", "spot"))
+    schema = "payload string, created_at timestamp"
+    for day, payloads in ((1, ["a", "b", "a"]), (1, ["b", "c"])):
+        rows = spark.createDataFrame([(p, f"2024-01-0{day} 00:00:0{i}") for i, p in enumerate(payloads)], "payload string, at string")
+        rows.select("payload", F.col("at").cast("timestamp").alias("created_at")).coalesce(1).write.mode("append").parquet(source)
+        made = run_states.created_once(spark.readStream.schema(schema).parquet(source))
+        made.writeStream.format("parquet").option("path", out).option("checkpointLocation", spot).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert sorted(r["payload"] for r in got) == ["a", "b", "c"] and len({r["run_id"] for r in got}) == 3
