@@ -116,15 +116,18 @@ def budgets(rows: DataFrame, key: str, most: int | str, name: str = "path", size
     """rows with budget, by key; a key's rows are its bundle's files, bounded by the file limits. most: a number, or the
     column that has it for the key (which goes)."""
     given = most if isinstance(most, str) else None
-    names = [f for f in rows.schema if f.name != given]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        limit = int(pdf[given].iloc[0]) if given else most
-        pdf["budget"] = allocate(pdf[size].astype(int).tolist(), pdf[priority].astype(int).tolist(), pdf[name].tolist(), limit)
-        return pdf.drop(columns=[given]) if given else pdf
-
-    return rows.groupBy(key).applyInPandas(one, f"{fields}, budget bigint")
+    kept = [c for c in rows.columns if c != given]
+
+    @F.pandas_udf("array<bigint>")
+    def shares(sizes: pd.Series, priorities: pd.Series, names: pd.Series, limits: pd.Series) -> pd.Series:
+        return pd.Series([allocate(s.tolist(), p.tolist(), n.tolist(), int(m)) for s, p, n, m in zip(sizes, priorities, names, limits)])
+
+    # A key's rows as one row: Arrow then has batches of many keys, where a group a key would have one of few rows each.
+    limit = (F.first(given) if given else F.lit(most)).cast("long")
+    held = rows.groupBy(key).agg(F.collect_list(F.struct(*kept)).alias("_r"), limit.alias("_most"))
+    column = lambda c, kind: F.transform("_r", lambda r: r[c].cast(kind))
+    shared = held.withColumn("_b", shares(column(size, "long"), column(priority, "long"), column(name, "string"), F.col("_most")))
+    return shared.select(F.explode(F.arrays_zip("_r", "_b")).alias("_x")).select("_x._r.*", F.col("_x._b").alias("budget"))
 
 
 def referenced_definitions(hunks: DataFrame, unchanged: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ def delta_files(deltas: DataFrame, budget: DataFrame) -> DataFrame:
     """submission_id, files, truncated: changed files with their hunks, each hunk cut to its share of its file's share.
 
     budget: submission_id, delta_chars. Texts are met with their shares by (submission, path, hunk); only sizes are shared out.
+    deltas are read several times, so they should be a table.
     """
     hunks = deltas.select("submission_id", "path", "baseline_kind", "baseline_revision", F.length("added_text").alias("added_chars"), F.length("removed_text").alias("removed_chars"), F.posexplode("hunks").alias("index", "hunk"))
     sizes = hunks.select("submission_id", "path", "index", F.length("hunk.lines").cast("long").alias("size"))
