@@ -6,16 +6,20 @@ import difflib
 import hashlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import canonical
+from ..storage import staged
 from . import rules
 
 HUNKS = "array<struct<old_start: bigint, old_count: bigint, new_start: bigint, new_count: bigint, lines: string>>"
 CHANGE = f"struct<added_text: string, removed_text: string, hunks: {HUNKS}>"
 CONTEXT = 3
+#: Characters of baseline text that are broadcast at most, and file pairs that are compared before their results go out.
+BROADCAST, TOGETHER = 1 << 25, 64
 
 
 def compare(old: str, new: str) -> dict:
@@ -34,19 +38,33 @@ def compare(old: str, new: str) -> dict:
     return {"added_text": "".join(x for _, _, _, m, n in changes for x in b[m:n]), "removed_text": "".join(x for _, i, j, _, _ in changes for x in a[i:j]), "hunks": hunks}
 
 
-def change(old_column, new_column):
-    """A file at a time; sizes are bounded by the file budget."""
+def _changes(rows: DataFrame, old: str, new: str) -> DataFrame:
+    """rows with _c, the CHANGE of two columns that go. A worker holds the texts and results of a few files at a time, not
+    those of an Arrow batch; sizes are bounded by the file budget."""
+    kept = [f for f in rows.schema if f.name not in (old, new)]
 
-    @F.pandas_udf(CHANGE)
-    def run(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([compare(o or "", n or "") for o, n in zip(old, new)], columns=["added_text", "removed_text", "hunks"])
+    def run(batches):
+        kind = None
+        for batch in batches:
+            for i in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(i, TOGETHER)
+                found = [compare(o or "", n or "") for o, n in zip(part.column(old).to_pylist(), part.column(new).to_pylist())]
+                kind = kind or pa.struct([("added_text", pa.string()), ("removed_text", pa.string()), ("hunks", pa.list_(pa.struct([*((n, pa.int64()) for n in ("old_start", "old_count", "new_start", "new_count")), ("lines", pa.string())])))])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(found, kind)], names=[*(f.name for f in kept), "_c"])
 
-    return run(old_column, new_column)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return rows.mapInArrow(run, f"{fields}, _c {CHANGE}")
 
 
 def against_baseline(files: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Files (submission_id, lab_id, path, content, omission_reason) beside their baseline text; none is an addition."""
-    base = baseline.select("lab_id", "path", F.col("content").alias("baseline_text"), F.col("revision").alias("baseline_revision"), F.col("kind").alias("_kind"))
+    """Files (submission_id, lab_id, path, content, omission_reason) beside their baseline text; none is an addition.
+
+    Few labs have many files each, so texts are not dealt by lab: a baseline within BROADCAST goes to the files. A larger
+    one meets them by shuffle, as a table of its own, so that Spark splits what is hot."""
+    base = staged(baseline.select("lab_id", "path", F.col("content").alias("baseline_text"), F.col("revision").alias("baseline_revision"), F.col("kind").alias("_kind")), "baseline")
+    taken = base.agg(F.sum(F.coalesce(F.length("baseline_text"), F.lit(0)) + 64)).first()[0] or 0
+    if taken <= BROADCAST:
+        base = F.broadcast(base)
     out = files.filter("omission_reason is null").join(base, ["lab_id", "path"], "left")
     return out.withColumn("baseline_kind", F.coalesce("_kind", F.lit("submission_addition"))).withColumn("baseline_text", F.coalesce("baseline_text", F.lit(""))).drop("_kind")
 
@@ -64,10 +82,11 @@ def removed_files(files: DataFrame, baseline: DataFrame, patterns: list[str] | D
 def build(files: DataFrame, baseline: DataFrame, patterns: list[str] | DataFrame | None = None) -> DataFrame:
     """Delta files. With patterns, missing baseline files count as removed; without, they are out of scope."""
     beside = against_baseline(files, baseline).filter("content <> baseline_text")  # before the Python stage
-    found = beside.select("submission_id", "lab_id", "path", "baseline_kind", "baseline_revision", change("baseline_text", "content").alias("_c"))
+    found = _changes(beside.select("submission_id", "lab_id", "path", "baseline_kind", "baseline_revision", F.col("baseline_text").alias("_old"), F.col("content").alias("_new")), "_old", "_new")
     if isinstance(patterns, DataFrame) or patterns:
         gone = removed_files(files, baseline, patterns)
-        found = found.unionByName(gone.select("submission_id", "lab_id", "path", F.col("kind").alias("baseline_kind"), F.col("revision").alias("baseline_revision"), change("content", F.lit("")).alias("_c")))
+        named = gone.select("submission_id", "lab_id", "path", F.col("kind").alias("baseline_kind"), F.col("revision").alias("baseline_revision"), F.col("content").alias("_old"), F.lit("").alias("_new"))
+        found = found.unionByName(_changes(named, "_old", "_new"))
     return found.select("submission_id", "lab_id", "path", "baseline_kind", "baseline_revision", "_c.*").filter("added_text <> '' or removed_text <> ''")
 
 
