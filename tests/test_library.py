@@ -220,3 +220,22 @@ def test_hot_band_and_hot_set(spark):
     assert similarity.exhaustive_pairs(e).count() == want and similarity.banded_pairs(e).count() == want
     got = similarity.classes(e).collect()
     assert {(r["members"], r["links"]) for r in got} == {(40, 1), (80, 1)} and len(got) == 120
+
+
+def test_hashes_do_not_go_with_pairs(spark, monkeypatch):
+    """Two families whose sets are all alike: hashes are shuffled once for each pair of chunks, not for each pair of sets."""
+    base = [[f"{f}{i}" for i in range(60)] for f in "xy"]
+    rows = [(f"{f}{i:03}", f"o{i % 2}", "l", AT, f"d{f}{i}", f"e{f}{i}", base[f] + [f"{f}-{i}"], False, True) for f in (0, 1) for i in range(50)]
+    e = spark.createDataFrame(rows, "id string, owner string, lab_id string, submitted_at timestamp, input_digest string, delta_digest string, shingles array<string>, incomplete boolean, changed_files boolean")
+    for chunk in (4, 32, 1000):
+        monkeypatch.setattr(similarity, "CHUNK", chunk)
+        got = similarity.exhaustive_pairs(e).collect()
+        assert len(got) == 2 * 25 * 25 and {r["jaccard"] for r in got} == {60 / 62}
+    tiles, real = [], similarity.staged
+    monkeypatch.setattr(similarity, "staged", lambda df, label: tiles.append((label, out := real(df, label))) or out)
+    monkeypatch.setattr(similarity, "CHUNK", 32)
+    similarity.exhaustive_pairs(e).count()
+    held = dict(tiles)["set-tiles"]
+    assert held.count() == 2 * 50 * 49 // 2
+    # In pairs there would be 4,900 sets of hashes; here at most two for each set and pair of chunks.
+    assert held.select("_x", "_y", F.explode(F.array("a", "b"))).distinct().count() <= 100 * 16
