@@ -138,8 +138,8 @@ def entities(spark, d):
     docs = t(spark, d, "documents")
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     base = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("owner"), F.col("lang").alias("lab_id"), F.col("doc_id").alias("submitted_at"), digest.alias("input_digest"), digest.alias("delta_digest"), (F.coalesce("text", F.lit("")) != "").alias("changed_files"), F.lit(False).alias("incomplete"))
-    sets = similarity.shingle_sets(delta_of_documents(spark, d)).withColumnRenamed("submission_id", "id")
-    return base.join(sets, "id", "left").withColumn("shingles", F.coalesce("shingles", F.array().cast("array<string>")))
+    texts = similarity.file_texts(delta_of_documents(spark, d)).withColumnRenamed("submission_id", "id")
+    return similarity.with_shingles(base.join(texts, "id", "left"))
 
 
 @query(f"SELECT doc_id, len(tk) n_tokens FROM ({_TOKENS})")
@@ -212,7 +212,8 @@ _AGAINST = f"WITH {_JACCARD} SELECT lang lab_id, x first_id, y second_id, CASE W
 def _target(e):
     """The last document that another source has too."""
     shared = e.filter("changed_files").groupBy("lab_id", "input_digest").agg(F.count_distinct("owner").alias("n"), F.max("id").alias("id")).filter("n > 1")
-    return e.join(shared.agg(F.max("id").alias("id")), "id")
+    # Known before the rows are read, so that no other document is cut into shingles for it.
+    return e.filter(F.col("id") == F.lit(shared.agg(F.max("id")).first()[0]))
 
 
 @query(_AGAINST)

@@ -2,30 +2,36 @@
 
 The corpus is written once, and added to, as parts of four tables, each in buckets of a hash of what it is looked up by:
 
-* ``postings``: the rarest hashes of each different set of a lab. A set of n that shares t of its hashes with another
-  shares one of any n - ceil(t * n) + 1 of them, so these few per set are enough, whichever are taken; they are the ones
-  that fewest sets of the part have, so that a common passage of all submissions is hardly ever posted.
-* ``sets``: the hashes of each set, to hold a candidate against. ``members``: who has it.
-* ``digests``: members by input digest and by delta digest.
-
-A probe reads the target's hashes' buckets of the postings, then the buckets of the sets and members that these name, and
-two buckets of the digests. Which buckets those are is told by the target alone, and how large a bucket is by ``ROWS``,
-so what is read does not grow with the corpus unless matches do. Parts are named by versions (see ``versions``): a probe
-sees all of an addition or nothing, and a repeated addition (by its name) is done once.
+* ``sets``: the entities with the hashes of their sets, to hold a candidate against. They are written where they were made,
+  some hundred together to a ``place``, and looked up by that: a hash takes more bytes than its text, so hashes are
+  written once and not shuffled.
+* ``postings``: the rarest hashes of each set of a lab. A set of n that shares t of its hashes with another shares one of
+  any n - ceil(t * n) + 1 of them, so these few per set are enough, whichever are taken; they are the ones that are rare
+  by the counts of ``SLOTS`` classes of hashes, so that a common passage of all submissions is hardly ever posted. A row is
+  two numbers of 40 bits, for lab and hash and for lab and set; where they meet by chance there is one candidate more.
+* ``members``: who has a set, and the place where it is. ``digests``: members by input digest and by delta digest.
+
+A probe reads the target's hashes' buckets of the postings, then the members that these name and the place of one member of
+each set, and two buckets of the digests. Which buckets those are is told by the target alone, and how large a bucket is
+by ``ROWS``, so what is read does not grow with the corpus unless matches do. Parts are named by versions (see
+``versions``): a probe sees all of an addition or nothing, and a repeated addition (by its name) is done once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import versions
-from ..storage import discard, staged
+from ..storage import staged
 from . import similarity
 
 #: Postings in a bucket, about: a part has as many buckets as that takes, a power of two, and at most MOST_BUCKETS.
 ROWS, MOST_BUCKETS = 1 << 16, 1 << 14
+#: Entities of a place; classes of hashes that are counted (a broadcast of 2 MB, whatever the corpus).
+TOGETHER, SLOTS = 256, 1 << 18
 MEMBER = ("lab_id", "set_id", "n", "id", "owner", "submitted_at", "input_digest", "delta_digest", "incomplete", "changed_files")
 
 
@@ -33,19 +39,48 @@ def _bucket(buckets: int, *of) -> Column:
     return F.pmod(F.xxhash64(*of), F.lit(buckets)).cast("int")
 
 
-def _write(rows: DataFrame, path: str, buckets: int, of: list[str], order: list[str]) -> None:
+def _number(*of) -> Column:
+    return F.pmod(F.xxhash64(*of), F.lit(1 << 40))
+
+
+def _save(rows: DataFrame, path: str) -> None:
+    rows.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+
+
+def _write(rows: DataFrame, path: str, buckets: int, of: list[str]) -> None:
     """A folder a bucket; Spark splits the bucket of a digest or set that very many members have, and puts small ones together."""
-    keyed = rows.withColumn("bucket", _bucket(buckets, *of)).hint("rebalance", "bucket")
-    keyed.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
+    _save(rows.withColumn("bucket", _bucket(buckets, *of)).hint("rebalance", "bucket").sortWithinPartitions("bucket", *of), path)
+
+
+def _counts(sets: DataFrame) -> np.ndarray:
+    """How many hashes each class has: as many numbers as there are classes, however many hashes."""
+    out = np.zeros(SLOTS, np.int64)
+    for slot, n in sets.select(F.explode("hashes").alias("h")).groupBy(F.pmod("h", F.lit(SLOTS)).alias("s")).count().collect():
+        out[slot] = n
+    return out
+
+
+def _enough(threshold: float) -> Column:
+    """Hashes of a set of n that no similar set can do without all of."""
+    return F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
 
 
 def _rarest(sets: DataFrame, threshold: float) -> DataFrame:
-    """lab_id, h, set_id, n: of each set as many of its rarest hashes as no similar set can do without all of."""
-    each = sets.select("lab_id", "set_id", "n", F.explode("hashes").alias("h"))
-    often = staged(each.groupBy("lab_id", "h").agg(F.count("*").alias("_c")).filter("_c > 1"), "index-often")
-    own = Window.partitionBy("lab_id", "set_id").orderBy("_c", "h")
-    ranked = each.join(often, ["lab_id", "h"], "left").withColumn("_c", F.coalesce("_c", F.lit(1))).withColumn("_i", F.row_number().over(own))
-    return ranked.filter(F.col("_i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("lab_id", "h", "set_id", "n")
+    """p, s: numbers of lab and hash, lab and set, for as many of each set's rarest hashes as are enough."""
+    counts = sets.sparkSession.sparkContext.broadcast(_counts(sets))
+
+    @F.pandas_udf("array<bigint>")
+    def rare(hashes: pd.Series, most: pd.Series) -> pd.Series:
+        often = counts.value
+        return pd.Series([x[np.argpartition(often[x % SLOTS], m - 1)[:m]] for x, m in zip(hashes, most)], dtype=object)
+
+    each = sets.filter("n > 0").select("lab_id", "set_id", F.explode(rare("hashes", _enough(threshold).cast("int"))).alias("h"))
+    return each.select(_number("lab_id", "h").alias("p"), _number("lab_id", "set_id").alias("s"))
+
+
+def _digests(members: DataFrame, *columns: str) -> DataFrame:
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"{k}_digest").alias("digest")) for k in ("input", "delta")))
+    return members.withColumn("_d", F.explode(kinds)).select("_d.*", *columns)
 
 
 def add(entities: DataFrame, path: str, name: str, threshold: float = similarity.THRESHOLD, buckets: int | None = None) -> versions.Version:
@@ -55,22 +90,24 @@ def add(entities: DataFrame, path: str, name: str, threshold: float = similarity
     seen = versions.current(spark, path)
     if any(note["name"] == name for note in seen.parts.values()):
         return seen
-    known = similarity.hashed(entities)
-    sets = staged(similarity._sets(known.filter("n > 0"), "hashes"), "index-sets")
-    postings = staged(_rarest(sets, threshold), "index-postings")
-    buckets = buckets or min(MOST_BUCKETS, 1 << max(0, (postings.count() // ROWS)).bit_length())
     part = versions.new_part()
     where = versions.part_path(path, part)
-    members = known.select(*MEMBER)
-    _write(postings, f"{where}/postings", buckets, ["lab_id", "h"], ["lab_id", "h"])
-    _write(sets, f"{where}/sets", buckets, ["lab_id", "set_id"], ["lab_id", "set_id"])
-    _write(members, f"{where}/members", buckets, ["lab_id", "set_id"], ["lab_id", "set_id"])
-    digests = F.explode(F.array(F.struct(F.lit("input").alias("kind"), F.col("input_digest").alias("digest")), F.struct(F.lit("delta").alias("kind"), F.col("delta_digest").alias("digest"))))
-    _write(members.withColumn("_d", digests).select("_d.*", *MEMBER).filter("digest is not null"), f"{where}/digests", buckets, ["lab_id", "kind", "digest"], ["lab_id", "digest"])
-    discard(known, sets, postings)
+    place = F.xxhash64(F.lit(part), F.floor(F.monotonically_increasing_id() / TOGETHER))
+    made = similarity.hash_sets(entities).select(*MEMBER, "hashes", place.alias("place")).withColumn("bucket", _bucket(MOST_BUCKETS, "place"))
+    _save(made, f"{where}/sets")
+    sets = spark.read.schema(made.schema).parquet(f"{where}/sets")
+    members = sets.select(*MEMBER, "place", _number("lab_id", "set_id").alias("s"))
+    if buckets is None:
+        posted = sets.filter("n > 0").agg(F.sum(_enough(threshold))).first()[0] or 0
+        buckets = min(MOST_BUCKETS, 1 << (posted // ROWS).bit_length())
+    # A bucket is one task's, which drops what copies of a set post again.
+    postings = _rarest(sets, threshold).withColumn("bucket", _bucket(buckets, "p")).repartition("bucket").dropDuplicates(["bucket", "p", "s"])
+    _save(postings.sortWithinPartitions("bucket", "p"), f"{where}/postings")
+    _write(members, f"{where}/members", buckets, ["s"])
+    _write(_digests(members, *MEMBER, "place").filter("digest is not null"), f"{where}/digests", buckets, ["lab_id", "kind", "digest"])
     while True:
         try:
-            return versions.publish(spark, path, seen, seen.parts | {part: {"name": name, "buckets": buckets, "threshold": threshold}})
+            return versions.publish(spark, path, seen, seen.parts | {part: {"name": name, "buckets": buckets, "places": MOST_BUCKETS, "threshold": threshold}})
         except versions.Lost:
             seen = versions.current(spark, path)
             if any(note["name"] == name for note in seen.parts.values()):
@@ -80,7 +117,8 @@ def add(entities: DataFrame, path: str, name: str, threshold: float = similarity
 
 def _schema(t: DataFrame, table: str):
     """Of a table of the index, by a hashed entity's."""
-    own = {"postings": ["lab_id", F.lit(0).cast("long").alias("h"), "set_id", "n"], "sets": ["lab_id", "set_id", "n", "hashes"], "members": [*MEMBER], "digests": [F.lit("").alias("kind"), F.lit("").alias("digest"), *MEMBER]}
+    number = lambda c: F.lit(0).cast("long").alias(c)
+    own = {"postings": [number("p"), number("s")], "sets": [*MEMBER, "hashes", number("place")], "members": [*MEMBER, number("place"), number("s")], "digests": [F.lit("").alias("kind"), F.lit("").alias("digest"), *MEMBER, number("place")]}
     return t.select(*own[table], F.lit(0).alias("bucket")).schema
 
 
@@ -89,7 +127,7 @@ def _lookup(t: DataFrame, path: str, v: versions.Version, table: str, keys: Data
     at most, pick the folders; within them the keys are joined."""
     found = None
     for part, note in v.parts.items():
-        wanted = [r[0] for r in keys.select(_bucket(note["buckets"], *of)).distinct().collect()]
+        wanted = [r[0] for r in keys.select(_bucket(note["places" if table == "sets" else "buckets"], *of)).distinct().collect()]
         if not wanted:
             continue
         rows = t.sparkSession.read.schema(_schema(t, table)).parquet(f"{versions.part_path(path, part)}/{table}").filter(F.col("bucket").isin(wanted)).drop("bucket")
@@ -106,25 +144,27 @@ def probe(path: str, target: DataFrame, threshold: float = similarity.THRESHOLD)
     t = similarity.hashed(target)
     if t.count() != 1:
         raise ValueError("one target is probed at a time")
-    near = t.filter("n > 0 and not incomplete").select("lab_id", F.explode("hashes").alias("h"), F.col("n").alias("_n"))
-    posted = _lookup(t, path, v, "postings", near, "lab_id", "h") if v.parts else None
-    digests = t.select("lab_id", F.explode(F.array(F.struct(F.lit("input").alias("kind"), F.col("input_digest").alias("digest")), F.struct(F.lit("delta").alias("kind"), F.col("delta_digest").alias("digest")))).alias("_d")).select("lab_id", "_d.*")
-    same = _lookup(t, path, v, "digests", digests, "lab_id", "kind", "digest") if v.parts else None
-    members = None if same is None else same.select(*MEMBER)
+    place = F.lit(0).cast("long").alias("place")
+    members = t.select(*MEMBER, place).limit(0)
+    near = t.filter("n > 0 and not incomplete").select("lab_id", F.explode("hashes").alias("h")).select(_number("lab_id", "h").alias("p"))
+    same = _lookup(t, path, v, "digests", _digests(t, "lab_id"), "lab_id", "kind", "digest")
+    if same is not None:
+        members = members.unionByName(same.select(*members.columns))
+    posted = _lookup(t, path, v, "postings", near, "p")
     if posted is not None:
-        size = t.select("lab_id", F.col("n").alias("_m"))
-        fit = F.least("n", "_m") >= threshold * F.greatest("n", "_m") - 1e-9
-        likely = staged(posted.join(F.broadcast(size), "lab_id").filter(fit).select("lab_id", "set_id").distinct(), "index-likely")  # size is one row
-        own = _lookup(t, path, v, "members", likely, "lab_id", "set_id")
+        likely = staged(posted.select("s").distinct(), "index-likely")
+        own = _lookup(t, path, v, "members", likely, "s")
         if own is not None:
-            members = own.select(*MEMBER) if members is None else members.unionByName(own.select(*MEMBER))
-    if members is None:
-        members = spark.createDataFrame([], t.select(*MEMBER).schema)
+            size = t.select("lab_id", F.col("n").alias("_m"))
+            fit = F.least("n", "_m") >= threshold * F.greatest("n", "_m") - 1e-9
+            members = members.unionByName(own.join(F.broadcast(size), "lab_id").filter(fit).select(*members.columns))  # size is one row
     members = staged(members.dropDuplicates(["lab_id", "id"]), "index-members")
-    sets = _lookup(t, path, v, "sets", members.filter("n > 0"), "lab_id", "set_id") if v.parts else None
+    # Of a set's members one is read with its hashes.
+    one = members.filter("n > 0").groupBy("lab_id", "set_id").agg(F.min(F.struct("place", "id")).alias("_o")).select("lab_id", "set_id", "_o.*")
+    sets = _lookup(t, path, v, "sets", one, "place")
     if sets is None:
-        sets = spark.createDataFrame([], t.select("lab_id", "set_id", "n", "hashes").schema)
-    # A set may be in several parts.
-    met = members.join(sets.dropDuplicates(["lab_id", "set_id"]).select("lab_id", "set_id", "hashes"), ["lab_id", "set_id"], "left")
+        sets = t.select("lab_id", "set_id", "id", "hashes", place).limit(0)
+    sets = sets.join(one, ["lab_id", "set_id", "id", "place"], "left_semi").dropDuplicates(["lab_id", "set_id"])
+    met = members.join(sets.select("lab_id", "set_id", "hashes"), ["lab_id", "set_id"], "left")
     met = met.withColumn("hashes", F.coalesce("hashes", F.array().cast("array<bigint>")))
     return similarity.against_target(met, t, "hashes", threshold)

@@ -55,3 +55,9 @@ def test_bands_are_among_the_exhaustive_pairs(spark):
     pairs = lambda n: {(r["lab_id"], r["first_id"], r["second_id"]) for r in q[n](spark, DATA).collect()}
     lsh, every = pairs("lsh_candidates"), pairs("similarity_candidates")
     assert lsh <= every and len(lsh) >= 0.9 * len(every)
+
+
+def test_no_shingle_is_sorted_for_a_join(spark):
+    """Texts meet their rows before they are cut: in the plan every regex of tokens stands above the join."""
+    plan = catalogue.entities(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and plan.rindex("regexp_extract_all") < plan.index("Join LeftOuter")

@@ -93,3 +93,19 @@ def test_what_a_rare_target_reads_does_not_grow(spark, tmp_path, monkeypatch):
         assert target_index.probe(path, target).collect() == []
     (small, all_small), (large, all_large) = facts
     assert all_large > 3 * all_small and large < 1.5 * small and large < all_large / 10
+
+
+def test_hashes_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """What an addition shuffles, against the bytes of its hashes; before, sets and each of their hashes went several times."""
+    monkeypatch.setattr(target_index, "SLOTS", 64)
+    rng = random.Random(5)
+    rows = [(f"{i}", f"o{i % 7}", "l", AT, f"d{i}", f"e{i}", [f"s{rng.randrange(10**9)}" for _ in range(300)], False, True) for i in range(300)]
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+
+    def shuffled():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+        return sum(x.shuffleWriteBytes() for x in jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages))
+
+    before = shuffled()
+    target_index.add(entities(spark, rows), str(tmp_path), "all", buckets=4)
+    assert 0 < shuffled() - before < 2 * 8 * 300 * 300
