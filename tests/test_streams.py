@@ -109,6 +109,47 @@ def test_bounded_queue_over_batches(spark, tmp_path):
     assert {x[3] for x in want} == {"admitted", "known", "full", "finished"}
 
 
+class Held:
+    """A state of the handle's, whose calls are counted."""
+
+    def __init__(self):
+        self.at, self.calls = {}, 0
+
+    def _call(self, x):
+        self.calls += 1
+        return x
+
+    def exists(self):
+        return self._call(None in self.at)
+
+    def containsKey(self, key):
+        return self._call(key in self.at)
+
+    def get(self):
+        return self._call(self.at[None])
+
+    def getValue(self, key):
+        return self._call(self.at[key])
+
+    def update(self, value):
+        self.at[None] = self._call(value)
+
+    def updateValue(self, key, value):
+        self.at[key] = self._call(value)
+
+
+def test_a_large_queue_in_few_calls(monkeypatch):
+    """Chunks that grow over batches: the plain queue's rows, by fewer calls to the state than there are runs."""
+    monkeypatch.setattr(stateful, "TOGETHER", 8)
+    rng, q, batches = random.Random(8), stateful._Queue(40), []
+    q.held, q.runs = Held(), Held()
+    for b in range(3):
+        batches.append(list({("a", f"r{rng.randrange(2500)}", rng.choice(["request", "finished"]), 1000 * b + rng.randrange(900)) for _ in range(6000)}))
+    got = [tuple(r) for rows in batches for r in q.handleInputRows(("a",), iter([{"run_id": r, "kind": k, "at": at} for _, r, k, at in rows]), None)]
+    assert got == plain_queue(batches, 40)
+    assert len(q.runs.at) > 16 and q.runs.calls + q.held.calls < len({x[1] for x in got}) < len(got)
+
+
 REPORT = "submission_id string, counterpart_id string, completed_at bigint, review_key string, decision string"
 KEYS = ("submission_id", "counterpart_id")
 
